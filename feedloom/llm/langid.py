@@ -202,6 +202,28 @@ def fit(docs: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, sample_documents:
     return Model(texts, sample_symbols)
 
 
+class Predictor:
+    """A model with its tables, as a Python worker holds it."""
+
+    def __init__(self, model: Model):
+        self.model, self.folded, self.lookup = model, _folded(), model.lookup()
+        self.names = np.array([*model.languages, "und"], dtype=object)
+
+    def block(self, data: np.ndarray, offsets: np.ndarray):
+        """Languages, scores, bits per symbol, and whether there is no language, of a block of documents."""
+        n = len(offsets) - 1
+        if not self.model.languages or not len(data):
+            return np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n), np.ones(n, bool)
+        bits, symbols = self.model.entropies(data, offsets, self.folded, self.lookup)
+        best = np.argmin(bits, axis=0)
+        least = bits[best, np.arange(n)]
+        rest = bits.copy()
+        rest[best, np.arange(n)] = np.inf
+        score = 1 - least / np.maximum(rest.min(axis=0), 1e-12) if len(bits) > 1 else np.ones(n)
+        none = symbols == 0
+        return self.names[np.where(none, len(self.model.languages), best)], np.where(none, 0.0, np.clip(score, 0, 1)), least, none
+
+
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, lang_pred, score (0 to 1) and bits (cross entropy per symbol under lang_pred).
 
@@ -215,27 +237,11 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        folded, lookup = _folded(), m.lookup()
-        names = np.array([*m.languages, "und"], dtype=object)
+        predictor = Predictor(shared.value)
         for ids, data, offsets in text_blocks(batches, BLOCK):
-            n = len(offsets) - 1
-            if m.languages and len(data):
-                bits, symbols = m.entropies(data, offsets, folded, lookup)
-                best = np.argmin(bits, axis=0)
-                least = bits[best, np.arange(n)]
-                if len(bits) > 1:
-                    rest = bits.copy()
-                    rest[best, np.arange(n)] = np.inf
-                    score = 1 - least / np.maximum(rest.min(axis=0), 1e-12)
-                else:
-                    score = np.ones(n)
-                none = symbols == 0
-            else:
-                best, least, score, none = np.zeros(n, int), np.zeros(n), np.zeros(n), np.ones(n, bool)
-            best = np.where(none, len(m.languages), best)
+            names, score, least, none = predictor.block(data, offsets)
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(none, 0.0, np.clip(score, 0, 1))), pa.array(least, mask=none)],
+                [ids.cast(pa.int64()), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(least, mask=none)],
                 names=["doc_id", "lang_pred", "score", "bits"],
             )
 
@@ -246,3 +252,21 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """Fit on the rows that are not held out and predict all: doc_id, held_out, lang_pred, score, bits."""
     model = fit(docs, doc_id=doc_id, text=text, lang=lang, **bounds)
     return predict(docs, model, doc_id, text).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits")
+
+
+def identified(docs: DataFrame, model: Model, languages: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The documents whose language is found to be one of `languages`, by default any learned one; columns as given.
+
+    Null texts and texts without a letter go. Map-only: rows are filtered where they are read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    wanted = set(model.languages if languages is None else languages)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        predictor = Predictor(shared.value)
+        for batch in batches:
+            keep = [n in wanted for _, data, offsets in text_blocks([batch.select([place, place])], BLOCK) for n in predictor.block(data, offsets)[0]]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

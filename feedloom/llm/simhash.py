@@ -265,6 +265,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 3, doc_id:
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 5, budget: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose doc_id is the smallest of their group; of rows that share it, all stay. Columns as given."""
-    kept = near_duplicates(docs, shingle, budget, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["__kept"], "left_semi")
+    """The documents but those of a group with a smaller doc_id. Columns as given.
+
+    Rows that share a doc_id go or stay together: they go if any of their texts has a smaller doc_id in its group. Rows
+    with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, shingle, budget, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
