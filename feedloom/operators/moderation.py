@@ -27,7 +27,7 @@ def has_word(text: Column, terms: list[str]) -> Column:
         return F.lit(False)
     import re
 
-    pattern = rf"(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(map(re.escape, terms))})($|[^\p{{L}}\p{{N}}_])"
+    pattern = rf"(?iu)(^|[^\p{{L}}\p{{N}}_])({'|'.join(map(re.escape, terms))})($|[^\p{{L}}\p{{N}}_])"
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
 

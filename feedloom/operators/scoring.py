@@ -119,7 +119,7 @@ def mmr(pool: DataFrame, links: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """
     best = pool.orderBy(F.desc("base"), "id").limit(cfg.pool)
     edges = links.groupBy("a").agg(F.collect_list("b").alias("others"), F.collect_list("sim").alias("sims"))
-    rows = best.join(edges, best["id"] == edges["a"], "left").select("id", "base", "others", "sims")
+    rows = best.join(edges, best["id"] == edges["a"], "left").select(F.lit(1).alias("g"), "id", "base", "others", "sims")
     lam = cfg.mmr_lambda
 
     def order(pdf):
@@ -147,7 +147,7 @@ def mmr(pool: DataFrame, links: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         return pd.DataFrame(out, columns=["id", "rank_score", "position"])
 
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("rank_score", T.DoubleType()), T.StructField("position", T.LongType())])
-    return rows.groupBy(F.lit(1)).applyInPandas(order, schema)
+    return rows.groupBy("g").applyInPandas(order, schema)
 
 
 def category_pipeline(min_df: int = 2):

@@ -1,4 +1,4 @@
 """Queries over the driver tables, with their SQL twins."""
 
-from . import functions  # noqa: F401
+from . import filters, functions, scoring, tables  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
