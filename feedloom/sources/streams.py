@@ -10,10 +10,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
 
-COMMIT = T.StructType.fromDDL(
+COMMIT = (
     "did STRING, time_us BIGINT, kind STRING, commit STRUCT<operation: STRING, collection: STRING, rkey: STRING,"
     " record: STRUCT<`$type`: STRING, text: STRING, createdAt: STRING, langs: ARRAY<STRING>>>"
 )
