@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT
+from ..functions import language as L
 from ..functions import text as X
-from ..functions import urls as U
 from ..operators import dedup as D
 from ..operators import scoring as R
 from ..operators import windows as V
 from ..sources import tables as S
 from ..sources.tables import POSTS_SQL, table
-from .functions import CANON, LEXICAL, NORM, SKELETON, TOKEN_LIST
+from .functions import LEXICAL, NORM, SKELETON, TOKEN_LIST
 from .registry import query
 
 P = f"WITH RECURSIVE {POSTS_SQL}"
@@ -261,6 +261,27 @@ def categorize_keyword(spark, d):
     return p.select("id", R.keyword_category(F.array_distinct(terms), F.col("t")).alias("category"))
 
 
+@query("category", f"{P}, m AS (SELECT id, {MIXED} AS text FROM posts), k AS (SELECT id, {category_sql(f'list_distinct({TERM_LIST})', NORM)} AS best FROM m) SELECT id, CASE WHEN best.hits > 0 THEN best.category END AS category, 'keyword_v1' AS method FROM k")
+def category(spark, d):
+    return categorize_keyword(spark, d).withColumn("method", F.lit("keyword_v1"))
+
+
+FLAT_WORDS = f"(CASE WHEN {NORM} = '' THEN [] ELSE string_split({NORM}, ' ') END)"
+PROFILE = "list_max([" + ", ".join("{'hits': len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{t}'" for t in ws) + f"))), 'prio': {-k}, 'label': '{lang}'}}" for k, (lang, ws) in enumerate(L.FUNCTION_WORDS.items())) + "])"
+
+
+@query("language_profile", f"WITH w AS (SELECT doc_id, {FLAT_WORDS} AS w FROM documents), b AS (SELECT doc_id, w, {PROFILE} AS best FROM w) SELECT doc_id, CASE WHEN best.hits > 0 THEN best.label ELSE '' END AS label, round(CASE WHEN best.hits > 0 THEN best.hits / CAST(len(w) AS DOUBLE) ELSE 0.0 END, 9) AS confidence FROM b")
+def language_profile(spark, d):
+    p = table(spark, d, "documents").select("doc_id", L.profile(F.col("text")).alias("p"))
+    return p.select("doc_id", "p.label", F.round("p.confidence", 9).alias("confidence"))
+
+
+@query("entity_filter", r"SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)', 1), lambda e: left(lower(e), 100)))) AS BIGINT) AS n, left(lower(nullif(regexp_extract(text, '(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)', 1), '')), 100) AS first FROM documents")
+def entity_filter(spark, d):
+    e = table(spark, d, "documents").select("doc_id", L.entities(F.col("text")).alias("e"))
+    return e.select("doc_id", F.size("e").cast("long").alias("n"), F.get("e", F.lit(0)).alias("first"))
+
+
 @query("network_clusters", """SELECT home_domain, count(DISTINCT who) AS accounts, count(DISTINCT row(who, v)) AS posts, min(s) AS earliest, max(s) AS latest
 FROM (SELECT event_type AS home_domain, user_id AS who, value AS v, epoch_us(ts) // 1000000 AS s FROM events) GROUP BY 1 HAVING count(DISTINCT who) >= 5 AND max(s) - min(s) <= 86400 * 60 AND count(DISTINCT row(who, v)) >= 50""")
 def network_clusters(spark, d):
