@@ -150,6 +150,72 @@ def mmr(pool: DataFrame, links: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return rows.groupBy("g").applyInPandas(order, schema)
 
 
+def mmr_terms(pool: DataFrame, weights: DataFrame, entities: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """`mmr` with similarities taken from the posts' own terms and entities: (id, rank_score, position).
+
+    pool: (id, base), cut to `cfg.pool` rows, which bounds the one group; weights: (id, term, weight); entities: (id, entity).
+    Similarity is `cfg.similarity_mix` of the cosine and the rest of the Jaccard similarity of entities. Only the
+    chosen post is compared with the others at each step, through postings, so no matrix of pairs is ever built.
+    """
+    best = pool.orderBy(F.desc("base"), "id").limit(cfg.pool)
+    t = weights.join(best.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight")).alias("terms"))
+    rows = best.join(t, "id", "left")
+    if entities is not None:
+        e = entities.join(best.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_set(F.xxhash64("entity")).alias("entities"))
+        rows = rows.join(e, "id", "left")
+    else:
+        rows = rows.withColumn("entities", F.lit(None).cast("array<bigint>"))
+    rows = rows.select(F.lit(1).alias("g"), "id", "base", F.transform("terms", lambda x: x["t"]).alias("t"), F.transform("terms", lambda x: x["weight"]).alias("w"), "entities")
+    lam, mix = cfg.mmr_lambda, cfg.similarity_mix
+
+    def order(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("id", ignore_index=True)
+        n = len(pdf)
+
+        def postings(column, values=None):
+            """Terms and values by document, and documents and values by term."""
+            own = [np.asarray(x if x is not None else [], np.int64) for x in column]
+            val = [np.asarray(x if x is not None else [], float) for x in values] if values is not None else [np.ones(len(x)) for x in own]
+            size = np.array([len(x) for x in own])
+            _, term = np.unique(np.concatenate(own), return_inverse=True)
+            v, doc = np.concatenate(val), np.repeat(np.arange(n), size)
+            by = np.argsort(term, kind="stable")
+            start = np.searchsorted(term[by], np.arange(term.max(initial=-1) + 2))
+            return term, v, np.concatenate([[0], np.cumsum(size)]), doc[by], v[by], start
+
+        def against(k, p):
+            term, v, at, doc, value, start = p
+            mine = term[at[k] : at[k + 1]]
+            count = start[mine + 1] - start[mine]
+            spot = np.arange(count.sum()) + np.repeat(start[mine] - (np.cumsum(count) - count), count)
+            return np.bincount(doc[spot], weights=value[spot] * np.repeat(v[at[k] : at[k + 1]], count), minlength=n)
+
+        words_ = postings(pdf["t"], pdf["w"])
+        norm = np.sqrt(np.bincount(np.repeat(np.arange(n), np.diff(words_[2])), weights=words_[1] ** 2, minlength=n))
+        norm[norm == 0] = 1
+        tags = postings(pdf["entities"])
+        many = np.diff(tags[2])
+        gain = lam * pdf["base"].to_numpy(float)
+        most, free, out = np.zeros(n), np.ones(n, bool), []
+        for position in range(n):
+            value = np.where(free, gain - (1 - lam) * most, -np.inf)
+            k = int(np.argmax(value))
+            free[k] = False
+            out.append((int(pdf["id"][k]), float(value[k]), position + 1))
+            sim = mix * against(k, words_) / (norm * norm[k])
+            if many[k]:
+                common = against(k, tags)
+                sim += (1 - mix) * common / (many + many[k] - common)
+            most = np.maximum(most, sim)
+        return pd.DataFrame(out, columns=["id", "rank_score", "position"])
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("rank_score", T.DoubleType()), T.StructField("position", T.LongType())])
+    return rows.groupBy("g").applyInPandas(order, schema)
+
+
 def category_pipeline(min_df: int = 2):
     """Trained categories: TF-IDF of words and pairs of words, one-vs-rest logistic regression."""
     from pyspark.ml import Pipeline

@@ -231,13 +231,8 @@ def join_allpairs_sim(spark, d):
 @query("mmr_rank")
 def mmr_rank(spark, d):
     base = base_scores(S.posts(spark, d)).select("id", F.col("base_score").alias("base")).filter("base > 0")
-    pool = base.orderBy(F.desc("base"), "id").limit(DEFAULT.pool)
-    links = R.similarity(weights(spark, d, False).join(pool.select("id"), "id", "left_semi")).select("a", "b", (F.col("cosine") * DEFAULT.similarity_mix).alias("sim"))
-    return R.mmr(pool, links)
-
-
-WORDS_BY_CATEGORY = {"the": "science_technology"}
-TERMS_SQL = "[" + ", ".join(f"'{t}'" for t in R.CATEGORY_TERMS["science_technology"][:5]) + "]"
+    entities = S.posts(spark, d).select("id", F.explode(L.entities(F.col("text"))).alias("entity"))
+    return R.mmr_terms(base, weights(spark, d, False), entities)
 
 
 def category_sql(terms: str, text: str) -> str:

@@ -147,6 +147,21 @@ def test_mmr(spark):
     assert all(got[a]["rank_score"] >= got[b]["rank_score"] for a, b in zip(order, order[1:], strict=False))
 
 
+def test_mmr_by_terms_equals_mmr_by_links(spark):
+    import random
+
+    rng = random.Random(1)
+    w = [(i, f"t{t}", rng.random()) for i in range(40) for t in rng.sample(range(30), 6)]
+    e = [(i, f"e{x}") for i in range(0, 40, 2) for x in rng.sample(range(6), 2)]
+    pool = spark.createDataFrame([(i, rng.random()) for i in range(42)], "id long, base double")
+    weights, entities = spark.createDataFrame(w, "id long, term string, weight double"), spark.createDataFrame(e, "id long, entity string")
+    cos = scoring.similarity(weights).select("a", "b", (F.col("cosine") / 2).alias("sim"))
+    jac = scoring.entity_jaccard(entities).select("a", "b", (F.col("jaccard") / 2).alias("sim"))
+    links = cos.union(jac).groupBy("a", "b").agg(F.sum("sim").alias("sim"))
+    order = lambda df: [(r["id"], round(r["rank_score"], 9)) for r in df.orderBy("position").collect()]
+    assert order(scoring.mmr(pool, links)) == order(scoring.mmr_terms(pool, weights, entities))
+
+
 def test_scores(spark):
     d = lambda h: one(spark, str(h), lambda c: scoring.recency_decay(c.cast("double")))
     assert (d(12), d(535 * 24), d(-5)) == (0.5, 0.0, 1.0)
