@@ -272,3 +272,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     choose = lambda gone, some, all_: F.when(copy, gone).otherwise(F.coalesce(some, all_))
     cols = [F.col("n_words"), choose(F.col("n_words"), F.col("removed"), F.lit(0)).cast("long").alias("n_removed"), choose(F.sha2(F.lit("").cast("binary"), 256), F.col("kept_sha"), F.col("sha")).alias("kept_sha256")]
     return out.select("doc_id", *cols, *([choose(F.lit(""), F.col("kept"), F.col("whole")).alias("kept_text")] if keep_text else []))
+
+
+#: The same for windows of 50 words, in DuckDB: all windows are compared, with no anchors.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN low USING (h) WHERE doc_id > low),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
