@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sources up to which their rates are broadcast; beyond, they are joined by source with AQE's skew handling.
+BROADCAST_SOURCES = 100_000
 #: Largest mean that one inversion handles: beyond, exp(-mean) would lose its precision. Larger means are summed up.
 LARGEST_MEAN = 64.0
 
@@ -49,9 +51,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
         counts = counts.join(listed, counts["source"].eqNullSafe(listed["source"]), "left").select(counts["source"], "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     else:
         counts = counts.withColumn("weight", F.sqrt("n") if power == 0.5 else F.pow("n", F.lit(power)))
-    sums = counts.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).first()
+    sums = counts.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     if not sums["weight"]:
         return counts.select("source", F.lit(0.0).alias("mean"))
+    if sums["sources"] <= BROADCAST_SOURCES:
+        counts = F.broadcast(counts)
     target = float(sums["n"] if total is None else total)
     return counts.select("source", (F.col("weight") / F.lit(float(sums["weight"])) * F.lit(target) / F.col("n")).alias("mean"))
 
@@ -63,7 +67,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     shuffle. The draw depends on seed and doc_id alone: a rerun of a lost task draws the same. Rows that share a doc_id
     draw alike; a null doc_id draws as the text `null` does. Sources with a mean of 0 vanish, null sources are one source.
     An empty table gives none. Columns named `copy` or `shuffle_key` are replaced. A hot source is only counted, by
-    partial sums, never gathered; the rates are broadcast where their size allows it, which Spark checks.
+    partial sums, never gathered; the rates of up to BROADCAST_SOURCES sources, which are counted first, are broadcast.
     """
     given = docs.drop("copy", "shuffle_key")
     mean = rates(given, weights, power, total, source).withColumnsRenamed({"source": "__source", "mean": "__mean"})
