@@ -53,7 +53,7 @@ def salience(weights: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def top_terms(weights: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.desc(F.round("weight", 9)), "term")
-    return weights.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "term")
+    return weights.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("id", "rank", "term")
 
 
 def topicality(salience_: Column, most_mentions: Column, cfg: Config = DEFAULT) -> Column:

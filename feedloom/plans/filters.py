@@ -107,7 +107,7 @@ def filter_language(spark, d):
 CONTEXT = "CASE WHEN source = 'mastodon' AND id % 10 = 3 THEN 'exclude' WHEN source = 'bluesky' AND id % 10 = 4 AND author_id <> 'src1' THEN 'devalue' ELSE 'none' END"
 
 
-@query("context_classify", f"{P} SELECT id, {CONTEXT} AS action, CASE WHEN {CONTEXT} = 'devalue' THEN 0.4 ELSE 1.0 END AS multiplier FROM posts")
+@query("context_classify", f"{P} SELECT id, {CONTEXT} AS action, CAST(CASE WHEN {CONTEXT} = 'devalue' THEN 0.4 ELSE 1.0 END AS DOUBLE) AS multiplier FROM posts")
 def context_classify(spark, d):
     c = M.context(F.col("source"), F.col("author_id"), F.col("raw_json"), F.col("text"))
     return tagged(spark, d).select("id", c.alias("c")).select("id", "c.action", "c.multiplier")
