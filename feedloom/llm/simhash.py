@@ -24,7 +24,7 @@ _LOWER[65:91] += 32
 #: Node pairs with at most so many pairs of leaves are compared leaf by leaf.
 LEAVES = 1024
 #: Pairs compared at once; a memory bound.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 #: Rows of one top node beyond which its children are dealt out in pairs.
 HOT_NODE = 20_000
 
@@ -62,10 +62,10 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.n
     hashes = np.fromiter((xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts[word].tolist(), ends[last].tolist(), strict=True)), np.uint64, begin[-1])
     at = 0
     while at < len(full):  # bits are unpacked for so many shingles at once
-        to = max(at + 1, int(np.searchsorted(begin, begin[at] + (1 << 19), side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(begin, begin[at] + (1 << 16), side="right")) - 1)
         sums = np.zeros((to - at, 64), np.int64)
-        for lo in range(begin[at], begin[to], 1 << 20):
-            hi = min(begin[to], lo + (1 << 20))
+        for lo in range(begin[at], begin[to], 1 << 17):
+            hi = min(begin[to], lo + (1 << 17))
             bits = np.unpackbits(hashes[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             inside = np.maximum(begin[at:to], lo)
             own = np.flatnonzero((begin[at:to] < hi) & (begin[at + 1 : to + 1] > lo))
