@@ -152,7 +152,12 @@ def _lists(column: pa.Array):
 
 
 def _windows(marked: DataFrame, window: int, period: int) -> DataFrame:
-    """(h1, h2, doc_id, k1, pos) of the windows around the anchors in column `anchors`."""
+    """(h1, h2, doc_id, k1, pos, late) of the windows around the anchors in column `anchors`.
+
+    Windows are compared within each block of texts first: where a smaller document of the block has the window too,
+    it is late, whatever other blocks hold, and goes on under a key of its own. So a hash has rows of one document a
+    block in the exchange, however common the window is.
+    """
     length = window - period + 1
 
     def run(batches):
@@ -175,10 +180,18 @@ def _windows(marked: DataFrame, window: int, period: int) -> DataFrame:
             start = np.flatnonzero(np.cumsum(spot[:-1]) > 0)
             of = np.searchsorted(first, start, side="right") - 1
             h1, h2 = (_run(_sums(words[k], k), start, window) for k in (0, 1))
-            row = pa.array(of)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids.take(row), batch.column(3).take(row), pa.array((start - first[of]).astype(np.int32))], names=["h1", "h2", "doc_id", "k1", "pos"])
+            row, own, at = pa.array(of), ids.to_numpy()[of], start - first[of]
+            order = np.lexsort((own, h2, h1))
+            new = np.ones(len(order), bool)
+            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+            late = np.zeros(len(order), bool)
+            late[order] = own[order] > own[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            with np.errstate(over="ignore"):
+                apart = (own * 0x9E3779B97F4A7C1 + at) * 0x2545F4914F6CDD1D
+            h1, h2 = np.where(late, h1 ^ apart, h1), np.where(late, apart, h2)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids.take(row), batch.column(3).take(row), pa.array(at.astype(np.int32)), pa.array(late)], names=["h1", "h2", "doc_id", "k1", "pos", "late"])
 
-    return marked.select("doc_id", "text", "anchors", "k1").mapInArrow(run, "h1 long, h2 long, doc_id long, k1 long, pos int")
+    return marked.select("doc_id", "text", "anchors", "k1").mapInArrow(run, "h1 long, h2 long, doc_id long, k1 long, pos int, late boolean")
 
 
 def _late(windows: DataFrame) -> DataFrame:
@@ -187,7 +200,7 @@ def _late(windows: DataFrame) -> DataFrame:
     def run(batches):
         last = None
         for batch in batches:
-            h1, h2, doc, k1, pos = (batch.column(i).to_numpy() for i in range(5))
+            h1, h2, doc, k1, pos, late = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             if not len(h1):
                 continue
             new = np.ones(len(h1), bool)
@@ -196,7 +209,7 @@ def _late(windows: DataFrame) -> DataFrame:
                 new[0] = last[0] != h1[0] or last[1] != h2[0]
             begin = np.maximum.accumulate(np.where(new, np.arange(len(h1)), -1))
             low = np.where(begin >= 0, doc[begin], last[2] if last is not None else 0)
-            yield _rows(doc, k1, pos, doc > low)
+            yield _rows(doc, k1, pos, late | (doc > low))
             last = (h1[-1], h2[-1], low[-1])
 
     dealt = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id")
@@ -248,9 +261,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     neither before nor after others, so they keep all. Rows that share a doc_id are judged one by one against smaller
     doc_ids, and each as part of that document by larger ones. An empty table gives none; other columns are ignored.
 
-    Anchors and windows stream by in order of their hash, so that no group is gathered; a hash has one row a document
-    at most, up to repetition within it, while documents have an anchor for every five words, so one hash is a small
-    share of all rows even where a passage is everywhere. Of equal texts the smallest document stands for all.
+    Anchors and windows stream by in order of their hash, so that no group is gathered. Windows are compared within
+    blocks before they are dealt out. A document has an anchor for every five words, so the anchors of one hash are a
+    small share of all even where a passage is everywhere. Of equal texts the smallest document stands for all.
     """
     period = cover_for(window)
     body = F.coalesce(F.col(text), F.lit(""))
