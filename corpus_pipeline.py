@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import langid, mixing, packing, pii, simhash
+from feedloom.llm import jaccard, langid, mixing, packing, pii
 from feedloom.llm.common import stored
 from feedloom.llm.queries import table, tokenizer_path
 
-#: Bits in which the 64-bit fingerprints of near duplicates differ at most: a similarity of 57/64, 0.89.
-NEAR_BITS = 7
+#: Jaccard similarity of sets of five-word shingles from which documents are near duplicates.
+NEAR = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, by fingerprints of shingles of five words."""
-    return simhash.first_of_groups(docs, shingle=5, budget=NEAR_BITS)
+    """Keep one document of each group of near duplicates, by the exact similarity of their sets of five-word shingles."""
+    return jaccard.first_of_groups(docs, shingle=5, least=NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("language ID", language_id),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("PII", personal_data),
     ("mixing sources to target weights", mixing_to_weights),
     ("best-fit packing", best_fit_packing),

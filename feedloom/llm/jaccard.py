@@ -1,0 +1,130 @@
+"""Near duplicates by the exact Jaccard similarity of shingle sets, by prefix filtering.
+
+Shingles have one order for all documents. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1
+of either, whatever the order, so only documents that share one of these meet. Shingles that are frequent in a sample
+come last, so that common passages bring no documents together; the sample decides on the order alone. Every pair that
+meets is compared by its whole sets, unless links already join its ends.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, stored, text_blocks
+from .simhash import shingle_hashes
+
+#: One document in so many is sampled, and shingles in one sampled document of so many count as frequent.
+SAMPLE, FREQUENT = 8, 4096
+
+
+def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int):
+    """Sorted distinct shingle hashes of a block of documents as signed longs, and the bounds of each document's."""
+    full, begin, hashes = shingle_hashes(data, offsets, shingle)
+    doc = np.repeat(full, np.diff(begin))
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(offsets) - 1))]).astype(np.int64)
+
+
+def _frequent(docs: DataFrame, shingle: int):
+    """Frequent shingles of a sample, sorted, and in how many of its documents each is."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
+
+    def run(batches):
+        for _, data, offsets in text_blocks(batches):
+            item, n = np.unique(sets_of(data, offsets, shingle)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(n)], names=["item", "n"])
+
+    least = max(3, some.count() // FREQUENT)
+    found = some.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    item, n = found["item"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(item)
+    return item[order], n[order]
+
+
+def _prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """doc_id, cls (a digest of the shingle set), n (its size) and prefix (its first shingles in the order of all)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
+
+    def run(batches):
+        from xxhash import xxh3_128_digest
+
+        item, often = shared.value
+        for ids, data, offsets in text_blocks(batches):
+            values, bounds = sets_of(data, offsets, shingle)
+            n = np.diff(bounds)
+            cls = [xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            doc = np.repeat(np.arange(len(n)), n)
+            freq = np.zeros(len(values), np.int64)
+            if len(item):
+                at = np.minimum(np.searchsorted(item, values), len(item) - 1)
+                freq = np.where(item[at] == values, often[at], 0)
+            values = values[np.lexsort((values, freq, doc))]
+            most = np.where(n > 0, n - np.ceil(n * least - 1e-9).astype(np.int64) + 1, 0)
+            values = values[np.arange(len(values)) - bounds[doc] < most[doc]]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cls, pa.binary()), pa.array(n, pa.int32()), prefix], names=["doc_id", "cls", "n", "prefix"])
+
+    return docs.mapInArrow(run, "doc_id long, cls binary, n int, prefix array<long>")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose whole shingle sets reach the similarity."""
+
+    def run(batches):
+        for ids, data, offsets in text_blocks(batches):
+            values, bounds = sets_of(data, offsets, shingle)
+            items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), items], names=["id", "items"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, items array<long>"), "sets")
+    a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return stored(both.filter(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * least - 1e-9).select("a", "b").distinct(), "similar")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id of every document: the smallest doc_id reachable by links of a Jaccard similarity of `least`.
+
+    Shingles are those of the fingerprints (`simhash`), as a set. Documents with equal sets are one node; texts without
+    a word have the empty set, equal to itself alone. Rows with a null doc_id keep it and get the component of their set.
+
+    Two rounds find the links. In the first, documents that share a shingle of their prefixes are compared with the
+    first of them. In the second, those that share one and are not in one component yet are compared with each other.
+    """
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sets = stored(_prefixes(given, shingle, least), "prefixes")
+    classes = sets.filter("doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = stored(classes, "classes")
+    rows = classes.select("node", "n", F.explode("prefix").alias("key"))
+    first = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("f"), F.count("*").alias("rows")).filter("rows > 1").select("key", "f")
+    met = stored(rows.join(first, "key").select("key", "node", "n", F.col("f.node").alias("a"), F.col("f.n").alias("na")), "met")
+    alike = lambda x, y: (F.col(x) >= F.col(y) * least - 1e-9) & (F.col(y) >= F.col(x) * least - 1e-9)
+    pairs = stored(met.filter((F.col("node") > F.col("a")) & alike("n", "na")).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    links = _similar(pairs, given, shingle, least)
+    found = components(links)
+    placed = met.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+    placed = stored(placed.join(open_, "key", "left_semi"), "open")
+    x, y = (placed.select("key", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}")) for k in "ab")
+    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("na", "nb")).select("a", "b").distinct()
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    found = components(links.unionByName(_similar(rest, given, shingle, least)))
+    whole = classes.join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
+    return sets.select("doc_id", "cls").join(whole, "cls", "left").select("doc_id", "component_id")
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents but those of a group with a smaller doc_id. Columns as given.
+
+    Rows that share a doc_id go or stay together: they go if any of their texts has a smaller doc_id in its group. Rows
+    with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, shingle, least, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")

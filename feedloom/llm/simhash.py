@@ -39,27 +39,34 @@ def _joined(data: np.ndarray, offsets: np.ndarray):
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """Fingerprints of a block of documents as unsigned 64-bit integers."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int):
+    """XXH64 (seed 42) of all shingles in a block: documents that have any, bounds of each one's, and the hashes."""
     from xxhash import xxh64_intdigest
 
-    n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
+    none = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
     if not len(data):
-        return out
+        return none
     text, at = _joined(data, offsets)
     starts, ends, first = word_spans(text, at)
     words = np.diff(first)
     shingles = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
     full = np.flatnonzero(shingles)
     if not len(full):
-        return out
+        return none
     begin = np.concatenate([[0], np.cumsum(shingles[full])])
     doc = np.repeat(np.arange(len(full)), shingles[full])
     word = first[full][doc] + np.arange(begin[-1]) - begin[:-1][doc]
     last = np.minimum(word + shingle, first[full + 1][doc]) - 1
     raw = text.tobytes()
     hashes = np.fromiter((xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts[word].tolist(), ends[last].tolist(), strict=True)), np.uint64, begin[-1])
+    return full, begin, hashes
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """Fingerprints of a block of documents as unsigned 64-bit integers."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    full, begin, hashes = shingle_hashes(data, offsets, shingle)
+    shingles = np.diff(begin)
     at = 0
     while at < len(full):  # bits are unpacked for so many shingles at once
         to = max(at + 1, int(np.searchsorted(begin, begin[at] + (1 << 16), side="right")) - 1)
@@ -70,7 +77,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.n
             inside = np.maximum(begin[at:to], lo)
             own = np.flatnonzero((begin[at:to] < hi) & (begin[at + 1 : to + 1] > lo))
             sums[own] += np.add.reduceat(bits, inside[own] - lo, axis=0, dtype=np.int32)
-        half = sums * 2 > shingles[full[at:to], None]
+        half = sums * 2 > shingles[at:to, None]
         out[full[at:to]] = np.packbits(half, axis=1).view(">u8")[:, 0]
         at = to
     return out

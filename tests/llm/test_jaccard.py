@@ -1,0 +1,74 @@
+import random
+import re
+from itertools import combinations
+
+import corpus_pipeline
+from feedloom.llm import jaccard
+
+
+def shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def brute(rows, least=0.8):
+    """Smallest doc_id reachable of each, and the linked pairs of different texts."""
+    sets = [shingles(t) for _, t in rows]
+    root = {d: d for d, _ in rows}
+    pairs = set()
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(sets[i] | sets[j])
+        if not both or len(sets[i] & sets[j]) >= least * both - 1e-9:
+            pairs.add((rows[i][0], rows[j][0]))
+            a, b = find(rows[i][0]), find(rows[j][0])
+            root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in root}, pairs
+
+
+def corpus():
+    rng = random.Random(4)
+    line = " ".join(f"common{i}" for i in range(12))
+    rows = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 160))]
+        for _ in range(rng.randint(1, 5)):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w) + " " + line))
+    # a chain in which the first document is like the second alone
+    w = [f"c{i}" for i in range(104)]
+    for k in range(4):
+        rows.append((len(rows), " ".join([*w[k * 9 :], *(f"d{i}" for i in range(k * 9))])))
+    n = len(rows)
+    return [*rows, (n, None), (n + 1, ""), (n + 2, "one"), (n + 3, "ONE"), (n + 4, line)]
+
+
+def test_groups_equal_brute_force(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, pairs = brute(rows)
+    assert len(pairs) > 30
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()}
+    assert got == want
+
+
+def test_near_dedup_stage_has_full_recall_and_leaves_the_rest(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute(rows)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {d for d, c in want.items() if d == c}
+
+
+def test_rows_without_id_stay_and_copies_go(spark):
+    text = " ".join(map(str, range(40)))
+    df = spark.createDataFrame([(2, text), (2, "other words"), (1, text), (None, text), (None, text)], "doc_id long, text string")
+    assert [r["doc_id"] for r in jaccard.first_of_groups(df).collect() if r["doc_id"] is not None] == [1]
+    assert jaccard.first_of_groups(df).count() == 3
+    assert jaccard.near_duplicates(df.limit(0)).count() == 0
