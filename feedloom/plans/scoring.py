@@ -234,6 +234,22 @@ def join_allpairs_sim(spark, d):
     return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("common"))
 
 
+@query("sim_entity_jaccard_all")
+def sim_entity_jaccard_all(spark, d):
+    """Every order; `sim_entity_jaccard` and its twin see those with a key under 3000."""
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("entity")).distinct()
+    return R.entity_jaccard(e).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query("join_allpairs_sim_all")
+def join_allpairs_sim_all(spark, d):
+    """Every customer; `join_allpairs_sim` and its twin see those with a key under 300."""
+    k = F.concat("o_orderpriority", F.lit("/"), F.date_format("o_orderdate", "yyyy-MM"))
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), k.alias("k")).distinct()
+    a, b = p.alias("a"), p.alias("b")
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("common"))
+
+
 @query("mmr_rank")
 def mmr_rank(spark, d):
     base = base_scores(S.posts(spark, d)).select("id", F.col("base_score").alias("base")).filter("base > 0")

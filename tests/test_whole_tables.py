@@ -18,3 +18,16 @@ def test_sim_tfidf_all_equals_brute_force(spark, tmp_path):
     norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in w.items()}
     want = {(a, b): sum(x * w[b][t] for t, x in w[a].items() if t in w[b]) / norm[a] / norm[b] for a, b in combinations(sorted(w), 2) if w[a].keys() & w[b].keys()}
     assert want.keys() == {(1, 2), (3, 13)} and got == pytest.approx(want, abs=1e-6)
+
+
+def test_pair_queries_see_rows_of_any_key(spark, tmp_path):
+    lines = [(1, 5), (1, 6), (3000, 5), (3000, 6), (3000, 7), (9999, 7), (9999, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    sets = defaultdict(set)
+    for k, s in lines:
+        sets[k].add(s)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b]}
+    assert {(r["a"], r["b"]): r["jaccard"] for r in QUERIES["sim_entity_jaccard_all"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-9)
+    orders = [(7, "1-URGENT", "1995-01-03"), (300, "1-URGENT", "1995-01-09"), (300, "2-HIGH", "1996-05-01"), (301, "2-HIGH", "1996-05-30"), (301, "1-URGENT", "1995-02-01")]
+    spark.createDataFrame(orders, "o_custkey long, o_orderpriority string, o_orderdate string").selectExpr("o_custkey", "o_orderpriority", "CAST(o_orderdate AS date) AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {tuple(r) for r in QUERIES["join_allpairs_sim_all"](spark, str(tmp_path)).select("a", "b", "common").collect()} == {(7, 300, 1), (300, 301, 1)}
