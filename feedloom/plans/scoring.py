@@ -283,6 +283,14 @@ def category(spark, d):
     return categorize_keyword(spark, d).withColumn("method", F.lit("keyword_v1"))
 
 
+@query("category_all")
+def category_all(spark, d):
+    """Whole texts as they are; `category` and its twin see 200 characters behind words put in front."""
+    p = S.posts(spark, d).select("id", X.normalise(F.col("text")).alias("t"))
+    terms = F.filter(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda t: ~t.isin(X.STOP_WORDS))
+    return p.select("id", R.keyword_category(F.array_distinct(terms), F.col("t")).alias("category"), F.lit("keyword_v1").alias("method"))
+
+
 FLAT_WORDS = f"(CASE WHEN {NORM} = '' THEN [] ELSE string_split({NORM}, ' ') END)"
 PROFILE = "list_max([" + ", ".join("{'hits': len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{t}'" for t in ws) + f"))), 'prio': {-k}, 'label': '{lang}'}}" for k, (lang, ws) in enumerate(L.FUNCTION_WORDS.items())) + "])"
 

@@ -31,3 +31,11 @@ def test_pair_queries_see_rows_of_any_key(spark, tmp_path):
     orders = [(7, "1-URGENT", "1995-01-03"), (300, "1-URGENT", "1995-01-09"), (300, "2-HIGH", "1996-05-01"), (301, "2-HIGH", "1996-05-30"), (301, "1-URGENT", "1995-02-01")]
     spark.createDataFrame(orders, "o_custkey long, o_orderpriority string, o_orderdate string").selectExpr("o_custkey", "o_orderpriority", "CAST(o_orderdate AS date) AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
     assert {tuple(r) for r in QUERIES["join_allpairs_sim_all"](spark, str(tmp_path)).select("a", "b", "common").collect()} == {(7, 300, 1), (300, 301, 1)}
+
+
+def test_category_reads_behind_200_characters_and_puts_nothing_in(spark, tmp_path):
+    texts = {0: "nothing here", 4: "zzz " * 60 + "linux python"}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: r["category"] for r in QUERIES["category_all"](spark, str(tmp_path)).collect()}
+    cut = {r["id"]: r["category"] for r in QUERIES["category"](spark, str(tmp_path)).collect()}
+    assert got[0] is None and got[4] is not None and cut[4] is None
