@@ -61,6 +61,33 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def freeing(run):
+    """A worker function that gives its memory back to the system.
+
+    Large arrays get pages of their own, which go back as soon as they are freed, and what a task leaves is trimmed, so
+    a worker that lives on for other tasks holds little.
+    """
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        libc = ctypes.CDLL(None)
+        try:
+            libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, or it grows with what is freed
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+            pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def text_blocks(batches, max_bytes: int = BLOCK_BYTES):
     """(ids, data, offsets) of Arrow batches with columns id, text; null texts are empty; blocks are bounded."""
     for batch in batches:
@@ -147,4 +174,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if mark == seen or mark[0] == mark[2] and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import freeing, text_blocks
 
 #: Symbols of labelled text per language, a bound on the model. Documented parameter of `fit`.
 SAMPLE_SYMBOLS = 24_000
@@ -245,7 +245,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 names=["doc_id", "lang_pred", "score", "bits"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freeing(run), "doc_id long, lang_pred string, score double, bits double")
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **bounds) -> DataFrame:
@@ -269,4 +269,4 @@ def identified(docs: DataFrame, model: Model, languages: list[str] | None = None
             keep = [n in wanted for _, data, offsets in text_blocks([batch.select([place, place])], BLOCK) for n in predictor.block(data, offsets)[0]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)

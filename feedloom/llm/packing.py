@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunk_dictionary, chunk_starts, shared_dir, stored, text_blocks
-from .tokens import BYTE_CHARS, ChunkTable
+from .common import chunk_dictionary, chunk_starts, freeing, shared_dir, stored, text_blocks
+from .tokens import BLOCK, ChunkTable
 
 #: Parts of each length that are ranked on their own, so that no length is one task's.
 RANK_PARTS = 64
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, do
     def run(batches):
         ids_of = WordIds(tokenizer)
         table = ChunkTable(ids_of.chunk)
-        for ids, data, offsets in text_blocks(batches):
+        for ids, data, offsets in text_blocks(batches, BLOCK):
             n = len(offsets) - 1
             flat_ids, bounds = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
             odd = np.zeros(n, bool)
@@ -60,11 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, do
                 odd[np.searchsorted(offsets, np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)), side="right") - 1] = True
                 starts = chunk_starts(data, offsets, punctuation=True)
                 index, distinct = chunk_dictionary(data, starts)
-                rows, flat, begin, sizes = table.of(distinct.to_pylist())
-                row = rows[index]
-                size = sizes[row]
-                first = np.concatenate([[0], np.cumsum(size)])
-                flat_ids = flat[np.repeat(begin[row] - first[:-1], size) + np.arange(first[-1])]
+                flat_ids, first = table.of(distinct.to_pylist(), index)
                 bounds = first[np.searchsorted(starts, offsets)]
             out: dict[str, list] = {"k": [], "piece": [], "start": [], "length": [], "crc": []}
             for k in range(n):
@@ -81,7 +77,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, do
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freeing(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[list]:

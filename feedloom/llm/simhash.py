@@ -4,6 +4,10 @@ Of two fingerprints that differ in at most k bits, some quarter of 16 bits diffe
 fingerprint is turned in four ways, a different quarter on top, and goes to the trie nodes of depth 16 that its top
 quarter reaches within k // 4 errors. Below such a node, or pair of nodes, pairs of nodes are walked level by level,
 adding up the bits in which they differ; a pair that exceeds k is left, with all that hangs below.
+
+Documents of a Jaccard similarity of 0.8 differ in some ten bits, too many for quarters. `similar_documents` deals
+fingerprints out by bands instead: the shingles of a document are split by their hash into groups, and documents with
+an equal group hang in one trie, which is joined with a wide budget. Whole shingle sets decide on what it leaves.
 """
 
 from __future__ import annotations
@@ -15,17 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, stored, text_blocks, word_spans
+from .common import SPACE, components, freeing, stored, text_blocks, word_spans
 
 #: A-Z to a-z, all other bytes unchanged.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Bands a document has at most, and shingles of a band (at least on average, and up to twice as many).
+BANDS, BAND_SHINGLES = 16, 4
+#: Bits in which fingerprints of similar documents may differ. At a Jaccard similarity of 0.8 it is 9.7 on average with
+#: a standard deviation of 2.9; short texts scatter more.
+SIMILAR_BITS = 24
+
 #: Node pairs with at most so many pairs of leaves are compared leaf by leaf.
 LEAVES = 1024
 #: Pairs compared at once; a memory bound.
 AT_ONCE = 1 << 19
-#: Rows of one top node beyond which its children are dealt out in pairs.
+#: Rows of one node, or pair of nodes, beyond which its children are dealt out in pairs.
 HOT_NODE = 20_000
 
 
@@ -64,8 +74,12 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int):
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     """Fingerprints of a block of documents as unsigned 64-bit integers."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    full, begin, hashes = shingle_hashes(data, offsets, shingle)
+    return majority(len(offsets) - 1, *shingle_hashes(data, offsets, shingle))
+
+
+def majority(n: int, full: np.ndarray, begin: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The bits that over half of each document's hashes have; zero for documents without any."""
+    out = np.zeros(n, np.uint64)
     shingles = np.diff(begin)
     at = 0
     while at < len(full):  # bits are unpacked for so many shingles at once
@@ -83,6 +97,50 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.n
     return out
 
 
+def sets_of(n: int, full: np.ndarray, begin: np.ndarray, hashes: np.ndarray):
+    """Sorted distinct shingle hashes of n documents as signed longs, and the bounds of each document's."""
+    doc = np.repeat(full, np.diff(begin))
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=n))]).astype(np.int64)
+
+
+def bands_of(values: np.ndarray, bounds: np.ndarray, least: float):
+    """Keys of the bands of each shingle set, and the bounds of each document's.
+
+    A set of n shingles is split by their hashes into 2**level groups of BAND_SHINGLES to twice as many on average; a
+    band is one of its first BANDS groups that is not empty, and its key a sum over the group. Sets of a similarity of
+    `least` differ in size by at most that factor, so a set close to the next level has the bands of both.
+    """
+    n = np.diff(bounds)
+    level = np.where(n > BAND_SHINGLES, np.floor(np.log2(np.maximum(n, 1) / BAND_SHINGLES) + 1e-12), 0).astype(np.int64)
+    more = n >= least * BAND_SHINGLES * 2.0 ** (level + 1) - 1e-9
+    doc = np.concatenate([np.flatnonzero(n), np.flatnonzero(more)])
+    level = np.concatenate([level[n > 0], level[more] + 1])
+    order = np.argsort(doc, kind="stable")
+    doc, level = doc[order], level[order]
+    entry = np.repeat(np.arange(len(doc)), n[doc])
+    at = bounds[:-1][doc][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n[doc]) - n[doc], n[doc])
+    hashes = values[at].view(np.uint64)
+    group = (hashes & ((np.uint64(1) << level[entry].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    kept = group < BANDS
+    entry, group, hashes = entry[kept], group[kept], hashes[kept]
+    order = np.lexsort((group, entry))
+    entry, group, hashes = entry[order], group[order], hashes[order]
+    if not len(entry):
+        return np.zeros(0, np.int64), np.zeros(len(n) + 1, np.int64)
+    new = np.ones(len(entry), bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (group[1:] != group[:-1])
+    with np.errstate(over="ignore"):
+        mixed = hashes ^ (hashes >> np.uint64(29))
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        key = np.add.reduceat(mixed, np.flatnonzero(new)) + (level[entry[new]] * BANDS + group[new]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return key.view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(doc[entry[new]], minlength=len(n)))]).astype(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row (doc_id, fp) per document, fp the 64-bit fingerprint as a signed long. Map-only."""
 
@@ -91,7 +149,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text
             fp = fingerprints_of(data, offsets, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freeing(run), "doc_id long, fp long")
 
 
 def _product(a_lo, a_hi, b_lo, b_hi):
@@ -128,14 +186,13 @@ class Forest:
         self.root = root
 
 
-def trie_join(values: np.ndarray, bounds: np.ndarray, side: np.ndarray, depth: int, budget: int, errors: np.ndarray) -> np.ndarray:
-    """Self-join of tries: smallest index reachable from each index by links of at most `budget` bits.
+def trie_join(values: np.ndarray, bounds: np.ndarray, side: np.ndarray, depth: int, budget: int, errors: np.ndarray):
+    """Self-join of tries: pairs of indices whose values differ in at most `budget` bits, in parts of bounded size.
 
     `values` (unsigned) are sorted within each group [bounds[g], bounds[g + 1]); groups of one top node (errors 0)
     join with themselves; in groups of a pair of top nodes, the rows with side 0 come first and join with side 1,
     `errors` bits being spent on top. All values of a node agree in the top `depth` bits.
     """
-    forest = Forest(len(values))
     lo, hi = bounds[:-1], bounds[1:]
     pair = errors > 0
     ones = np.concatenate([[0], np.cumsum(side)])
@@ -143,26 +200,26 @@ def trie_join(values: np.ndarray, bounds: np.ndarray, side: np.ndarray, depth: i
     s_lo, s_hi = lo[~pair], hi[~pair]
     c = [lo[pair], mid[pair], mid[pair], hi[pair], errors[pair]]
 
-    def leaves(a_lo, a_hi, b_lo, b_hi, same: bool) -> None:
+    def leaves(a_lo, a_hi, b_lo, b_hi, same: bool):
         for i, j in _product(a_lo, a_hi, b_lo, b_hi):
             if same:
                 i, j = i[i < j], j[i < j]
             near = np.bitwise_count(values[i] ^ values[j]) <= budget
-            forest.add(i[near], j[near])
+            yield i[near], j[near]
 
     for d in range(depth, 64):
         big = (s_hi - s_lo) ** 2 > LEAVES
         if (small := ~big & (s_hi - s_lo > 1)).any():
-            leaves(s_lo[small], s_hi[small], s_lo[small], s_hi[small], True)
+            yield from leaves(s_lo[small], s_hi[small], s_lo[small], s_hi[small], True)
         s_lo, s_hi = s_lo[big], s_hi[big]
         some = (c[1] > c[0]) & (c[3] > c[2]) & (c[4] <= budget)
         c = [x[some] for x in c]
         small = (c[1] - c[0]) * (c[3] - c[2]) <= LEAVES
         if small.any():
-            leaves(*(x[small] for x in c[:4]), False)
+            yield from leaves(*(x[small] for x in c[:4]), False)
             c = [x[~small] for x in c]
         if not len(s_lo) and not len(c[0]):
-            return forest.root
+            return
         bit = np.concatenate([[0], np.cumsum((values >> np.uint64(63 - d)) & np.uint64(1))]).astype(np.int64)
         cut = lambda a, b: b - (bit[b] - bit[a])  # noqa: E731  where the ones of a node begin
         m, am, bm = cut(s_lo, s_hi), cut(c[0], c[1]), cut(c[2], c[3])
@@ -170,59 +227,80 @@ def trie_join(values: np.ndarray, bounds: np.ndarray, side: np.ndarray, depth: i
         c = [np.concatenate(x) for x in zip((s_lo, m, m, s_hi, np.ones(len(m), np.int64)), (c[0], am, c[2], bm, e), (am, c[1], bm, c[3], e), (c[0], am, bm, c[3], e + 1), (am, c[1], c[2], bm, e + 1), strict=True)]
         s_lo, s_hi = np.concatenate([s_lo, m]), np.concatenate([m, s_hi])
     some = (c[1] > c[0]) & (c[3] > c[2]) & (c[4] <= budget)
-    leaves(*(x[some] for x in c[:4]), False)
-    leaves(s_lo, s_hi, s_lo, s_hi, True)
-    return forest.root
+    yield from leaves(*(x[some] for x in c[:4]), False)
+    yield from leaves(s_lo, s_hi, s_lo, s_hi, True)
 
 
 def near_links(distinct: DataFrame, budget: int, fp: str = "fp", node: str = "node") -> DataFrame:
     """Links (a, b) of nodes whose fingerprints differ in at most `budget` bits: a spanning forest of each trie node.
 
-    `distinct` has one row per fingerprint. A node of the trie with more than HOT_NODE rows is dealt out by pairs of
-    its children of depth 24, so no node is one task's however many fingerprints it holds.
+    `distinct` has one row per fingerprint; each goes to the trie nodes of depth 16 of its four turns.
     """
     if not 0 <= budget <= 11:
         raise ValueError("the budget of bits is 0 to 11")
-    spend = budget // 4
     turned = distinct.select(F.col(node).alias("node"), F.col(fp).alias("fp"), F.explode(F.array(*(F.lit(r) for r in range(4)))).alias("turn"))
     rot = F.expr("CASE turn WHEN 0 THEN fp ELSE (shiftleft(fp, 16 * turn) | shiftrightunsigned(fp, 64 - 16 * turn)) END")
     turned = turned.withColumn("v", rot).withColumn("top", F.shiftrightunsigned("v", 48))
-    turned = _node_pairs(turned, "top", 16, spend, "turn")
-    sizes = turned.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT_NODE)
-    dealt = turned.join(sizes, "key", "left")
-    cold = dealt.filter("rows IS NULL").select("node", "v", "key", "side", "spent", F.lit(16).alias("depth"), F.lit(0).alias("sub"))
-    hot = dealt.filter("rows IS NOT NULL").withColumn("child", F.expr("shiftrightunsigned(v, 40) & 255").cast("long"))
-    hot = _children(hot, budget)
-    both = cold.unionByName(hot).withColumn("part", F.xxhash64("key", "sub"))
-    both = both.repartition("part").sortWithinPartitions("key", "sub", "side", F.expr("v ^ (-9223372036854775807L - 1L)"))
+    rows = _node_pairs(turned, "top", 16, budget // 4, "turn").select("node", "v", "key", "side", "spent")
+
+    def found(rows: pa.Table, pairs):
+        nodes, forest = rows["node"].to_numpy(), Forest(len(rows))
+        for i, j in pairs:
+            forest.add(np.minimum(i, j), np.maximum(i, j))
+        tied = np.flatnonzero(forest.root != np.arange(len(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[forest.root[tied]])], names=["a", "b"])
+
+    return _joined_tries(rows, budget, 16, found)
+
+
+def _joined_tries(rows: DataFrame, budget: int, depth: int, found) -> DataFrame:
+    """(a, b) that `found` makes of the pairs in each trie node; rows are (node, v, key, side, spent) and more.
+
+    `key` names a trie node of this depth, or a pair of them on which `spent` bits differ. Rows are dealt out by key.
+    A key of more than HOT_NODE rows is dealt out by pairs of its children 8 bits deeper, and these again while they
+    are too large, so no node is one task's however many fingerprints it holds.
+    """
+    rows = stored(rows, "trie")
+    parts = []
+    while depth <= 48:
+        hot = stored(rows.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT_NODE).select("key"), "hot")
+        if hot.isEmpty():
+            break
+        parts.append(rows.join(hot, "key", "left_anti").withColumn("depth", F.lit(depth)))
+        rows = stored(_children(rows.join(hot, "key", "left_semi"), budget, depth), "trie")
+        depth += 8
+    parts.append(rows.withColumn("depth", F.lit(depth)))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    both = both.repartition("key").sortWithinPartitions("depth", "key", "side", F.expr("v ^ (-9223372036854775807L - 1L)"))
 
     def run(batches):
-        kept = None
+        held = []
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
-            key, sub = t["key"].to_numpy(), t["sub"].to_numpy()
-            new = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
-            if not len(new):
-                kept = t
-                continue
-            yield from _linked(t.slice(0, int(new[-1])))
-            kept = t.slice(int(new[-1]))
-        if kept is not None and len(kept):
-            yield from _linked(kept)
-
-    def _linked(t):
-        key, sub = t["key"].to_numpy(), t["sub"].to_numpy()
-        v = t["v"].to_numpy().view(np.uint64)
-        bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1, [len(key)]])
-        side, spent, depth, nodes = t["side"].to_numpy().astype(np.int64), t["spent"].to_numpy().astype(np.int64), t["depth"].to_numpy(), t["node"].to_numpy()
-        for d in np.unique(depth[bounds[:-1]]):
-            own = depth[bounds[:-1]] == d
-            rows = np.flatnonzero(np.repeat(own, np.diff(bounds)))
-            edges = np.concatenate([[0], np.cumsum(np.diff(bounds)[own])])
-            root = trie_join(v[rows], edges, side[rows], int(d), budget, spent[rows][edges[:-1]])
-            tied = np.flatnonzero(root != np.arange(len(root)))
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows][tied]), pa.array(nodes[rows][root[tied]])], names=["a", "b"])
+            key = batch["key"].to_numpy()
+            new = np.flatnonzero(key[1:] != key[:-1]) + 1
+            if held and held[-1]["key"][-1].as_py() != int(key[0]):
+                yield from linked(held)
+                held = []
+            if len(new):  # the last key may go on in the next batch
+                held.append(batch.slice(0, int(new[-1])))
+                yield from linked(held)
+                held = []
+                batch = batch.slice(int(new[-1]))
+            held.append(batch)
+        if held:
+            yield from linked(held)
+
+    def linked(held):
+        t = pa.Table.from_batches(held)
+        key, v = t["key"].to_numpy(), t["v"].to_numpy().view(np.uint64)
+        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        side, spent, depth = (t[c].to_numpy().astype(np.int64) for c in ("side", "spent", "depth"))
+        for d in np.unique(depth):  # depths stand in order
+            lo, hi = np.searchsorted(depth, [d, d + 1])
+            own = bounds[(bounds >= lo) & (bounds <= hi)] - lo
+            yield from found(t.slice(lo, hi - lo), trie_join(v[lo:hi], own, side[lo:hi], int(d), budget, spent[lo:hi][own[:-1]]))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -239,16 +317,24 @@ def _node_pairs(rows: DataFrame, top: str, bits: int, spend: int, turn: str) ->
     return out.withColumn("key", key).withColumn("side", (a > b).cast("int")).withColumn("spent", F.bit_count("mask").cast("int"))
 
 
-def _children(hot: DataFrame, budget: int) -> DataFrame:
-    """Rows of a hot node or node pair by pairs of its children that stay within the budget."""
+def _children(hot: DataFrame, budget: int, depth: int) -> DataFrame:
+    """Rows of hot nodes or node pairs by pairs of their children, 8 bits deeper, that stay within the budget."""
+    child = F.shiftrightunsigned("v", 56 - depth).bitwiseAND(F.lit(255).cast("long"))
     masks = [0] + [sum(1 << x for x in c) for e in range(1, min(budget, 8) + 1) for c in combinations(range(8), e)]
-    out = hot.withColumn("mask2", F.explode(F.filter(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.bit_count(m) + F.col("spent") <= budget)))
-    other = F.col("child").bitwiseXOR(F.col("mask2"))
+    allowed = F.filter(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.bit_count(m) + F.col("spent") <= budget)
+    hot = hot.withColumn("__child", child)
+    # rows go only where the other side has some: at most 512 children of a hot key
+    there = stored(hot.select(F.col("key").alias("__key"), F.when(F.col("spent") == 0, 0).otherwise(1 - F.col("side")).alias("__side"), F.col("__child").alias("__other")).distinct(), "children")
+    out = hot.withColumn("__mask", F.explode(allowed)).withColumn("__other", F.col("__child").bitwiseXOR(F.col("__mask")))
+    met = (F.col("key") == F.col("__key")) & (F.when(F.col("spent") == 0, 0).otherwise(F.col("side")) == F.col("__side")) & (out["__other"] == there["__other"])
+    out = out.join(there, met, "left_semi")
+    own, other = F.col("__child"), F.col("__other")
     self_pair = F.col("spent") == 0  # both sides are one node: the smaller child is side 0
-    low = F.when(self_pair, F.least("child", other)).when(F.col("side") == 0, F.col("child")).otherwise(other)
-    high = F.when(self_pair, F.greatest("child", other)).when(F.col("side") == 0, other).otherwise(F.col("child"))
-    side = F.when(self_pair, (F.col("child") > other).cast("int")).otherwise(F.col("side"))
-    return out.select("node", "v", "key", side.alias("side"), (F.col("spent") + F.bit_count("mask2").cast("int")).alias("spent"), F.lit(24).alias("depth"), (1 + low * 256 + high).cast("int").alias("sub"))
+    low = F.when(self_pair, F.least(own, other)).when(F.col("side") == 0, own).otherwise(other)
+    high = F.when(self_pair, F.greatest(own, other)).when(F.col("side") == 0, other).otherwise(own)
+    side = F.when(self_pair, (own > other).cast("int")).otherwise(F.col("side"))
+    fresh = {"key": F.xxhash64("key", low, high), "side": side, "spent": (F.col("spent") + F.bit_count("__mask")).cast("int")}
+    return out.select(*(fresh[c].alias(c) if c in fresh else c for c in hot.columns if c != "__child"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,11 +357,85 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 3, doc_id:
     return fps.join(whole, "fp", "left").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, shingle: int = 5, budget: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents but those of a group with a smaller doc_id. Columns as given.
+def _signatures(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """doc_id, cls (a digest of the shingle set), n (its size), fp and bands of every document. Map-only."""
+
+    def run(batches):
+        from xxhash import xxh3_128_digest
+
+        for ids, data, offsets in text_blocks(batches):
+            found = shingle_hashes(data, offsets, shingle)
+            fp = majority(len(ids), *found).view(np.int64)
+            values, bounds = sets_of(len(ids), *found)
+            cls = [xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            keys, at = bands_of(values, bounds, least)
+            bands = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cls, pa.binary()), pa.array(np.diff(bounds), pa.int32()), pa.array(fp), bands], names=["doc_id", "cls", "n", "fp", "bands"])
+
+    return docs.mapInArrow(freeing(run), "doc_id long, cls binary, n int, fp long, bands array<long>")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose whole shingle sets reach the Jaccard similarity."""
+
+    def run(batches):
+        for ids, data, offsets in text_blocks(batches):
+            values, bounds = sets_of(len(ids), *shingle_hashes(data, offsets, shingle))
+            items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), items], names=["id", "items"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(freeing(run), "id long, items array<long>"), "sets")
+    a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return stored(both.filter(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * least - 1e-9).select("a", "b").distinct(), "similar")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", bits: int = SIMILAR_BITS) -> DataFrame:
+    """doc_id and component_id of every document: the smallest doc_id reachable by links of a Jaccard similarity of `least`.
+
+    Shingles are those of the fingerprints, as a set. Documents that share a band hang in one trie of fingerprints; what
+    its join leaves within `bits` is compared by whole shingle sets, so no other pair is linked. A pair is missed where
+    it shares none of its bands, or differs in more bits; README.md has the measured recall.
+
+    Documents with equal sets are one node. Texts without a word have the empty set, equal to itself alone. Rows that
+    share a doc_id are one document, linked by any of its texts; rows with a null doc_id keep it and get the component
+    of their set. An empty table gives none; other columns are ignored.
+
+    Links are found in two rounds. In the first, documents are compared with the first one of their bands. In the
+    second, the tries of bands that still hold several components are joined, for pairs in different ones.
+    """
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    signed = stored(_signatures(given, shingle, least), "signatures")
+    classes = signed.filter("doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("fp").alias("v"), F.first("bands").alias("bands"))
+    classes = stored(classes, "classes")
+    rows = classes.select("node", "n", "v", F.explode("bands").alias("key"))
+    first = rows.groupBy("key").agg(F.min(F.struct("node", "n", "v")).alias("f"), F.count("*").alias("rows")).filter("rows > 1").select("key", "f")
+    met = stored(rows.join(first, "key"), "met")
+    alike = (F.col("n") >= F.col("f.n") * least - 1e-9) & (F.col("f.n") >= F.col("n") * least - 1e-9) & (F.bit_count(F.col("v").bitwiseXOR(F.col("f.v"))) <= bits)
+    pairs = stored(met.filter((F.col("node") > F.col("f.node")) & alike).select(F.col("f.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = _similar(pairs, given, shingle, least)
+    placed = met.select("key", "node", "n", "v").join(components(links), "node", "left").select("node", "v", "key", F.lit(0).alias("side"), F.lit(0).alias("spent"), "n", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+
+    def found(rows: pa.Table, near):
+        node, n, c = (rows[x].to_numpy() for x in ("node", "n", "c"))
+        for i, j in near:
+            some = (c[i] != c[j]) & (n[i] >= n[j] * least - 1e-9) & (n[j] >= n[i] * least - 1e-9)
+            i, j = node[i[some]], node[j[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+    rest = _joined_tries(placed.join(open_, "key", "left_semi"), bits, 0, found).distinct()
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    whole = classes.join(components(links.unionByName(_similar(rest, given, shingle, least))), "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
+    return signed.select("doc_id", "cls").join(whole, "cls", "left").select("doc_id", "component_id")
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents but those of a group of similar ones with a smaller doc_id. Columns as given.
 
     Rows that share a doc_id go or stay together: they go if any of their texts has a smaller doc_id in its group. Rows
     with a null doc_id stay.
     """
-    gone = near_duplicates(docs, shingle, budget, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = similar_documents(docs, shingle, least, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_dictionary, chunk_starts, text_blocks
+from .common import chunk_dictionary, chunk_starts, freeing, text_blocks
 
 #: Fixed values of the byte-level alphabet: printable bytes stand for themselves, others follow from U+0100.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -35,9 +35,12 @@ _S = "".join(f"{chr(92)}U{a:08x}-{chr(92)}U{b:08x}" for a, b in _SPACE_RANGES)
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 SPACES = rf"[{_S}]+"
 
-#: Entries kept by a worker before its tables start anew; a memory bound that no result depends on.
-MOST_CHUNKS = 700_000
-MOST_PREFIXES = 300_000
+#: Bytes of a worker's table of chunks, and entries of its other tables, beyond which they start anew: memory bounds
+#: that no result depends on. An entry counts for what its key and numbers take in Python besides its own bytes.
+TABLE_BYTES, ENTRY_BYTES = 48 << 20, 200
+MOST_PREFIXES = 150_000
+#: Bytes of text counted at once.
+BLOCK = 2 << 20
 
 
 class PrefixCounter:
@@ -215,40 +218,46 @@ def _odd_documents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """Integer lists of distinct chunks in flat arrays, made once while they stay in the table."""
 
-    def __init__(self, make, most: int = MOST_CHUNKS):
-        self.make, self.most = make, most
+    def __init__(self, make, most_bytes: int = TABLE_BYTES):
+        self.make, self.most = make, most_bytes
         self._new({})
 
     def _new(self, kept: dict) -> None:
-        old = getattr(self, "flat", None)
+        old = (self.flat, self.starts, self.sizes) if kept else None
         self.rows: dict[bytes, int] = {}
-        flat, starts, sizes = array("i"), [], []
+        self.flat, self.starts, self.sizes, self.seen, self.held = array("i"), array("q"), array("i"), bytearray(), 0
         for k, row in kept.items():
-            self.rows[k] = len(starts)
-            a, n = self.starts[row], self.sizes[row]
-            starts.append(len(flat))
-            sizes.append(n)
-            flat.extend(old[a : a + n])
-        self.flat, self.starts, self.sizes, self.seen = flat, starts, sizes, bytearray(len(starts))
-
-    def of(self, chunks: list[bytes]):
-        """Rows of these chunks, and the flat values, starts and sizes of all rows."""
-        if len(self.rows) > self.most:  # what came up again stays, if that is not too much
-            again = {k: r for k, r in self.rows.items() if self.seen[r]}
-            self._new(again if len(again) < self.most // 2 else {})
-        rows, get, seen = [], self.rows.get, self.seen
-        for c in chunks:
+            self._add(k, old[0][old[1][row] : old[1][row] + old[2][row]])
+
+    def _add(self, chunk: bytes, values) -> int:
+        row = self.rows[chunk] = len(self.starts)
+        self.starts.append(len(self.flat))
+        self.flat.extend(values)
+        self.sizes.append(len(values))
+        self.seen.append(0)
+        self.held += ENTRY_BYTES + len(chunk) + 4 * len(values)
+        return row
+
+    def of(self, chunks: list[bytes], index: np.ndarray):
+        """The lists of the chunks at `index`, one after another, and where each begins (one more at the end)."""
+        if self.held > self.most:  # what came up again stays, if that is not too much
+            again = {k: r for k, r in self.rows.items() if self.seen[r] and len(k) < 256}
+            self._new(again if len(again) < len(self.rows) // 2 else {})
+        rows, get, seen = np.empty(len(chunks), np.int64), self.rows.get, self.seen
+        for i, c in enumerate(chunks):
             row = get(c)
             if row is None:
-                row = self.rows[c] = len(self.starts)
-                self.starts.append(len(self.flat))
-                self.flat.extend(x := self.make(c))
-                self.sizes.append(len(x))
-                seen.append(0)
+                row = self._add(c, self.make(c))
             else:
                 seen[row] = 1
-            rows.append(row)
-        return np.array(rows, np.int64), np.array(self.flat, np.int32), np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+            rows[i] = row
+        row = rows[index]
+        size = np.frombuffer(self.sizes, np.int32)[row]
+        first = np.zeros(len(row) + 1, np.int64)
+        np.cumsum(size, out=first[1:])
+        at = np.arange(first[-1])
+        at += np.repeat(np.frombuffer(self.starts, np.int64)[row] - first[:-1], size)
+        return np.frombuffer(self.flat, np.int32)[at], first
 
 
 def _counts_of_block(counter: PrefixCounter, table: ChunkTable, data: np.ndarray, offsets: np.ndarray):
@@ -259,18 +268,14 @@ def _counts_of_block(counter: PrefixCounter, table: ChunkTable, data: np.ndarray
     if len(data):
         starts = chunk_starts(data, offsets, punctuation=True)
         index, distinct = chunk_dictionary(data, starts)
-        rows, flat, begin, sizes = table.of(distinct.to_pylist())
-        row = rows[index]
-        size = sizes[row]
-        first = np.concatenate([[0], np.cumsum(size)])
+        values, first = table.of(distinct.to_pylist(), index)
         chunk_of_doc = np.searchsorted(starts, offsets)
         bounds = first[chunk_of_doc]
-        total = flat[begin[row] + size - 1].astype(np.int64)
+        total = values[first[1:] - 1].astype(np.int64)
         before = np.cumsum(total) - total
         doc = np.repeat(np.arange(n), np.diff(chunk_of_doc))
         before -= before[chunk_of_doc[doc]]
-        shift = np.repeat(begin[row] - first[:-1], size)
-        values = flat[shift + np.arange(first[-1])] + np.repeat(before, size).astype(np.int32)
+        values += np.repeat(before.astype(np.int32), np.diff(first))
     if odd.any():
         parts, raw = [], data.tobytes()
         for k in range(n):
@@ -296,7 +301,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, doc_id: str
     def run(batches):
         counter = PrefixCounter(tokenizer)
         table = ChunkTable(counter.chunk)
-        for ids, data, offsets in text_blocks(batches):
+        for ids, data, offsets in text_blocks(batches, BLOCK):
             values, bounds = _counts_of_block(counter, table, data, offsets)
             sizes = np.diff(bounds)
             full = sizes > 0
@@ -310,7 +315,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, doc_id: str
                 cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values)))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_chars", "n_tokens", "over_limit", "limit_chars", "prefix_tokens"][: len(cols)])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freeing(run), schema)
 
 
 def truncated(counted: DataFrame, budget: int, text: str = "text", prefix_tokens: str = "prefix_tokens") -> DataFrame:

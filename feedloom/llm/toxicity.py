@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks, word_spans
+from .common import freeing, text_blocks, word_spans
 from .simhash import _joined
 
 #: Bounds on the labelled sample, documented parameters of `fit`: documents a class, characters of each.
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: s
             s = m.scores(data, offsets, compressors) if compressors else np.full(len(ids), float(m.prior))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freeing(run), "doc_id long, score double, predicted int")
 
 
 def assess(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:

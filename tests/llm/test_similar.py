@@ -3,7 +3,9 @@ import re
 from itertools import combinations
 
 import corpus_pipeline
-from feedloom.llm import jaccard
+import numpy as np
+import pytest
+from feedloom.llm import simhash
 
 
 def shingles(text, k=5):
@@ -50,12 +52,14 @@ def corpus():
     return [*rows, (n, None), (n + 1, ""), (n + 2, "one"), (n + 3, "ONE"), (n + 4, line)]
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [20000, 40])
+def test_groups_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_NODE", hot)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want, pairs = brute(rows)
     assert len(pairs) > 30
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
     assert got == want
 
 
@@ -69,6 +73,18 @@ def test_near_dedup_stage_has_full_recall_and_leaves_the_rest(spark):
 def test_rows_without_id_stay_and_copies_go(spark):
     text = " ".join(map(str, range(40)))
     df = spark.createDataFrame([(2, text), (2, "other words"), (1, text), (None, text), (None, text)], "doc_id long, text string")
-    assert [r["doc_id"] for r in jaccard.first_of_groups(df).collect() if r["doc_id"] is not None] == [1]
-    assert jaccard.first_of_groups(df).count() == 3
-    assert jaccard.near_duplicates(df.limit(0)).count() == 0
+    assert [r["doc_id"] for r in simhash.first_of_groups(df).collect() if r["doc_id"] is not None] == [1]
+    assert simhash.first_of_groups(df).count() == 3
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def test_equal_groups_of_shingles_make_equal_bands():
+    rng = np.random.default_rng(5)
+    a = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    b = np.concatenate([a[:-20], rng.integers(0, 2**64, 20, dtype=np.uint64)])
+    both = [np.unique(x).view(np.int64) for x in (a, b, a[:250], a[:0], a[:1])]
+    keys, bounds = simhash.bands_of(np.concatenate(both), np.concatenate([[0], np.cumsum([len(x) for x in both])]), 0.8)
+    bands = [set(keys[p:q].tolist()) for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert [len(x) for x in bands[3:]] == [0, 1]
+    assert all(simhash.BANDS - 1 <= len(x) <= 2 * simhash.BANDS for x in bands[:3])
+    assert bands[0] & bands[1] and bands[0] & bands[2]
