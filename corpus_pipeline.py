@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import jaccard, langid, mixing, packing, pii
+from feedloom.llm import langid, mixing, packing, pii, simhash
 from feedloom.llm.common import stored
 from feedloom.llm.queries import table, tokenizer_path
 
@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, by the exact similarity of their sets of five-word shingles."""
-    return jaccard.first_of_groups(docs, shingle=5, least=NEAR)
+    """Keep one document of each group of near duplicates: tries of fingerprints find them, whole shingle sets decide."""
+    return simhash.first_of_groups(docs, shingle=5, least=NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +39,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("language ID", language_id),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("PII", personal_data),
     ("mixing sources to target weights", mixing_to_weights),
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL has neither the automata, the fingerprints nor the tokenizer; tests hold the stages against brute force.
+#: SQL has neither the automata, the tries of fingerprints nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
