@@ -37,6 +37,10 @@ LEAVES = 1024
 AT_ONCE = 1 << 19
 #: Rows of one node, or pair of nodes, beyond which its children are dealt out in pairs.
 HOT_NODE = 20_000
+#: Rows of a node from which it is joined on its own.
+LARGE_NODE = 64
+#: Documents of a band that are compared in one task, and shingles that are counted at once; memory bounds.
+BAND_ROWS, SHINGLES_AT_ONCE = 1024, 2048
 
 
 def _joined(data: np.ndarray, offsets: np.ndarray):
@@ -189,13 +193,13 @@ class Forest:
 def trie_join(values: np.ndarray, bounds: np.ndarray, side: np.ndarray, depth: int, budget: int, errors: np.ndarray):
     """Self-join of tries: pairs of indices whose values differ in at most `budget` bits, in parts of bounded size.
 
-    `values` (unsigned) are sorted within each group [bounds[g], bounds[g + 1]); groups of one top node (errors 0)
-    join with themselves; in groups of a pair of top nodes, the rows with side 0 come first and join with side 1,
+    `values` (unsigned) are sorted within each group [bounds[g], bounds[g + 1]); groups of one top node (one side, errors
+    0) join with themselves; in groups of a pair of nodes, the rows with side 0 come first and join with side 1,
     `errors` bits being spent on top. All values of a node agree in the top `depth` bits.
     """
     lo, hi = bounds[:-1], bounds[1:]
-    pair = errors > 0
     ones = np.concatenate([[0], np.cumsum(side)])
+    pair = (errors > 0) | (ones[hi] > ones[lo])
     mid = hi - (ones[hi] - ones[lo])
     s_lo, s_hi = lo[~pair], hi[~pair]
     c = [lo[pair], mid[pair], mid[pair], hi[pair], errors[pair]]
@@ -250,15 +254,15 @@ def near_links(distinct: DataFrame, budget: int, fp: str = "fp", node: str = "no
         tied = np.flatnonzero(forest.root != np.arange(len(rows)))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[forest.root[tied]])], names=["a", "b"])
 
-    return _joined_tries(rows, budget, 16, found)
+    return _joined_tries(_dealt(rows, budget, 16), budget, found)
 
 
-def _joined_tries(rows: DataFrame, budget: int, depth: int, found) -> DataFrame:
-    """(a, b) that `found` makes of the pairs in each trie node; rows are (node, v, key, side, spent) and more.
+def _dealt(rows: DataFrame, budget: int, depth: int) -> DataFrame:
+    """Rows (node, v, key, side, spent) with the depth of their trie node; hot nodes by pairs of their children.
 
-    `key` names a trie node of this depth, or a pair of them on which `spent` bits differ. Rows are dealt out by key.
-    A key of more than HOT_NODE rows is dealt out by pairs of its children 8 bits deeper, and these again while they
-    are too large, so no node is one task's however many fingerprints it holds.
+    `key` names a trie node of this depth, or a pair of them on which `spent` bits differ. A key of more than HOT_NODE
+    rows is dealt out by pairs of its children 8 bits deeper, and these again while they are too large, so no node is
+    one task's however many fingerprints it holds.
     """
     rows = stored(rows, "trie")
     parts = []
@@ -273,7 +277,12 @@ def _joined_tries(rows: DataFrame, budget: int, depth: int, found) -> DataFrame:
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    both = both.repartition("key").sortWithinPartitions("depth", "key", "side", F.expr("v ^ (-9223372036854775807L - 1L)"))
+    return both
+
+
+def _joined_tries(rows: DataFrame, budget: int, found) -> DataFrame:
+    """(a, b) that `found` makes of the rows of trie nodes and the pairs of the join; rows are dealt out by key."""
+    both = rows.repartition("key").sortWithinPartitions("depth", "key", "side", F.expr("v ^ (-9223372036854775807L - 1L)"))
 
     def run(batches):
         held = []
@@ -297,12 +306,15 @@ def _joined_tries(rows: DataFrame, budget: int, depth: int, found) -> DataFrame:
         key, v = t["key"].to_numpy(), t["v"].to_numpy().view(np.uint64)
         bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         side, spent, depth = (t[c].to_numpy().astype(np.int64) for c in ("side", "spent", "depth"))
-        for d in np.unique(depth):  # depths stand in order
-            lo, hi = np.searchsorted(depth, [d, d + 1])
-            own = bounds[(bounds >= lo) & (bounds <= hi)] - lo
-            yield from found(t.slice(lo, hi - lo), trie_join(v[lo:hi], own, side[lo:hi], int(d), budget, spent[lo:hi][own[:-1]]))
+        # a large node is joined on its own, small ones of a depth together
+        size = np.diff(bounds)
+        edges = np.unique(np.concatenate([[0, len(size)], *((g, g + 1) for g in np.flatnonzero(size >= LARGE_NODE)), np.flatnonzero(np.diff(depth[bounds[:-1]])) + 1]))
+        for g, h in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            lo, hi = bounds[g], bounds[h]
+            own = bounds[g : h + 1] - lo
+            yield from found(t.slice(lo, hi - lo), trie_join(v[lo:hi], own, side[lo:hi], int(depth[lo]), budget, spent[lo:hi][own[:-1]]))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(freeing(run), "a long, b long")
 
 
 def _node_pairs(rows: DataFrame, top: str, bits: int, spend: int, turn: str) -> DataFrame:
@@ -375,8 +387,8 @@ def _signatures(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     return docs.mapInArrow(freeing(run), "doc_id long, cls binary, n int, fp long, bands array<long>")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole shingle sets reach the Jaccard similarity."""
+def _sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, items): the sorted shingle hashes of the documents in column `doc_id` of `nodes`."""
 
     def run(batches):
         for ids, data, offsets in text_blocks(batches):
@@ -384,13 +396,94 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> D
             items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), items], names=["id", "items"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(freeing(run), "id long, items array<long>"), "sets")
+    return stored(docs.join(nodes.distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(freeing(run), "id long, items array<long>"), "sets")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose whole shingle sets reach the Jaccard similarity."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, shingle)
     a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("common"))
     return stored(both.filter(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * least - 1e-9).select("a", "b").distinct(), "similar")
 
 
+def shared_items(values: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Items that the sets i and j of each pair have in common; a set is a sorted stretch of `values`."""
+    members, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = at[: len(i)], at[len(i) :]
+    size = bounds[members + 1] - bounds[members]
+    row = np.repeat(np.arange(len(members)), size)
+    own = values[bounds[members][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)]
+    _, code, count = np.unique(own, return_inverse=True, return_counts=True)
+    some = count[code] > 1  # what one set alone has is in no intersection
+    row, code = row[some], code[some]
+    if len(members) <= 2 * BAND_ROWS and len(i) > 8 * len(members):
+        # many pairs of few sets: products of the sets as rows of zeros and ones
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        column = np.cumsum(np.diff(code, prepend=-1) > 0) - 1
+        common = np.zeros((len(members), len(members)), np.float32)
+        for lo in range(0, len(first), SHINGLES_AT_ONCE):
+            a, b = first[lo], first[lo + SHINGLES_AT_ONCE] if lo + SHINGLES_AT_ONCE < len(first) else len(row)
+            m = np.zeros((len(members), SHINGLES_AT_ONCE), np.float32)
+            m[row[a:b], column[a:b] - lo] = 1
+            common += m @ m.T
+        return common[i, j].astype(np.int64)
+    width = len(count)
+    keys = np.sort(row * width + code)
+    begin = np.searchsorted(keys, np.arange(len(members) + 1) * width)
+    out = np.zeros(len(i), np.int64)
+    sizes = np.diff(begin)[i]
+    for lo, hi in _stretches(sizes):
+        pair = np.repeat(np.arange(lo, hi), sizes[lo:hi])
+        spot = begin[i[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(sizes[lo:hi]) - sizes[lo:hi], sizes[lo:hi])
+        want = keys[spot] + (j[pair] - i[pair]) * width
+        there = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+        out[lo:hi] = np.bincount(pair[keys[there] == want] - lo, minlength=hi - lo)
+    return out
+
+
+def _stretches(sizes: np.ndarray):
+    """Ranges of indices whose sizes sum up to about AT_ONCE."""
+    at, sums = 0, np.concatenate([[0], np.cumsum(sizes)])
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sums, sums[at] + AT_ONCE, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def _linked_sets(rows: DataFrame, bits: int, least: float) -> DataFrame:
+    """Links (a, b) between components among the documents of each band, by their whole sets.
+
+    rows: node, v, key, c (its component), items. A band of more than BAND_ROWS documents is dealt out by pairs of
+    blocks, so none is one task's. A task returns a spanning forest, not pairs.
+    """
+    rows = stored(rows, "bands")
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BAND_ROWS).cast("int").alias("blocks"))
+    own = rows.join(size, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select("node", "v", F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("key"), (F.col("own") > F.col("o")).cast("int").alias("side"), F.lit(0).alias("spent"), F.lit(0).alias("depth"), "c", "items")
+
+    def found(rows: pa.Table, near):
+        node, c = rows["node"].to_numpy(), rows["c"].to_numpy()
+        items = rows["items"].combine_chunks()
+        items = items if isinstance(items, pa.ListArray) else pa.concat_arrays(items.chunks)
+        bounds, values = items.offsets.to_numpy().astype(np.int64), items.values.to_numpy()
+        n, forest = np.diff(bounds), Forest(len(node))
+        for i, j in near:
+            some = (c[i] != c[j]) & (n[i] >= n[j] * least - 1e-9) & (n[j] >= n[i] * least - 1e-9) & (forest.root[i] != forest.root[j])
+            i, j = i[some], j[some]
+            if len(i):
+                common = shared_items(values, bounds, i, j)
+                like = common >= (n[i] + n[j] - common) * least - 1e-9
+                forest.add(np.minimum(i, j)[like], np.maximum(i, j)[like])
+        tied = np.flatnonzero(forest.root != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[forest.root[tied]])], names=["a", "b"])
+
+    return stored(_joined_tries(dealt, bits, found), "similar")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", bits: int = SIMILAR_BITS) -> DataFrame:
     """doc_id and component_id of every document: the smallest doc_id reachable by links of a Jaccard similarity of `least`.
 
@@ -403,7 +496,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc
     of their set. An empty table gives none; other columns are ignored.
 
     Links are found in two rounds. In the first, documents are compared with the first one of their bands. In the
-    second, the tries of bands that still hold several components are joined, for pairs in different ones.
+    second, the tries of bands that still hold several components are joined, and the sets of pairs in different ones
+    are compared within the task, which returns a spanning forest; so no pairs are written, however many are alike.
     """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(_signatures(given, shingle, least), "signatures")
@@ -415,19 +509,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc
     alike = (F.col("n") >= F.col("f.n") * least - 1e-9) & (F.col("f.n") >= F.col("n") * least - 1e-9) & (F.bit_count(F.col("v").bitwiseXOR(F.col("f.v"))) <= bits)
     pairs = stored(met.filter((F.col("node") > F.col("f.node")) & alike).select(F.col("f.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = _similar(pairs, given, shingle, least)
-    placed = met.select("key", "node", "n", "v").join(components(links), "node", "left").select("node", "v", "key", F.lit(0).alias("side"), F.lit(0).alias("spent"), "n", F.coalesce("component", "node").alias("c"))
+    placed = met.select("key", "node", "v").join(components(links), "node", "left").select("node", "v", "key", F.coalesce("component", "node").alias("c"))
     open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-
-    def found(rows: pa.Table, near):
-        node, n, c = (rows[x].to_numpy() for x in ("node", "n", "c"))
-        for i, j in near:
-            some = (c[i] != c[j]) & (n[i] >= n[j] * least - 1e-9) & (n[j] >= n[i] * least - 1e-9)
-            i, j = node[i[some]], node[j[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
-
-    rest = _joined_tries(placed.join(open_, "key", "left_semi"), bits, 0, found).distinct()
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    whole = classes.join(components(links.unionByName(_similar(rest, given, shingle, least))), "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
+    rest = stored(placed.join(open_, "key", "left_semi"), "rest")
+    sets = _sets(rest.select(F.col("node").alias("doc_id")), given, shingle)
+    more = _linked_sets(rest.join(sets, rest["node"] == sets["id"]).drop("id"), bits, least)
+    whole = classes.join(components(links.unionByName(more)), "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
     return signed.select("doc_id", "cls").join(whole, "cls", "left").select("doc_id", "component_id")
 
 

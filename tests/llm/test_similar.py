@@ -52,9 +52,9 @@ def corpus():
     return [*rows, (n, None), (n + 1, ""), (n + 2, "one"), (n + 3, "ONE"), (n + 4, line)]
 
 
-@pytest.mark.parametrize("hot", [20000, 40])
-def test_groups_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(simhash, "HOT_NODE", hot)
+@pytest.mark.parametrize("at_once", [1024, 3])
+def test_groups_equal_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "BAND_ROWS", at_once)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want, pairs = brute(rows)
@@ -88,3 +88,12 @@ def test_equal_groups_of_shingles_make_equal_bands():
     assert [len(x) for x in bands[3:]] == [0, 1]
     assert all(simhash.BANDS - 1 <= len(x) <= 2 * simhash.BANDS for x in bands[:3])
     assert bands[0] & bands[1] and bands[0] & bands[2]
+
+
+@pytest.mark.parametrize("pairs", [10, 4000])
+def test_shared_items_equal_brute_force(pairs):
+    rng = np.random.default_rng(pairs)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 200))) for _ in range(60)]
+    values, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    i, j = rng.integers(0, 60, (2, pairs))
+    assert simhash.shared_items(values, bounds, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
