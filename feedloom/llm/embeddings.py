@@ -83,14 +83,16 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths, null labels or null vec_ids (component_id is then null and kept false). Repeated rows are linked
-    copies; an empty table gives none; other columns are ignored. Equal vectors of a label are one class, compared
-    once and counted by size. Classes of a label are dealt over tiles by hash, and tiles meet in pairs, so a label with
+    copies; rows that share a vec_id are judged one by one; an empty table gives none; other columns are ignored. Equal
+    vectors of a label are one class, compared once and counted by size. Classes of a label are dealt over tiles by hash, and tiles meet in pairs, so a label with
     most rows is many tasks; a task returns sums and a spanning forest, not pairs.
     """
     given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label"))
     fit = usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists("v", lambda x: x != 0)
     valid = given.filter(fit)
-    classes = stored(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dims", F.size("v")), "vectors")
+    grouped = valid.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    # numbered as they are written, and read from there alone: a vec_id that comes with several vectors is in several classes
+    classes = stored(grouped.select(F.monotonically_increasing_id().alias("rep"), "label", "v", "low", "n", F.size("v").alias("dims")), "vectors")
     tiles = classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / tile).cast("long").alias("tiles"))
     own = classes.join(tiles, ["label", "dims"]).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     met = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
@@ -117,7 +119,10 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     whole = components(found, "rep", "root")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = classes.join(links, "rep", "left").join(whole, classes["rep"] == whole["node"], "left")
-    per_class = per_class.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    per_class = per_class.select("label", "v", "low", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    per_class = stored(per_class, "classes")
+    lowest = per_class.groupBy("c").agg(F.min("low").alias("component_id"))
+    per_class = per_class.join(lowest, "c").select("label", "v", "n_links", "component_id")
     inside = valid.join(per_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
     outside = given.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return inside.unionByName(outside).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
@@ -172,11 +177,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do null vec_ids; vectors of
     different lengths do not meet. Repeated rows are candidates, and queries, of their own (a repeated query returns its
-    ranks once). An empty table gives none; other columns are ignored. Components are expected to stay below 2**26 in
-    size after scaling, so that sums fit 64 bits. Queries in blocks meet candidates in shards; each pair returns k rows
+    ranks once). An empty table gives none; other columns are ignored. Vectors with a component of 2**26 or more in
+    size after scaling are refused, as their sums might not fit 64 bits. Queries in blocks meet candidates in shards; each pair returns k rows
     a query, merged by rank.
     """
     ints = F.transform(F.col(embedding).cast("array<double>"), lambda x: F.floor(x * scale).cast("long"))
+    large = F.exists(F.col(embedding).cast("array<double>"), lambda x: F.abs(x * scale) >= float(1 << 26))
+    ints = F.when(large, F.raise_error(F.lit("a component is too large for exact sums"))).otherwise(ints)
     rows = vectors.filter(F.col(vec_id).isNotNull() & usable(embedding)).select(F.col(vec_id).cast("long").alias("vec_id"), ints.alias("v")).withColumn("dims", F.size("v"))
     queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     shards = max(1, -(-rows.count() // shard))

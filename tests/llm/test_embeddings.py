@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from feedloom.llm import embeddings as em
 
@@ -88,3 +89,15 @@ def test_max_score_prunes_and_keeps_all(monkeypatch):
         s, i = em.max_score(x, np.arange(700), q, 13, 10)
         every = [(-int(q @ x[:, c]), c) for c in range(700) if c != 13]
         assert [(-a, b) for a, b in zip(s, i, strict=True)] == sorted(every)[:10]
+
+
+def test_a_vec_id_with_several_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.001], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in em.near_embeddings(df).select("vec_id", "n_links", "component_id").collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_components_too_large_for_exact_sums_are_refused(spark):
+    df = spark.createDataFrame([(100, [1e6, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        em.top_k(df).collect()
