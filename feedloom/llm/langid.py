@@ -17,17 +17,16 @@ from .common import freeing, text_blocks
 
 #: Symbols of labelled text per language, a bound on the model. Documented parameter of `fit`.
 SAMPLE_SYMBOLS = 24_000
-#: Documents that give these symbols, per language at most about so many.
-SAMPLE_DOCUMENTS = 400
-#: A parse starts anew after so many symbols, so that long documents are parsed side by side.
+#: Documents that give these symbols in equal parts, per language at most about so many. Documented parameter of `fit`.
+SAMPLE_DOCUMENTS = 100
+#: Long documents are parsed in stretches of so many symbols side by side; what a stretch takes over from the one before
+#: is settled afterwards, so that the phrases are those of one parse.
 SEGMENT = 2048
 #: Block of text parsed at once.
 BLOCK = 2 << 20
-#: Distinct letters that are told apart.
-LETTERS = 96
-
-_tables: dict[str, np.ndarray] = {}
-
+#: Letters of its sample that each language tells apart, the most frequent ones; the others share one symbol. This
+#: bounds the tables where a script has thousands of letters. Documented parameter of `fit`.
+LETTERS = 256
 
 def _folded() -> np.ndarray:
     """For every code point: the lower-case letter it stands for, or 0 where it is no letter."""
@@ -92,87 +91,124 @@ class Automaton:
                 self.table[s, c] = t
 
 
-def phrases(tables: list[np.ndarray], symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Phrases of each stretch of symbols under each automaton; all stretches advance together."""
+def _advance(table: np.ndarray, width: int, state: np.ndarray, open_: np.ndarray, sym: np.ndarray):
+    """State and openness behind one more symbol of each parse, and the phrases that ended by it."""
+    to = table[state * width + sym]
+    ended = np.zeros(len(state), np.int32)
+    bad = np.flatnonzero(to < 0)
+    if len(bad):  # a phrase ends before this symbol, or is this symbol where no text has it
+        ended[bad] = open_[bad]
+        again = table[sym[bad]]
+        ended[bad[again < 0]] += 1
+        to[bad] = np.maximum(again, 0)
+    return to, to > 0, ended
+
+
+def _parse(table: np.ndarray, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray):
+    """Phrases that end in each stretch of symbols, parsed from the start state, and the state behind it."""
+    flat, width = table.ravel(), table.shape[1]
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
-    out = np.zeros((len(tables), len(size)), np.int32)
-    if not len(size) or not size[0]:
-        return out
-    alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-    flat = [t.ravel() for t in tables]
-    width = tables[0].shape[1]
-    state = np.zeros((len(tables), len(size)), np.int32)
-    open_ = np.zeros((len(tables), len(size)), bool)
-    for i in range(int(size[0])):
-        n = alive[i]
-        sym = symbols[begin[:n] + i]
-        for k, t in enumerate(flat):
-            s = state[k, :n]
-            to = t[s * width + sym]
-            bad = np.flatnonzero(to < 0)
-            if len(bad):  # a phrase ends before this symbol, or is this symbol where no text has it
-                out[k, bad] += open_[k, bad]
-                again = t[sym[bad]]
-                lost = again < 0
-                out[k, bad[lost]] += 1
-                to[bad] = np.maximum(again, 0)
-            state[k, :n] = to
-            open_[k, :n] = to > 0
-    out += open_
-    back = np.empty_like(out)
-    back[:, order] = out
-    return back
+    out, state = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
+    alive = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
+    for i, n in enumerate(alive.tolist()):
+        state[:n], _, ended = _advance(flat, width, state[:n], state[:n] > 0, symbols[begin[:n] + i])
+        out[:n] += ended
+    back = np.argsort(order, kind="stable")
+    return out[back], state[back]
+
+
+def _settled(table: np.ndarray, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray):
+    """What each stretch has more in phrases if its parse goes on from `state`, and the state behind it, or -1.
+
+    The parse from the start state and the one that goes on walk side by side until they are in one state, mostly
+    within a phrase or two; from there on they are the same, and -1 says so.
+    """
+    flat, width = table.ravel(), table.shape[1]
+    more, behind = np.zeros(len(size), np.int32), np.full(len(size), -1, np.int32)
+    live = np.flatnonzero(state != 0)
+    a, b = np.zeros(len(live), np.int32), state[live]
+    for i in range(int(size.max(initial=0))):
+        over = size[live] <= i
+        behind[live[over]] = b[over]
+        go = ~over & (a != b)
+        live, a, b = live[go], a[go], b[go]
+        if not len(live):
+            break
+        sym = symbols[begin[live] + i]
+        a, _, x = _advance(flat, width, a, a > 0, sym)
+        b, _, y = _advance(flat, width, b, b > 0, sym)
+        more[live] += y - x
+    else:
+        behind[live[a != b]] = b[a != b]
+    return more, behind
+
+
+def phrases(table: np.ndarray, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Phrases of each document under an automaton, in one parse from its first symbol to its last."""
+    pieces = -(-size // segment)
+    doc = np.repeat(np.arange(len(size)), pieces)
+    if not len(doc):
+        return np.zeros(len(size), np.int64)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at, part = begin[doc] + k * segment, np.minimum(segment, size[doc] - k * segment)
+    fresh, state = _parse(table, symbols, at, part)
+    ended, alone = fresh.copy(), state.copy()
+    todo = np.flatnonzero(k)
+    while len(todo):  # a stretch that leaves another state than it did alone hands that on to the next one
+        more, behind = _settled(table, symbols, at[todo], part[todo], state[todo - 1])
+        behind = np.where(behind >= 0, behind, alone[todo])
+        after = todo[behind != state[todo]] + 1
+        ended[todo], state[todo] = fresh[todo] + more, behind
+        after = after[after < len(doc)]
+        todo = after[k[after] > 0]
+    last = np.append(np.flatnonzero(k[1:] == 0), len(k) - 1)
+    total = np.bincount(doc, weights=ended, minlength=len(size)).astype(np.int64)
+    total[doc[last]] += state[last] > 0
+    return total
 
 
 class Model:
     """Automata by language, and the letters they know."""
 
-    def __init__(self, texts: dict[str, list[str]], sample_symbols: int = SAMPLE_SYMBOLS):
-        folded = _tables.setdefault("folded", _folded())
+    def __init__(self, texts: dict[str, list[str]], sample_symbols: int = SAMPLE_SYMBOLS, letters: int = LETTERS):
+        folded = _folded()
         samples = {}
         for lang in sorted(texts):
             got, n = [], 0
             for t in texts[lang]:
                 raw = np.frombuffer(t.encode(), np.uint8)
-                s, _ = symbols_of(raw, np.array([0, len(raw)]), folded)
-                s = s[: max(0, sample_symbols - n)]
-                got.append(s)
-                got.append(np.zeros(1, np.int32))
+                s = symbols_of(raw, np.array([0, len(raw)]), folded)[0][: max(0, sample_symbols - n)]
+                got += [s, np.zeros(1, np.int32)]
                 n += len(s)
-                if n >= sample_symbols:
-                    break
             if n:
                 samples[lang] = np.concatenate(got)
         self.languages = list(samples)
-        values, counts = np.unique(np.concatenate([*samples.values(), np.zeros(1, np.int32)]), return_counts=True)
-        kept = [int(v) for v in values[np.argsort(-counts, kind="stable")] if v][:LETTERS]
-        self.codes = {v: 2 + i for i, v in enumerate(sorted(kept))}  # 0: between words, 1: any other letter
-        width = 2 + len(kept)
-        lookup = self.lookup(kept)
-        self.tables = [Automaton(lookup[s].tolist(), width).table for s in samples.values()]
+        # one table for all leads from a code point to its letter (0: none, 1: no language knows it), and a small one
+        # for each language from there to its own symbols (0: between words, 1: any other letter)
+        known = np.unique(np.concatenate([*samples.values(), np.zeros(1, np.int32)]))
+        known = known[known > 0]
+        dense = np.ones(0x110000, np.int32)
+        dense[0] = 0
+        dense[known] = 2 + np.arange(len(known))
+        self.lookup = dense[folded]
+        self.own, self.tables = [], []
+        for s in samples.values():
+            values, counts = np.unique(s[s > 0], return_counts=True)
+            kept = values[np.argsort(-counts, kind="stable")][:letters]
+            own = np.ones(2 + len(known), np.int32)
+            own[0] = 0
+            own[dense[kept]] = 2 + np.arange(len(kept))
+            self.own.append(own)
+            self.tables.append(Automaton(own[dense[s]].tolist(), 2 + len(kept)).table)
         self.bits = np.array([np.log2(max(2, len(s))) for s in samples.values()])
 
-    def lookup(self, kept=None) -> np.ndarray:
-        out = np.ones(0x110000, np.int32)
-        out[0] = 0
-        for v, c in self.codes.items():
-            out[v] = c
-        return out
-
-    def entropies(self, data: np.ndarray, offsets: np.ndarray, folded: np.ndarray, lookup: np.ndarray):
+    def entropies(self, data: np.ndarray, offsets: np.ndarray):
         """Bits per symbol of each document under each language, and its number of letters and gaps."""
-        letters, at = symbols_of(data, offsets, folded)
-        symbols = lookup[letters].astype(np.int32)
+        symbols, at = symbols_of(data, offsets, self.lookup)
         n = np.diff(at)
-        pieces = -(-n // SEGMENT)
-        doc = np.repeat(np.arange(len(n)), pieces)
-        k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = at[:-1][doc] + k * SEGMENT
-        size = np.minimum(SEGMENT, n[doc] - k * SEGMENT)
-        found = phrases(self.tables, symbols, begin, size)
-        counts = np.stack([np.bincount(doc, weights=f, minlength=len(n)) for f in found]) if len(found) else np.zeros((0, len(n)))
-        return counts * self.bits[:, None] / np.maximum(n, 1), n
+        counts = [phrases(t, own[symbols], at[:-1], n) for t, own in zip(self.tables, self.own, strict=True)]
+        return np.stack(counts) * self.bits[:, None] / np.maximum(n, 1), n
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
@@ -180,33 +216,34 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold
 
 
-def fit(docs: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, sample_documents: int = SAMPLE_DOCUMENTS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from a bounded sample of labelled rows: about `sample_documents` a language, `sample_symbols` symbols.
+def fit(docs: DataFrame, sample_symbols: int = SAMPLE_SYMBOLS, sample_documents: int = SAMPLE_DOCUMENTS, letters: int = LETTERS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Learn from a bounded sample of labelled rows: about `sample_documents` a language, each with an equal share of
+    `sample_symbols` characters from a place in it that a hash decides on.
 
     Rows are chosen by a hash of the text, so copies of a text come once. Rows with a null text, lang or doc_id are
-    left out. The sample is all that comes to the driver.
+    left out. The sample is all that comes to the driver, and all that comes is used.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held_out())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return Model({}, sample_symbols)
-    share = F.create_map(*(F.lit(x) for lang_, n in sorted(counts.items()) for x in (lang_, min(1.0, sample_documents / n))))
+        return Model({}, sample_symbols, letters)
+    by_lang = lambda of: F.create_map(*(F.lit(x) for lang_, n in sorted(counts.items()) for x in (lang_, of(n))))[F.col("lang")]
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")])
-    cut = chosen.select("lang", "draw", F.substring("text", 1, 4 * sample_symbols).alias("text")).collect()
+    chosen = rows.withColumn("draw", draw).filter(F.col("draw") < by_lang(lambda n: min(1.0, sample_documents / n)))
+    chars = by_lang(lambda n: -(-sample_symbols // min(n, sample_documents)))
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - chars + 1, F.lit(1)).cast("long"))
+    cut = chosen.select("lang", "draw", F.substring(F.col("text"), place.cast("int") + 1, chars.cast("int")).alias("text")).collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted({(r["draw"], r["lang"], r["text"]) for r in cut}):
-        own = texts.setdefault(r[1], [])
-        if len(own) < sample_documents:
-            own.append(r[2][: max(200, 8 * sample_symbols // sample_documents)])
-    return Model(texts, sample_symbols)
+    for _, lang_, t in sorted({(r["draw"], r["lang"], r["text"]) for r in cut}):
+        texts.setdefault(lang_, []).append(t)
+    return Model(texts, sample_symbols, letters)
 
 
 class Predictor:
-    """A model with its tables, as a Python worker holds it."""
+    """A model as a Python worker applies it."""
 
     def __init__(self, model: Model):
-        self.model, self.folded, self.lookup = model, _folded(), model.lookup()
+        self.model = model
         self.names = np.array([*model.languages, "und"], dtype=object)
 
     def block(self, data: np.ndarray, offsets: np.ndarray):
@@ -214,7 +251,7 @@ class Predictor:
         n = len(offsets) - 1
         if not self.model.languages or not len(data):
             return np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n), np.ones(n, bool)
-        bits, symbols = self.model.entropies(data, offsets, self.folded, self.lookup)
+        bits, symbols = self.model.entropies(data, offsets)
         best = np.argmin(bits, axis=0)
         least = bits[best, np.arange(n)]
         rest = bits.copy()
