@@ -1,13 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary text and on passages that set toxic text apart. A document is cut
+zstandard trains one dictionary on ordinary text and one on the passages that set toxic text apart. A document is cut
 into short windows of whole words; where the toxic dictionary makes a window shorter than the ordinary one does, it
-holds something toxic text says. A logistic calibration turns the gains of all windows into a probability.
+holds something toxic text says. A logistic calibration turns the gains of all windows into a probability. It is
+fitted on gains by dictionaries that were trained without the document in question.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,21 @@ from .common import freeing, text_blocks, word_spans
 from .simhash import _joined
 
 #: Bounds on the labelled sample, documented parameters of `fit`: documents a class, characters of each.
-SAMPLE_DOCUMENTS = 1500
+SAMPLE_DOCUMENTS = 3000
 SAMPLE_CHARS = 6000
 #: Bytes after which the next word opens a window.
-WINDOW = 24
-#: Length of the byte strings by which toxic text is told from ordinary text, and what makes one telling.
-GRAM, LEAST_DOCUMENTS, LEAST_RATIO = 5, 5, 20.0
-#: Bytes of each dictionary.
-DICTIONARY = 8192
+WINDOW = 32
+#: A byte string of GRAM bytes is telling if at least LEAST_SHARE of the toxic documents have it, LEAST_RATIO times the
+#: share of the ordinary ones, and these shares lie LEAST_Z standard deviations apart.
+GRAM, LEAST_SHARE, LEAST_RATIO, LEAST_Z = 5, 0.04, 2.0, 4.5
+#: Words of toxic text that hold telling strings, so many to a training sample.
+PASSAGE_WORDS = 3
+#: Bytes of the dictionaries of ordinary and of toxic text, and of the segments and strings the trainer looks at.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, STRING = 6144, 1024, 24, 6
+#: Ordinary windows that train a dictionary at most, a bound on the fit.
+TRAINING_WINDOWS = 60_000
+#: Parts of the labelled texts; each is judged by dictionaries of the others for the calibration.
+FOLDS = 3
 #: Probability from which a document is predicted toxic.
 THRESHOLD = 0.3
 
@@ -34,41 +43,67 @@ def _norm(text: str) -> bytes:
     return b" ".join(text.encode().lower().split())
 
 
+def _strings(words) -> set[bytes]:
+    return {w[i : i + GRAM] for w in words for i in range(len(w) - GRAM + 1)}
+
+
 class Model:
     """Dictionaries and calibration, learned from labelled texts."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
         self.weights = None
-        toxic_b, ordinary_b = [_norm(t) for t in toxic], [_norm(t) for t in ordinary]
         self.prior = len(toxic) / max(1, len(toxic) + len(ordinary))
         if not toxic or not ordinary:
             return
-        self.ordinary = self._train([b for t in ordinary_b for b in self._cells(t)])
-        seen = [Counter(), Counter()]
-        for c, texts in enumerate((ordinary_b, toxic_b)):
-            for b in texts:
-                seen[c].update({b[i : i + GRAM] for i in range(len(b) - GRAM + 1)})
-        even = (len(toxic_b) + 1) / (len(ordinary_b) + 1)
-        telling = {g for g, n in seen[1].items() if n >= LEAST_DOCUMENTS and n + 0.5 >= LEAST_RATIO * even * (seen[0].get(g, 0) + 0.5)}
-        passages: Counter = Counter()
-        for b in toxic_b:
-            for w in set(b.split()):
-                hit = [i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in telling]
-                if hit:
-                    passages[w[hit[0] : hit[-1] + GRAM]] += 1
-        best = sorted(passages, key=lambda p: (passages[p], p))
-        # what is most telling stands last, where references cost least; ordinary text in front keeps the rest comparable
-        self.toxic = self.ordinary + b" " + b" ".join(best)[-DICTIONARY:]
-        x = self.features(toxic_b + ordinary_b)
-        y = np.concatenate([np.ones(len(toxic_b)), np.zeros(len(ordinary_b))])
+        texts = [_norm(t) for t in toxic + ordinary]
+        label = np.repeat([1, 0], [len(toxic), len(ordinary)])
+        fold = np.array([crc32(t) % FOLDS for t in texts])
+        x = np.zeros((len(texts), 9))
+        for f in range(FOLDS):
+            # a fold without enough texts of both classes outside it is judged by dictionaries of all texts
+            rest = fold != f if len(np.unique(label[fold != f])) == 2 else np.ones(len(texts), bool)
+            self._learn(texts, label, rest)
+            x[fold == f] = self.features([t for t, k in zip(texts, fold, strict=True) if k == f])
+        self._learn(texts, label, np.ones(len(texts), bool))
+        y = label.astype(float)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         x = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
         w = np.zeros(x.shape[1])
         for _ in range(50):  # Newton steps of a ridge logistic regression
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
+            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), x.T @ (y - p) - 0.5 * w)
         self.weights = w
 
+    def _learn(self, texts: list[bytes], label: np.ndarray, chosen: np.ndarray) -> None:
+        """Train both dictionaries on the chosen texts."""
+        toxic, ordinary = ([t for t, l, c in zip(texts, label, chosen, strict=True) if c and l == side] for side in (1, 0))
+        plain = self._windows(ordinary)
+        step = -(-len(plain) // TRAINING_WINDOWS)
+        self.ordinary = self._train(plain[::step], ORDINARY_BYTES)
+        # the toxic compressor knows ordinary text as well, so that only what is toxic changes a length
+        self.toxic = self.ordinary + self._train(self._passages(toxic, ordinary), TOXIC_BYTES)
+
+    @staticmethod
+    def _passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+        """Runs of the words of toxic texts that hold telling strings, the samples of the toxic dictionary."""
+        seen = [Counter(), Counter()]
+        for c, texts in enumerate((ordinary, toxic)):
+            for t in texts:
+                seen[c].update(_strings(set(t.split())))
+        n0, n1 = len(ordinary), len(toxic)
+        telling = set()
+        for g, k in seen[1].items():
+            m = seen[0].get(g, 0)
+            p = (m + k) / (n0 + n1)
+            z = (k / n1 - m / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+            if k >= LEAST_SHARE * n1 and k / n1 >= LEAST_RATIO * (m + 0.5) / n0 and z >= LEAST_Z:
+                telling.add(g)
+        out = []
+        for t in toxic:
+            hits = [w for w in t.split() if not telling.isdisjoint(_strings([w]))]
+            out += [b" " + b" ".join(hits[i : i + PASSAGE_WORDS]) for i in range(0, len(hits), PASSAGE_WORDS)]
+        return out
+
     def recalibrate(self, share: float) -> None:
         """Move the intercept from the sample's share of toxic documents to the labelled rows' own."""
         if self.weights is not None and 0 < share < 1:
@@ -77,17 +112,18 @@ class Model:
         self.prior = share
 
     @staticmethod
-    def _cells(b: bytes) -> list[bytes]:
-        return [b[i : i + 2 * WINDOW] for i in range(0, min(len(b), 2000), 2 * WINDOW)]
+    def _windows(texts: list[bytes]) -> list[bytes]:
+        return [w for t in texts for w in _cut(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]]
 
     @staticmethod
-    def _train(samples: list[bytes]) -> bytes:
+    def _train(samples: list[bytes], size: int) -> bytes:
+        """The content of a dictionary that zstandard trains, the most useful at its end."""
         import zstandard
 
         try:
-            return zstandard.train_dictionary(DICTIONARY, samples, k=16, d=6).as_bytes()[-DICTIONARY + 256 :]
-        except zstandard.ZstdError:  # too few samples for the trainer: they are the dictionary
-            return b" ".join(samples)[-DICTIONARY:]
+            return zstandard.train_dictionary(size + 1024, samples, k=SEGMENT, d=STRING).as_bytes()[-size:]
+        except (zstandard.ZstdError, ValueError):  # too few samples for the trainer: they are the dictionary
+            return b" ".join(samples)[-size:]
 
     def compressors(self):
         import zstandard
@@ -105,26 +141,16 @@ class Model:
         return self.block_features(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), self.compressors())
 
     def block_features(self, data: np.ndarray, offsets: np.ndarray, compressors) -> np.ndarray:
-        """Per document: its three largest gains, and the number, sums, share and mean of all."""
+        """Per document: its three largest gains, the number of windows and of those with some gain, and their mean."""
         n = len(offsets) - 1
-        out = np.zeros((n, 8))
+        out = np.zeros((n, 9))
         if not len(data):
             return out
-        text, at = _joined(data, offsets)
-        starts, ends, first = word_spans(text, at)
-        if not len(starts):
+        windows, of = _cut(data, offsets)
+        if not windows:
             return out
-        doc = np.repeat(np.arange(n), np.diff(first))
-        cell = (starts - at[:-1][doc]) // WINDOW
-        opens = np.ones(len(starts), bool)
-        opens[1:] = (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])
-        k = np.flatnonzero(opens)
-        to = ends[np.append(k[1:], len(starts)) - 1]
-        raw = text.tobytes()
         plain, toxic = compressors
-        windows = [raw[a:b] for a, b in zip(starts[k].tolist(), to.tolist(), strict=True)]
         gain = np.fromiter((len(plain(w)) - len(toxic(w)) for w in windows), np.float64, len(windows))
-        of = doc[k]
         order = np.lexsort((-gain, of))
         rank = np.arange(len(gain)) - np.searchsorted(of, of[order])
         for r in range(3):
@@ -133,10 +159,10 @@ class Model:
         count = np.bincount(of, minlength=n)
         some = np.maximum(count, 1)
         out[:, 3] = np.log1p(count)
-        out[:, 4] = np.log1p(np.bincount(of, weights=np.maximum(gain - 1, 0), minlength=n))
-        out[:, 5] = np.log1p(np.bincount(of, weights=np.maximum(gain - 3, 0), minlength=n))
-        out[:, 6] = np.bincount(of, weights=gain >= 3, minlength=n) / some
+        for column, least in ((4, 2), (5, 4), (6, 6)):
+            out[:, column] = np.log1p(np.bincount(of, weights=gain >= least, minlength=n))
         out[:, 7] = np.bincount(of, weights=gain, minlength=n) / some
+        out[:, 8] = np.bincount(of, weights=gain >= 4, minlength=n) / some
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray, compressors) -> np.ndarray:
@@ -144,6 +170,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.weights, -30, 30)))
 
 
+def _cut(data: np.ndarray, offsets: np.ndarray):
+    """Windows of whole words of a block of documents, lower-cased, and the document of each."""
+    text, at = _joined(data, offsets)
+    starts, ends, first = word_spans(text, at)
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    cell = (starts - at[:-1][doc]) // WINDOW
+    opens = np.ones(len(starts), bool)
+    opens[1:] = (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])
+    k = np.flatnonzero(opens)
+    to = ends[np.append(k[1:], len(starts)) - 1]
+    raw = text.tobytes()
+    return [raw[a:b] for a, b in zip(starts[k].tolist(), to.tolist(), strict=True)], doc[k]
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from learning: crc32 of its doc_id as text, modulo 4, is 2."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

@@ -34,8 +34,46 @@ def test_parse_equals_brute_force():
         flat = np.array([s for d in docs for s in d], np.int32)
         size = np.array([len(d) for d in docs])
         begin = np.cumsum(size) - size
-        got = langid.phrases([table, table], flat, begin, size)
-        assert got[0].tolist() == got[1].tolist() == [brute_phrases(training, d) for d in docs]
+        for segment in (1, 3, 7, 2048):
+            assert langid.phrases(table, flat, begin, size, segment).tolist() == [brute_phrases(training, d) for d in docs]
+
+
+def test_scripts_of_many_letters_and_ties():
+    many = langid.Model({"zz": ["".join(chr(0x4E00 + i) for i in range(600))], "aa": ["abcd" * 150]}, letters=50)
+    assert many.languages == ["aa", "zz"] and many.tables[1].shape[1] == 52
+    raw = "\u4e00\u4e01".encode()
+    names = langid.Predictor(many).block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    assert names.tolist() == ["zz"]
+    same = langid.Model({"b": ["kato"], "a": ["kato"]})
+    assert langid.Predictor(same).block(np.frombuffer(b"kato", np.uint8), np.array([0, 4]))[0].tolist() == ["a"]
+
+
+def test_prediction_equals_brute_force_cross_parsing(spark):
+    """The whole operator against plain parses of the same sample, on texts longer than a stretch."""
+    rng = random.Random(8)
+    sounds = {"aa": ["ba", "lo", "mi", "nu"], "bb": ["kr", "est", "ob", "lo"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(lang, n), lang) for i, (lang, n) in enumerate((lang, n) for n in (3, 20, 900) for lang in ("aa", "bb") for _ in range(4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_symbols=300, sample_documents=5)
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    for doc_id, text, _ in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        letters = langid.symbols_of(raw, np.array([0, len(raw)]), model.lookup)[0]
+        bits = {}
+        for lang, table, own, b in zip(model.languages, model.tables, model.own, model.bits, strict=True):
+            n, state = 0, 0
+            for s in own[letters].tolist():
+                to = table[state, s]
+                if to < 0:
+                    n += state > 0
+                    to = table[0, s]
+                    n += to < 0
+                    to = max(to, 0)
+                state = to
+            bits[lang] = (n + (state > 0)) * b / len(letters)
+        least = min(bits, key=lambda x: (bits[x], x))
+        assert got[doc_id]["lang_pred"] == least and got[doc_id]["bits"] == pytest.approx(bits[least])
 
 
 def test_symbols_fold_case_and_gaps():
@@ -85,10 +123,21 @@ def test_held_out_languages(spark):
 
 @needs_tables
 def test_held_out_toxicity(spark):
-    """Known weakness: outside English the toxic words of this scale are found in hardly any document (see the README)."""
+    """Over all languages; README.md has the recall of each."""
     d, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
     got = toxicity.assess(d, labels).filter("held_out").join(labels, "doc_id").join(d.select("doc_id", "lang"), "doc_id")
     n = lambda e: F.count_if(F.expr(e))
-    t = got.agg(n("predicted = 1 AND toxic = 1").alias("tp"), n("predicted = 1").alias("p"), n("predicted = 1 AND toxic = 1 AND lang = 'en'").alias("en"), n("toxic = 1 AND lang = 'en'").alias("toxic_en")).first()
+    t = got.agg(n("predicted = 1 AND toxic = 1").alias("tp"), n("predicted = 1").alias("p"), n("toxic = 1").alias("toxic")).first()
     assert t["tp"] / t["p"] > 0.5
-    assert t["en"] / t["toxic_en"] > 0.6
+    assert t["tp"] / t["toxic"] >= 0.6
+
+
+def test_both_dictionaries_are_trained():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    text = lambda bad: " ".join(rng.choice(["gruntwarbler", "vexmuddle"]) if bad and rng.random() < 0.08 else rng.choice(words) for _ in range(150))
+    m = toxicity.Model([text(True) for _ in range(120)], [text(False) for _ in range(240)])
+    assert b"gruntwarbler" in m.toxic and b"vexmuddle" in m.toxic and b"gruntwarbler" not in m.ordinary
+    raw = [toxicity._norm(text(i % 2 == 0)) for i in range(40)]
+    got = m.scores(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]), m.compressors())
+    assert ((got >= 0.3) == [i % 2 == 0 for i in range(40)]).mean() > 0.9
