@@ -20,8 +20,10 @@ from pyspark.sql.window import Window
 from .common import chunk_dictionary, chunk_starts, freeing, shared_dir, stored, text_blocks
 from .tokens import BLOCK, ChunkTable
 
-#: Parts of each length that are ranked on their own, so that no length is one task's.
-RANK_PARTS = 64
+#: Pieces of one length that are ranked together; a length of more comes in parts, so that none is one task's.
+RANKED_AT_ONCE = 250_000
+#: Rows of the table of slots up to which it is broadcast; beyond, it is joined.
+BROADCAST_SLOTS = 500_000
 
 
 class WordIds:
@@ -134,57 +136,103 @@ def merged(kinds: list[list]) -> list[list]:
     return [[list(k), n] for k, n in sorted(out.items(), reverse=True)]
 
 
-def improve(kinds: list[list], capacity: int, rounds: int = 200, most: int = 512) -> list[list]:
+def improve(kinds: list[list], capacity: int) -> list[list]:
     """Swap-based local search: moves and one-for-one or two-for-one exchanges between underfull kinds.
 
-    A step is taken only if it raises the sum of squared fills; a kind whose pieces have all moved away is a bin
-    saved. Each step handles as many bins of both kinds as there are. The `most` emptiest kinds are searched, for
-    `rounds` steps at most, and it ends earlier where no step helps.
+    From the emptiest kind on, pieces go where they raise the sum of squared fills most; a kind whose pieces have all
+    moved away is a bin saved. A step handles as many bins of both kinds as there are. The search ends where all room
+    left would not make up a bin, which no packing can better, or where no step helps any kind. Sums of squares are
+    whole numbers and grow with each step, so it does end.
     """
-    for _ in range(rounds):
-        kinds = merged(kinds)
-        under = sorted((k for k in range(len(kinds)) if sum(kinds[k][0]) < capacity), key=lambda k: (sum(kinds[k][0]), kinds[k]))[:most]
-        # what fits nowhere as a whole can still empty a bin if the total room allows for it
-        if sum((capacity - sum(kinds[k][0])) * kinds[k][1] for k in under) < capacity:
-            break
-        step = None
-        for a in under:  # from the emptiest: its pieces go elsewhere
-            step = _step(kinds, a, under, capacity)
-            if step:
+    counts = {tuple(k): n for k, n in merged(kinds)}
+    search = _Search({k: n for k, n in counts.items() if sum(k) < capacity}, capacity)
+    full = [[list(k), n] for k, n in counts.items() if sum(k) == capacity]
+    moved = True
+    while moved:
+        moved = False
+        tried: set[tuple] = set()
+        while search.room() >= capacity:
+            a = min((k for k in search.counts if k not in tried), key=lambda k: (sum(k), k), default=None)
+            if a is None:
                 break
-        if not step:
+            step = search.step(a)
+            if step is None:
+                tried.add(a)
+                continue
+            moved = True
+            b, new_a, new_b = step
+            n = min(search.counts[a], search.counts[b]) if a != b else search.counts[a] // 2
+            search.change(a, -n)
+            search.change(b, -n)
+            for k in (new_a, new_b):
+                if sum(k) == capacity:
+                    full.append([list(k), n])
+                elif k:
+                    search.change(k, n)
+        if search.room() < capacity:
             break
-        a, b, new_a, new_b = step
-        n = min(kinds[a][1], kinds[b][1]) if a != b else kinds[a][1] // 2
-        kinds[a][1] -= n
-        kinds[b][1] -= n
-        kinds += [[new_a, n]] if new_a else []
-        kinds.append([new_b, n])
-    return merged(kinds)
-
-
-def _step(kinds: list[list], a: int, under: list[int], capacity: int):
-    """The best exchange that makes bins of kind b fuller at the cost of kind a: (a, b, new a, new b)."""
-    la = kinds[a][0]
-    fa, best = sum(la), None
-    for b in under:
-        if b == a and kinds[a][1] < 2:
-            continue
-        lb = kinds[b][0]
-        fb = sum(lb)
-        if fb < fa:
-            continue
-        room = capacity - fb
-        for give in sorted(set(la), reverse=True):
-            for back in [(), *((x,) for x in sorted(set(lb))), *((x, y) for i, x in enumerate(lb) for y in lb[i + 1 :])]:
-                d = give - sum(back)
-                if 0 < d <= room and (best is None or (fb - fa + d) * d > best[0]):  # growth of the squares, halved
-                    new_a, new_b = list(la), list(lb)
-                    new_a.remove(give)
-                    for x in back:
-                        new_b.remove(x)
-                    best = ((fb - fa + d) * d, (a, b, new_a + list(back), new_b + [give]))
-    return best and best[1]
+    return merged(full + [[list(k), n] for k, n in search.counts.items()])
+
+
+class _Search:
+    """Underfull kinds, and all that each may give back for a piece: nothing, one of its pieces, or two."""
+
+    def __init__(self, counts: dict[tuple, int], capacity: int):
+        self.counts, self.capacity = counts, capacity
+        self.back: dict[tuple, tuple] = {}
+        self.table = None
+
+    def room(self) -> int:
+        return sum((self.capacity - sum(k)) * n for k, n in self.counts.items())
+
+    def change(self, kind: tuple, n: int) -> None:
+        now = self.counts.get(kind, 0) + n
+        if now:
+            self.counts[kind] = now
+        else:
+            del self.counts[kind]
+        self.table = None
+
+    def _backs(self, kind: tuple):
+        if kind not in self.back:
+            found = {0: ()}
+            for i, x in enumerate(kind):
+                found.setdefault(x, (x,))
+                for y in kind[i + 1 :]:
+                    found.setdefault(x + y, (x, y))
+            self.back[kind] = np.array(list(found)), list(found.values())
+        return self.back[kind]
+
+    def step(self, a: tuple):
+        """The best exchange that makes bins of some kind b fuller at the cost of kind a: (b, new a, new b)."""
+        if self.table is None:
+            self.order = sorted(self.counts)
+            sums = [self._backs(k)[0] for k in self.order]
+            size = np.array([len(x) for x in sums])
+            fill = np.array([sum(k) for k in self.order])
+            self.table = np.concatenate(sums), np.repeat(np.arange(len(size)), size), np.repeat(fill, size), np.cumsum(size) - size
+        back, kind, fill, first = self.table
+        fa = sum(a)
+        may = fill >= fa
+        if self.counts[a] < 2:
+            may &= kind != self.order.index(a)
+        best = None
+        for give in sorted(set(a), reverse=True):
+            d = give - back
+            grown = np.where(may & (d > 0) & (d <= self.capacity - fill), (fill - fa + d) * d, 0)  # growth of the squares, halved
+            at = int(np.argmax(grown))
+            if grown[at] > 0 and (best is None or grown[at] > best[0]):
+                best = int(grown[at]), give, at
+        if best is None:
+            return None
+        _, give, at = best
+        b = self.order[kind[at]]
+        out = self._backs(b)[1][at - first[kind[at]]]
+        new_a, new_b = list(a), list(b)
+        new_a.remove(give)
+        for x in out:
+            new_b.remove(x)
+        return b, tuple(sorted(new_a + list(out), reverse=True)), tuple(sorted(new_b + [give], reverse=True))
 
 
 def layout(kinds: list[list]):
@@ -200,7 +248,7 @@ def layout(kinds: list[list]):
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", rounds: int = 200) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack all documents into few sequences of at most `capacity` tokens.
 
     A row per piece: doc_id, piece (from 0), start (its document's ids before it), length, ids_crc32 (unsigned, of the
@@ -208,33 +256,46 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     tokenizers file and then `end_id`; only longer ones are cut, each piece but the last being full.
 
     A null or empty text is the end id alone. Rows with a null doc_id are packed like others; repeated rows are packed
-    as often as they come; an empty table gives none; other columns are ignored. Broadcast: a row for each run of slots
-    of one length and kind of bin, and one for each length and part; both are bounded by the number of lengths, at
-    most `capacity`, whatever the number of documents.
+    as often as they come; an empty table gives none; other columns are ignored. To the driver come a row for each
+    length and one more for every RANKED_AT_ONCE pieces of a length. The table of slots has a row for each run of slots
+    of one length and kind of bin; it is broadcast up to BROADCAST_SLOTS rows.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     pieces = stored(token_pieces(docs, tokenizer, end_id, capacity, doc_id, text), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS))
-    keyed = pieces.withColumn("part", part)
-    counts = keyed.groupBy("length", "part").agg(F.count("*").alias("n"))
-    by_part = counts.collect()  # at most capacity * RANK_PARTS rows
-    histogram: dict[int, int] = {}
-    before = []
-    for r in sorted(by_part):
-        before.append((r["length"], r["part"], histogram.get(r["length"], 0)))
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
-    kinds = improve(best_fit(histogram, capacity), capacity, rounds)
-    slots = spark.createDataFrame(layout(kinds), "length long, first long, sequence long, offset long, bins long")
-    slots = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "offset"))).alias("runs"))
-    start_of = spark.createDataFrame(before, "length long, part long, before long")
-    # full pieces, often the most, need no rank beyond their own part either
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    kinds = improve(best_fit(histogram, capacity), capacity)
+    # a length that is common is ranked in parts, each from where the one before ends
+    parts = {x: -(-n // RANKED_AT_ONCE) for x, n in histogram.items() if n > RANKED_AT_ONCE}
+    of = F.coalesce(F.create_map(*(F.lit(v) for x in sorted(parts.items()) for v in x))[F.col("length")], F.lit(1)) if parts else F.lit(1)
+    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), of.cast("long")))
+    before, ranked = [], {}
+    if parts:
+        for r in sorted(keyed.filter(F.col("length").isin(*parts)).groupBy("length", "part").agg(F.count("*").alias("n")).collect()):
+            before.append((r["length"], r["part"], ranked.get(r["length"], 0)))
+            ranked[r["length"]] = ranked.get(r["length"], 0) + r["n"]
     w = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = keyed.withColumn("own", F.row_number().over(w) - 1).join(F.broadcast(start_of), ["length", "part"]).withColumn("rank", F.col("own") + F.col("before"))
-    placed = ranked.join(F.broadcast(slots), "length").withColumn("run", _last_run())
+    keyed = keyed.withColumn("rank", F.row_number().over(w) - 1)
+    if before:
+        start_of = spark.createDataFrame(before, "length long, part long, before long")
+        keyed = keyed.join(F.broadcast(start_of), ["length", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    rows = layout(kinds)
+    slots = spark.createDataFrame(rows, "length long, first long, sequence long, offset long, bins long")
+    slots = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "offset"))).alias("runs"))
+    if len(rows) <= BROADCAST_SLOTS:
+        slots = F.broadcast(slots)
+    placed = keyed.join(slots, "length").withColumn("run", _last_run())
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("run.sequence") + F.col("rank") - F.col("run.first")).alias("sequence_id"), F.col("run.offset").alias("offset"))
 
 
 def _last_run():
-    """The last run that begins at or before the rank."""
-    return F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
+    """The last run that begins at or before the rank, by halving."""
+
+    def half(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+        right = F.element_at("runs", mid)["first"] <= F.col("rank")
+        return F.struct(F.when(right, mid).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(F.greatest(mid - 1, acc["lo"])).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size("runs") + 1)).cast("int") + 1)
+    at = F.aggregate(steps, F.struct(F.lit(1).alias("lo"), F.size("runs").alias("hi")), half, lambda acc: acc["lo"])
+    return F.element_at("runs", at)

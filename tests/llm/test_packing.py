@@ -39,6 +39,42 @@ def test_search_empties_a_bin():
     assert packing.best_fit({}, 10) == [] and packing.improve([], 10) == []
 
 
+def best(pieces, capacity):
+    """Fewest bins by trying all ways."""
+    pieces = sorted(pieces, reverse=True)
+
+    def place(i, fills, most):
+        if i == len(pieces):
+            return len(fills)
+        for k in {f: k for k, f in enumerate(fills) if f + pieces[i] <= capacity}.values():
+            most = min(most, place(i + 1, [*fills[:k], fills[k] + pieces[i], *fills[k + 1 :]], most))
+        return min(most, place(i + 1, [*fills, pieces[i]], most)) if len(fills) + 1 < most else most
+
+    return place(0, [], len(pieces) + 1)
+
+
+def test_search_betters_best_fit_where_that_is_not_optimal():
+    gained = 0
+    rng = random.Random(11)
+    for _ in range(60):
+        pieces = [rng.choice([51, 49, 35, 34, 33, 31, 27, 26, 25, 24, 23, 22]) for _ in range(10)]
+        h = Counter(pieces)
+        first, better = (sum(n for _, n in k) for k in (packing.best_fit(h, 100), packing.improve(packing.best_fit(h, 100), 100)))
+        assert best(pieces, 100) <= better <= first
+        gained += first - better
+    assert gained > 0
+
+
+def test_search_ends_where_no_step_helps():
+    rng = random.Random(2)
+    h = Counter(rng.randint(1000, 2600) for _ in range(3000))
+    kinds = packing.improve(packing.best_fit(h, 4096), 4096)
+    assert contents(kinds) == h
+    under = {tuple(sorted(k, reverse=True)): n for k, n in kinds if sum(k) < 4096}
+    search = packing._Search(under, 4096)
+    assert search.room() < 4096 or all(search.step(k) is None for k in under)
+
+
 def docs():
     rng = random.Random(3)
     words = ["the", "Cat's", "don't", "naïve", "中文", "x1y2", "word,", "(a)", "<|endoftext|>", "Ünï", "İ", "ΣΑΣ", "ok."]
@@ -46,7 +82,9 @@ def docs():
     return [*rows, (500, None), (501, ""), (502, " \n"), (None, "null id"), (7, "the end"), (7, "the end")]
 
 
-def test_layout_equals_the_library_and_is_gapless(spark):
+@pytest.mark.parametrize("at_once", [250_000, 3])
+def test_layout_equals_the_library_and_is_gapless(spark, monkeypatch, at_once):
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", at_once)
     rows = docs()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int")
     got = packing.pack(df, PATH, capacity=64, end_id=1).collect()
