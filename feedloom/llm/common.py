@@ -7,11 +7,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder used only where the session names none (tests and local runs).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..sources.shared import shared_dir
 
 #: Bytes of text handled at once by the vectorised operators; one longer document forms its own block.
 BLOCK_BYTES = 4 << 20
@@ -27,15 +26,6 @@ _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 _PUNCT[39] = False  # an apostrophe may start a contraction
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local default only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet under the shared folder and read it again.
 
