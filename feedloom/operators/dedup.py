@@ -2,37 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as X
+from ..sources.shared import written
 
 #: A Mersenne prime below 2**31: products of two residues stay within 64 bits.
 PRIME = 2147483647
+#: Shingles whose permutations are computed at once; a memory bound.
+AT_ONCE = 4096
 
 
-def shingle_rows(posts: DataFrame, k: int, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, shingle) of normalised texts, distinct."""
-    return posts.select(F.col(id_).alias("id"), F.explode(X.shingles(X.normalise(F.col(text)), k)).alias("shingle"))
+def shingle_sets(posts: DataFrame, k: int, id_: str = "id", text: str = "text") -> DataFrame:
+    """(id, n, items): 64-bit hashes of the distinct shingles of normalised texts, written once. Blank texts are left out."""
+    hashed = F.transform(X.shingles(X.normalise(F.col(text)), k), lambda s: F.xxhash64(s))
+    return written(posts.select(F.col(id_).alias("id"), hashed.alias("items")).filter(F.size("items") > 0).select("id", F.size("items").alias("n"), "items"), "shingles")
 
 
-def hashed(shingle: Column) -> tuple[Column, Column]:
-    """Two residues of a shingle from its md5, equal in any engine."""
-    m = F.md5(shingle)
-    part = lambda at: F.pmod(F.conv(F.substring(m, at, 8), 16, 10).cast("bigint"), F.lit(PRIME))
-    return part(1), part(9)
+def signatures(posts: DataFrame, k: int = DEFAULT.shingle, permutations: int = DEFAULT.permutations, id_: str = "id", text: str = "text") -> DataFrame:
+    """(id, signature): for permutation i the least (a + i b) mod p over the text's shingles, a and b from their md5.
 
+    Map-only: a text's shingles are in one row, so its minima are too. Blank texts are left out.
+    """
+    rows = posts.select(F.col(id_).cast("long").alias("id"), X.normalise(F.col(text)).alias("text")).filter("text <> ''")
 
-def signatures(shingles: DataFrame, permutations: int = DEFAULT.permutations) -> DataFrame:
-    """(id, signature): for permutation i the least (a + i b) mod p over a document's shingles.
+    def run(batches):
+        import hashlib
 
-    One row per shingle is folded by partial minima, all permutations at once.
-    """
-    a, b = hashed(F.col("shingle"))
-    h = shingles.select("id", a.alias("a"), b.alias("b"))
-    mins = h.groupBy("id").agg(*(F.min(F.pmod(F.col("a") + F.lit(i) * F.col("b"), F.lit(PRIME))).alias(f"m{i}") for i in range(permutations)))
-    return mins.select("id", F.array(*(F.col(f"m{i}") for i in range(permutations))).alias("signature"))
+        import numpy as np
+        import pyarrow as pa
+
+        factor = np.arange(permutations, dtype=np.int64)
+        for batch in batches:
+            out = np.empty((batch.num_rows, permutations), np.int64)
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                w = t.split(" ")
+                own = {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+                digests = np.frombuffer(b"".join(hashlib.md5(s.encode()).digest()[:8] for s in own), ">u4").astype(np.int64).reshape(-1, 2) % PRIME
+                least = None
+                for at in range(0, len(digests), AT_ONCE):
+                    a, b = digests[at : at + AT_ONCE, :1], digests[at : at + AT_ONCE, 1:]
+                    m = ((a + factor * b) % PRIME).min(axis=0)
+                    least = m if least is None else np.minimum(least, m)
+                out[row] = least
+            flat = pa.array(out.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, permutations), pa.int32()), flat)], names=["id", "signature"])
+
+    return rows.mapInArrow(run, "id long, signature array<long>")
+
+
+def serialised(signature):
+    """A signature as bytes with its format in front: the number of permutations, then each value in four bytes."""
+    return F.unhex(F.concat(F.lpad(F.hex(F.size(signature)), 8, "0"), F.array_join(F.transform(signature, lambda v: F.lpad(F.hex(v), 8, "0")), "")))
+
+
+def deserialised(raw, permutations: int = DEFAULT.permutations):
+    """The signature in `serialised` bytes; null where they are missing, cut, or of another number of permutations."""
+    h = F.hex(raw)
+    values = F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda i: F.conv(F.substring(h, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
+    return F.when((F.length(h) == 8 * (permutations + 1)) & (F.conv(F.substring(h, 1, 8), 16, 10).cast("int") == permutations), values)
 
 
 def band_rows(signed: DataFrame, bands: int = DEFAULT.bands, permutations: int = DEFAULT.permutations) -> DataFrame:
@@ -43,33 +73,37 @@ def band_rows(signed: DataFrame, bands: int = DEFAULT.bands, permutations: int =
 
 
 def candidates(bands: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs that share a band. Links go to each bucket's first member, so a bucket of n gives n - 1 rows.
+    """(a, b), a < b: all pairs that share a band.
 
-    A pair of two later members of one bucket is linked through the first; estimates decide on what is linked, and
-    `clusters` follows chains.
+    Posts of equal signatures should come as one (`dedup_posts` does that), so that a group of copies is one member.
+    Buckets of one member are left out before the join; AQE splits the rest where a bucket is hot.
     """
-    first = bands.groupBy("band", "hash").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return bands.join(first, ["band", "hash"]).filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    full = bands.groupBy("band", "hash").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    some = bands.join(full, ["band", "hash"], "left_semi")
+    a, b = some.alias("a"), some.alias("b")
+    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.hash") == F.col("b.hash")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def exact_pairs(shingles: DataFrame, least: float, most_frequent: int | None = None) -> DataFrame:
-    """(a, b, jaccard), a < b, of documents whose shingle sets reach a Jaccard similarity, by prefix filtering.
+def exact_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard), a < b, of `shingle_sets` that reach a Jaccard similarity, by prefix filtering.
 
     Shingles of a set are ordered from the rarest. Two sets of similarity t share one among the first
-    n - ceil(t n) + 1 of either, so only these meet in the join; sizes must agree within t.
+    n - ceil(t n) + 1 of either, so only these meet in the join; sizes must agree within t. Candidates are compared by
+    their whole sets of hashes.
     """
-    n = shingles.groupBy("id").agg(F.count("*").alias("n"))
-    df = shingles.groupBy("shingle").agg(F.count("*").alias("df"))
-    both = shingles.join(df, "shingle").join(n, "id")
-    from pyspark.sql.window import Window
-
-    ranked = both.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
-    prefix = ranked.filter((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)).select("id", "shingle", "n")
+    rows = sets.select("id", "n", F.explode("items").alias("item"))
+    df = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    # shingles of one set alone join nothing, and are the rarest: they only take up places of the prefix
+    shared = rows.join(df, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("by"))
+    places = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("by"))
+    prefix = shared.filter(places > 0).select("id", "n", F.explode(F.slice("by", F.lit(1), places.cast("int"))).alias("x")).select("id", "n", "x.item")
+    prefix = written(prefix, "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.col("b.n") * least - 1e-9) & (F.col("b.n") >= F.col("a.n") * least - 1e-9)
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
-    sa, sb = shingles.select(F.col("id").alias("a"), "shingle"), shingles.select(F.col("id").alias("b"), "shingle")
-    common = pairs.join(sa, "a").join(sb, ["b", "shingle"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    pairs = written(a.join(b, (F.col("a.item") == F.col("b.item")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "pairs")
+    x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    common = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("common"))
     j = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     return common.select("a", "b", j.alias("jaccard")).filter(F.col("jaccard") >= least)
 
@@ -82,30 +116,41 @@ def estimated(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return j.select("a", "b", (same / F.size("sa")).alias("estimate"))
 
 
-def clusters(ids: DataFrame, matches: DataFrame, rounds: int = 40) -> DataFrame:
+def clusters(ids: DataFrame, matches: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, cluster, canonical): each post joins the cluster of its first matching predecessor; roots are canonical.
 
     `ids` has id; processing order is by id. matches: (a, b), a before b. Clusters never merge. Parents are followed by
-    pointer jumping, so chains of length n take log n joins; only a count of open pointers comes to the driver.
+    pointer jumping, so chains of length n take log n joins, each written to the shared folder; only whether a pointer
+    moved comes to the driver. Posts without a match take no part in the joins.
     """
-    parent = matches.groupBy("b").agg(F.min("a").alias("p")).select(F.col("b").alias("id"), "p")
-    at = ids.select("id").join(parent, "id", "left").select("id", F.coalesce("p", "id").alias("p"))
-    at = at.persist()
-    for _ in range(rounds):
+    at = written(matches.groupBy("b").agg(F.min("a").alias("p")).select(F.col("b").alias("id"), "p"), "parents")
+    for _ in range(most_rounds):
         up = at.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-        after = at.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")).persist()
-        moved = after.filter("moved").limit(1).count()
+        after = written(at.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "parents")
         at = after.select("id", "p")
-        if not moved:
+        if after.filter("moved").isEmpty():
             break
-    return at.select("id", F.col("p").alias("cluster"), (F.col("id") == F.col("p")).alias("canonical"))
+    else:
+        raise RuntimeError(f"parents have not settled after {most_rounds} rounds")
+    out = ids.select("id").join(at, "id", "left")
+    return out.select("id", F.coalesce("p", "id").alias("cluster"), F.col("p").isNull().alias("canonical"))
 
 
 def dedup_posts(posts: DataFrame, urls: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Clusters by MinHash bands, or by a shared canonical URL at a lower similarity. urls: (id, url)."""
-    signed = signatures(shingle_rows(posts, cfg.shingle), cfg.permutations).persist()
-    found = estimated(candidates(band_rows(signed, cfg.bands, cfg.permutations)), signed).filter(F.col("estimate") >= cfg.jaccard)
+    """Clusters by MinHash bands, or by a shared canonical URL at a lower similarity. urls: (id, url).
+
+    Posts of equal signatures are one member of the bands: the first one finds its predecessors, the others have it as
+    theirs or share its own.
+    """
+    signed = written(signatures(posts, cfg.shingle, cfg.permutations), "signatures")
+    group = signed.groupBy("signature").agg(F.min("id").alias("first"))
+    members = written(signed.join(group, "signature").select("id", "first"), "members")
+    firsts = written(group.select(F.col("first").alias("id"), "signature"), "firsts")
+    near = estimated(candidates(band_rows(firsts, cfg.bands, cfg.permutations)), firsts).filter(F.col("estimate") >= cfg.jaccard)
+    # the first match of a post: the first of its own group, or of a group that came before
+    before = near.groupBy("b").agg(F.min("a").alias("a"))
+    found = before.select("a", "b").unionByName(members.filter("id > first").join(before, F.col("first") == F.col("b"), "left").select(F.least("first", F.coalesce("a", "first")).alias("a"), F.col("id").alias("b")))
     if urls is not None:
         u = urls.filter("url IS NOT NULL").select("id", F.lit(0).alias("band"), F.sha1("url").alias("hash"))
-        found = found.unionByName(estimated(candidates(u), signed).filter(F.col("estimate") >= cfg.url_jaccard))
-    return clusters(posts, found.select("a", "b"))
+        found = found.unionByName(estimated(candidates(u), signed).filter(F.col("estimate") >= cfg.url_jaccard).select("a", "b"))
+    return clusters(posts, found)

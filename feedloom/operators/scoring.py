@@ -24,6 +24,12 @@ POSITIVE = "good great love happy best nice excellent amazing wonderful fun beau
 NEGATIVE = "bad worst hate sad awful terrible horrible angry stupid idiot worthless pathetic disgusting moron trash".split()
 
 
+def terms_of(normalised: Column) -> Column:
+    """Distinct terms of a normalised text."""
+    found = F.regexp_extract_all(normalised, F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(X.STOP_WORDS)))
+
+
 def term_rows(posts: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
     """(id, term, tf) of terms of two characters or more that are no stop words, over normalised text."""
     found = F.regexp_extract_all(X.normalise(F.col(text)), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
@@ -33,7 +39,7 @@ def term_rows(posts: DataFrame, id_: str = "id", text: str = "text") -> DataFram
 
 def idf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1. n_docs: one row with n."""
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    df = terms.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that the exchange of `terms` is shared
     n = n_docs.first()["n"]
     return df.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
 
@@ -73,11 +79,16 @@ def keyword_category(terms: Column, normalised: Column) -> Column:
     return F.when(best["hits"] > 0, best["category"])
 
 
-def lexicon_sentiment(tokens: Column) -> Column:
-    """x / sqrt(x^2 + 15) of the sum of word valences, within -1 and 1."""
-    n = lambda ws: F.size(F.filter(tokens, lambda t: t.isin(ws)))
-    x = 2.0 * n(POSITIVE) - 2.0 * n(NEGATIVE)
-    return x / F.sqrt(x * x + 15)
+def lexicon_sentiment(text: Column) -> Column:
+    """x / sqrt(x^2 + 15) of the sum of word valences of a text's tokens, within -1 and 1."""
+    hits = lambda found, ws: F.size(F.filter(found, lambda t: t.isin(*ws, *(f"#{w}" for w in ws))))
+    x = X.let(X.raw_tokens(text), lambda found: 2.0 * hits(found, POSITIVE) - 2.0 * hits(found, NEGATIVE))
+    return X.let(x, lambda v: v / F.sqrt(v * v + 15))
+
+
+def positivity(sentiment: Column) -> Column:
+    """What sentiment adds to a base score: nothing below zero."""
+    return F.greatest(F.lit(0.0), sentiment)
 
 
 def recency_decay(age_h: Column, cfg: Config = DEFAULT) -> Column:
@@ -86,7 +97,8 @@ def recency_decay(age_h: Column, cfg: Config = DEFAULT) -> Column:
 
 
 def base_score(sentiment: Column, topicality_: Column, age_h: Column, penalty: Column, cfg: Config = DEFAULT) -> Column:
-    return F.greatest(F.lit(0.0), sentiment) * topicality_ * recency_decay(age_h, cfg) * penalty
+    """Positivity times topicality, decay and the penalty of the context."""
+    return positivity(sentiment) * topicality_ * recency_decay(age_h, cfg) * penalty
 
 
 def bot_score(velocity: Column, self_dup: Column, lexical: Column, template: Column, cfg: Config = DEFAULT) -> Column:
@@ -94,6 +106,12 @@ def bot_score(velocity: Column, self_dup: Column, lexical: Column, template: Col
     return a * velocity + b * self_dup + c * lexical + d * template
 
 
+def argmax_category(labels: Column, probabilities: Column, least: float = DEFAULT.category_threshold) -> Column:
+    """The label of the largest probability, the first one at ties; null where it stays below `least`."""
+    top = F.array_max(probabilities)
+    return F.when(top >= least, F.element_at(labels, F.array_position(probabilities, top).cast("int")))
+
+
 def similarity(weights: DataFrame) -> DataFrame:
     """(a, b, cosine), a < b, of L2-normalised weights, by an inverted index."""
     norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
@@ -111,50 +129,11 @@ def entity_jaccard(entities: DataFrame) -> DataFrame:
     return common.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard"))
 
 
-def mmr(pool: DataFrame, links: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(id, rank_score, position): greedy order by lambda base - (1 - lambda) largest similarity to what is chosen.
-
-    pool: (id, base) of at most `cfg.pool` rows, which bounds the one group; links: (a, b, sim), a < b, of the pool.
-    Ties go to the smaller id.
-    """
-    best = pool.orderBy(F.desc("base"), "id").limit(cfg.pool)
-    edges = links.groupBy("a").agg(F.collect_list("b").alias("others"), F.collect_list("sim").alias("sims"))
-    rows = best.join(edges, best["id"] == edges["a"], "left").select(F.lit(1).alias("g"), "id", "base", "others", "sims")
-    lam = cfg.mmr_lambda
-
-    def order(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("id", ignore_index=True)
-        at = {v: k for k, v in enumerate(pdf["id"])}
-        near: list[list] = [[] for _ in at]
-        for k, (others, sims) in enumerate(zip(pdf["others"], pdf["sims"], strict=True)):
-            for o, s in zip(others if others is not None else (), sims if sims is not None else (), strict=True):
-                if o in at:
-                    near[k].append((at[o], s))
-                    near[at[o]].append((k, s))
-        gain = lam * pdf["base"].to_numpy(float)
-        most, free = np.zeros(len(at)), np.ones(len(at), bool)
-        out = []
-        for position in range(len(at)):
-            value = np.where(free, gain - (1 - lam) * most, -np.inf)
-            k = int(np.argmax(value))
-            free[k] = False
-            out.append((int(pdf["id"][k]), float(value[k]), position + 1))
-            for j, s in near[k]:
-                most[j] = max(most[j], s)
-        return pd.DataFrame(out, columns=["id", "rank_score", "position"])
-
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("rank_score", T.DoubleType()), T.StructField("position", T.LongType())])
-    return rows.groupBy("g").applyInPandas(order, schema)
-
-
 def mmr_terms(pool: DataFrame, weights: DataFrame, entities: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """`mmr` with similarities taken from the posts' own terms and entities: (id, rank_score, position).
+    """(id, rank_score, position): greedy order by lambda base - (1 - lambda) largest similarity to what is chosen.
 
     pool: (id, base), cut to `cfg.pool` rows, which bounds the one group; weights: (id, term, weight); entities: (id, entity).
-    Similarity is `cfg.similarity_mix` of the cosine and the rest of the Jaccard similarity of entities. Only the
+    Ties go to the smaller id. Similarity is `cfg.similarity_mix` of the cosine and the rest of the Jaccard similarity of entities. Only the
     chosen post is compared with the others at each step, through postings, so no matrix of pairs is ever built.
     """
     best = pool.orderBy(F.desc("base"), "id").limit(cfg.pool)

@@ -2,8 +2,7 @@
 
 Anchored windows start at the first event and end a fixed time later, when the next event starts another. Rolling ones
 end where no event follows in time. Rolling ones are gap sessions, one window function each. Anchored ones need the
-start of the window before; a fold over the times of one session (sessions are split where the gap alone ends any
-window) keeps what is gathered to events of one key that follow each other within the window.
+start of the window before, which is carried along while a key's events stream by in order.
 """
 
 from __future__ import annotations
@@ -29,15 +28,39 @@ def rolling_count(events: DataFrame, keys: list[str], time: str, order: list[str
 
 
 def anchored(events: DataFrame, keys: list[str], time: str, order: list[str], ttl: float, name: str = "window_start") -> DataFrame:
-    """Start of the anchored window of each event: the first event, or the first one `ttl` or more behind the start before."""
-    s = sessions(events, keys, time, order, ttl, "__session")
-    empty = F.array().cast("array<double>")
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= ttl), F.concat(acc, F.array(t))).otherwise(acc)
-    times = s.groupBy(*keys, "__session").agg(F.sort_array(F.collect_set(F.col(time).cast("double"))).alias("__times"))
-    starts = times.select(*keys, "__session", F.explode(F.aggregate("__times", empty, step)).alias(name))
-    starts = starts.withColumn("__until", F.lead(name).over(Window.partitionBy(*keys, "__session").orderBy(name)))
-    joined = s.join(starts, [*keys, "__session"]).filter((F.col(time) >= F.col(name)) & (F.col("__until").isNull() | (F.col(time) < F.col("__until"))))
-    return joined.drop("__session", "__until")
+    """Start of the anchored window of each event: the first event, or the first one `ttl` or more behind the start before.
+
+    A key's events stream by in order of time; what is held is the key and the start of its window.
+    """
+    rows = events.withColumn("__time", F.col(time).cast("double")).withColumn("__key", F.xxhash64(*keys)).withColumn(name, F.lit(0.0))
+    schema = rows.schema
+    place = {c: i for i, c in enumerate(rows.columns)}
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, start = None, 0.0
+        for batch in batches:
+            key = batch.column(place["__key"]).to_numpy()
+            at = batch.column(place["__time"]).to_numpy(zero_copy_only=False)
+            out = np.empty(len(key))
+            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                if last != key[lo]:
+                    last, start = key[lo], at[lo]
+                while lo < hi:  # one step for each window of the run
+                    end = lo + int(np.searchsorted(at[lo:hi], start + ttl))
+                    out[lo:end] = start
+                    if end < hi:
+                        start = at[end]
+                    lo = end
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=batch.schema.names)
+
+    dealt = rows.filter(F.col("__time").isNotNull()).repartition(*keys).sortWithinPartitions("__key", "__time", *order)
+    return dealt.mapInArrow(run, schema).drop("__time", "__key")
 
 
 def anchored_count(events: DataFrame, keys: list[str], time: str, order: list[str], ttl: float, name: str) -> DataFrame:

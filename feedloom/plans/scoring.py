@@ -9,13 +9,18 @@ from pyspark.sql.window import Window
 from ..config import DEFAULT
 from ..functions import language as L
 from ..functions import text as X
+from ..functions import urls as U
+from ..operators import cycle as C
 from ..operators import dedup as D
+from ..operators import moderation as M
 from ..operators import scoring as R
 from ..operators import windows as V
 from ..sources import tables as S
 from ..sources.tables import POSTS_SQL, table
-from .functions import LEXICAL, NORM, SKELETON, TOKEN_LIST
+from .filters import CONTENT, CONTEXT, LANGUAGE, label, raw_json, tagged
+from .functions import CANON, LEXICAL, NORM, SKELETON, TOKEN_LIST
 from .registry import query
+from .tables import BLOCKED, DOMAINS, NOW_S, blocked
 
 P = f"WITH RECURSIVE {POSTS_SQL}"
 TERM_LIST = rf"list_filter(regexp_extract_all({NORM}, '([\p{{L}}\p{{N}}_]{{2,}})', 1), lambda t: t NOT IN ({X.STOPS_SQL}))"
@@ -57,24 +62,36 @@ def topk_terms(spark, d):
     return R.top_terms(weights(spark, d))
 
 
+def in_context(spark, d) -> DataFrame:
+    """Posts with the JSON that says what they reply to."""
+    return S.posts(spark, d).withColumn("raw_json", raw_json())
+
+
 def base_scores(posts: DataFrame, cfg=DEFAULT) -> DataFrame:
-    """id, topicality, sentiment, base_score of posts at the constant now."""
+    """id, created_s, topicality (without bursts), sentiment, base_score of posts with raw_json at the constant now."""
     t = R.term_rows(posts)
     s = R.salience(R.weighted(t, R.idf(t, posts.agg(F.count("*").alias("n")))), cfg)
     age = (F.unix_timestamp(F.lit(S.NOW)) - F.col("created_s")) / 3600.0
-    scored = posts.join(s, "id", "left").select("id", "author_id", "created_s", F.coalesce("salience", F.lit(0.0)).alias("topicality"), R.lexicon_sentiment(X.tokens(F.col("text"))).alias("sentiment"), age.alias("age_h"))
-    feel = 0.5 + F.col("sentiment") / 2
-    return scored.select("id", "created_s", "topicality", "sentiment", R.base_score(feel, F.col("topicality"), F.col("age_h"), F.lit(1.0), cfg).alias("base_score"))
+    penalty = M.context(F.col("source"), F.col("author_id"), F.col("raw_json"), F.col("text"), cfg)["multiplier"]
+    plain = posts.select("id", "created_s", R.lexicon_sentiment(F.col("text")).alias("sentiment"), age.alias("age_h"), penalty.alias("penalty"))
+    scored = plain.join(s, "id", "left").withColumn("topicality", F.coalesce("salience", F.lit(0.0)))
+    return scored.select("id", "created_s", "topicality", "sentiment", R.base_score(F.col("sentiment"), F.col("topicality"), F.col("age_h"), F.col("penalty"), cfg).alias("base_score"))
 
 
-BASE = f"""{TF}, {IDF}, {WEIGHTS}, {SALIENCE}, feel AS (SELECT id, created_s, {SENT} AS x FROM posts),
-base AS (SELECT f.id, coalesce(salience, 0.0) AS topicality, x / sqrt(x * x + 15) AS sentiment,
- greatest(0.0, 0.5 + x / sqrt(x * x + 15) / 2) * coalesce(salience, 0.0) * pow(0.5, greatest(0.0, (CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') AS BIGINT) - created_s) / 3600.0) / 12) AS base_score FROM feel f LEFT JOIN sal USING (id))"""
+#: Content alone: positive sentiment, topicality, decay by half every 12 hours, and 0.4 for replies to others.
+BASE = f"""{TF}, {IDF}, {WEIGHTS}, {SALIENCE}, feel AS (SELECT id, created_s, {SENT} AS x, CASE WHEN {CONTEXT} = 'devalue' THEN 0.4 ELSE 1.0 END AS penalty FROM posts),
+base AS (SELECT f.id, f.created_s, coalesce(salience, 0.0) AS topicality, x / sqrt(x * x + 15) AS sentiment, penalty,
+ CASE WHEN x > 0 THEN x / sqrt(x * x + 15) ELSE 0.0 END * coalesce(salience, 0.0) * pow(0.5, greatest(0.0, ({NOW_S} - created_s) / 3600.0) / 12) * penalty AS base_score FROM feel f LEFT JOIN sal USING (id))"""
 
 
 @query("base_score", f"{P}, {BASE} SELECT id, round(topicality, 6) AS topicality, round(sentiment, 6) AS sentiment, round(base_score, 6) AS base_score FROM base")
 def base_score(spark, d):
-    return base_scores(S.posts(spark, d)).select("id", *(F.round(c, 6).alias(c) for c in ("topicality", "sentiment", "base_score")))
+    return base_scores(in_context(spark, d)).select("id", *(F.round(c, 6).alias(c) for c in ("topicality", "sentiment", "base_score")))
+
+
+@query("positivity", f"{P} SELECT id, round(CASE WHEN x > 0 THEN x / sqrt(x * x + 15) ELSE 0.0 END, 9) AS positivity FROM (SELECT id, {SENT} AS x FROM posts)")
+def positivity(spark, d):
+    return S.posts(spark, d).select("id", F.round(R.positivity(R.lexicon_sentiment(F.col("text"))), 9).alias("positivity"))
 
 
 @query("recency_decay", f"{P} SELECT id, round(pow(0.5, id * 60 / 3600.0 / 12), 9) AS decay FROM posts")
@@ -84,7 +101,7 @@ def recency_decay(spark, d):
 
 @query("sentiment", f"{P} SELECT id, round(x / sqrt(x * x + 15), 9) AS sentiment, 'lexicon_v1' AS method FROM (SELECT id, {SENT} AS x FROM posts)")
 def sentiment(spark, d):
-    return S.posts(spark, d).select("id", F.round(R.lexicon_sentiment(X.tokens(F.col("text"))), 9).alias("sentiment"), F.lit("lexicon_v1").alias("method"))
+    return S.posts(spark, d).select("id", F.round(R.lexicon_sentiment(F.col("text")), 9).alias("sentiment"), F.lit("lexicon_v1").alias("method"))
 
 
 E_SQL = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000000 AS s FROM events)"
@@ -94,11 +111,11 @@ def events(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("s"))
 
 
-def anchored_sql(source: str, keys: str, ttl: int, extra: str = "") -> str:
+def anchored_sql(source: str, keys: str, ttl: int, o: str = "o", g: str = "g") -> str:
     """Anchored windows by a recursive walk over each key's events."""
     on = " AND ".join(f"n.{k} = g.{k}" for k in keys.split(", "))
-    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY s, event_id) AS n FROM {source}),
-g AS (SELECT *, s AS start FROM o WHERE n = 1 UNION ALL SELECT n.*, CASE WHEN n.s - g.start >= {ttl} THEN n.s ELSE g.start END FROM o n JOIN g ON {on} AND n.n = g.n + 1)"""
+    return f"""{o} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY s, event_id) AS n FROM {source}),
+{g} AS (SELECT *, s AS start FROM {o} WHERE n = 1 UNION ALL SELECT n.*, CASE WHEN n.s - g.start >= {ttl} THEN n.s ELSE g.start END FROM {o} n JOIN {g} g ON {on} AND n.n = g.n + 1)"""
 
 
 @query("bot_velocity", f"WITH RECURSIVE {E_SQL}, {anchored_sql('e', 'user_id', 86400)} SELECT event_id, row_number() OVER (PARTITION BY user_id, start ORDER BY s, event_id) AS n, least(1.0, row_number() OVER (PARTITION BY user_id, start ORDER BY s, event_id) / 15.0) AS component FROM g")
@@ -107,9 +124,9 @@ def bot_velocity(spark, d):
     return n.select("event_id", "n", V.component(F.col("n"), 15).alias("component"))
 
 
-def rolling_sql(source: str, keys: str, ttl: int) -> str:
-    return f"""f AS (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY {keys} ORDER BY s, event_id) IS NULL OR s - lag(s) OVER (PARTITION BY {keys} ORDER BY s, event_id) >= {ttl} THEN 1 ELSE 0 END AS fresh FROM {source}),
-se AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS session FROM f)"""
+def rolling_sql(source: str, keys: str, ttl: int, f: str = "f", se: str = "se") -> str:
+    return f"""{f} AS (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY {keys} ORDER BY s, event_id) IS NULL OR s - lag(s) OVER (PARTITION BY {keys} ORDER BY s, event_id) >= {ttl} THEN 1 ELSE 0 END AS fresh FROM {source}),
+{se} AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS session FROM {f})"""
 
 
 @query("entity_burst", f"WITH {E_SQL}, {rolling_sql('e', 'event_type, user_id', 200000)} SELECT event_id, row_number() OVER (PARTITION BY event_type, user_id, session ORDER BY s, event_id) AS mentions FROM se")
@@ -123,16 +140,13 @@ def burst_component(spark, d):
     return m.groupBy("user_id").agg(F.max("n").alias("most")).withColumn("component", V.component(F.col("most"), 5))
 
 
-BOT_POSTS = f"b AS (SELECT id AS event_id, author_id, created_s AS s, {SKELETON.replace('text', 'left(text, 12)')} AS skeleton, text FROM posts)"
-
-
-def bot_posts(spark, d):
-    return S.posts(spark, d).select(F.col("id").alias("event_id"), "author_id", F.col("created_s").alias("s"), X.template_skeleton(F.substring("text", 1, 12)).alias("skeleton"), "text")
+BOT_POSTS = f"b AS (SELECT id AS event_id, author_id, created_s AS s, {SKELETON} AS skeleton FROM (SELECT id, author_id, created_s, {NORM} AS text FROM posts))"
 
 
 @query("bot_template", f"{P}, {BOT_POSTS}, {rolling_sql('b', 'author_id, skeleton', 86400)} SELECT event_id, row_number() OVER (PARTITION BY author_id, skeleton, session ORDER BY s, event_id) AS n FROM se")
 def bot_template(spark, d):
-    return V.rolling_count(bot_posts(spark, d), ["author_id", "skeleton"], "s", ["event_id"], 86400, "n").select("event_id", "n")
+    b = S.posts(spark, d).select(F.col("id").alias("event_id"), "author_id", F.col("created_s").alias("s"), X.template_skeleton(X.normalise(F.col("text"))).alias("skeleton"))
+    return V.rolling_count(b, ["author_id", "skeleton"], "s", ["event_id"], 86400, "n").select("event_id", "n")
 
 
 @query("bot_self_dup", f"WITH RECURSIVE {E_SQL}, {anchored_sql('e', 'event_type', 3600 * 8)} SELECT event_id, row_number() OVER (PARTITION BY event_type, start, user_id ORDER BY s, event_id) > 1 AS seen FROM g")
@@ -140,24 +154,6 @@ def bot_self_dup(spark, d):
     return V.seen_before(events(spark, d), ["event_type"], "user_id", "s", ["event_id"], 3600 * 8, "seen").select("event_id", "seen")
 
 
-BOT = f"""{P}, {BOT_POSTS}, {rolling_sql('b', 'author_id, skeleton', 86400)},
-t AS (SELECT event_id, row_number() OVER (PARTITION BY author_id, skeleton, session ORDER BY s, event_id) AS n FROM se),
-{anchored_sql('b', 'author_id', 3600).replace('o AS', 'o AS').replace('g AS (SELECT', 'g AS (SELECT')},
-v AS (SELECT event_id, row_number() OVER (PARTITION BY author_id, start ORDER BY s, event_id) AS n FROM g),
-x AS (SELECT b.event_id AS id, 0.30 * least(1.0, v.n / 15.0) + 0.20 * ({LEXICAL}) + 0.25 * least(1.0, t.n / 5.0) AS score FROM b JOIN t ON t.event_id = b.event_id JOIN v ON v.event_id = b.event_id)
-SELECT id, round(score, 6) AS score, score >= 0.5 AS is_bot FROM x"""
-
-
-@query("bot_score", BOT)
-def bot_score(spark, d):
-    b = bot_posts(spark, d)
-    t = V.rolling_count(b, ["author_id", "skeleton"], "s", ["event_id"], 86400, "t").select("event_id", "t")
-    v = V.anchored_count(b.select("event_id", "author_id", "s"), ["author_id"], "s", ["event_id"], 3600, "v").select("event_id", "v")
-    lexical = X.lexical_score(F.col("text"), DEFAULT.url_cap, DEFAULT.hashtag_cap, DEFAULT.caps_cap)
-    x = b.join(t, "event_id").join(v, "event_id").select(F.col("event_id").alias("id"), R.bot_score(V.component(F.col("v"), 15), F.lit(0.0), lexical, V.component(F.col("t"), 5)).alias("score"))
-    return x.select("id", F.round("score", 6).alias("score"), (F.col("score") >= DEFAULT.bot_threshold).alias("is_bot"))
-
-
 SHINGLES = f"""n AS (SELECT id, {NORM} AS t FROM posts), ws AS (SELECT id, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM n),
 sh AS (SELECT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) END) AS s FROM ws),
 sz AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
@@ -165,96 +161,166 @@ pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s
 near AS (SELECT a, b, c / CAST(x.n + y.n - c AS DOUBLE) AS j FROM pairs JOIN sz x ON x.id = a JOIN sz y ON y.id = b)"""
 
 
-def near(spark, d):
-    return D.exact_pairs(D.shingle_rows(S.posts(spark, d), 4), 0.7)
+def near(posts: DataFrame) -> DataFrame:
+    return D.exact_pairs(D.shingle_sets(posts, 4), 0.7)
+
+
+def groups(posts: DataFrame) -> DataFrame:
+    """Clusters by exact similarity."""
+    return D.clusters(posts, near(posts))
 
 
 @query("join_lsh", f"{P}, {SHINGLES} SELECT a, b, round(j, 9) AS jaccard FROM near WHERE j >= 0.7")
 def join_lsh(spark, d):
-    return near(spark, d).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return near(S.posts(spark, d)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
-CLUSTERS = f"""{P}, {SHINGLES}, parent AS (SELECT b AS id, min(a) AS p FROM near WHERE j >= 0.7 GROUP BY b),
+ROOTS = """parent AS (SELECT b AS id, min(a) AS p FROM near WHERE j >= 0.7 GROUP BY b),
 roots AS (SELECT id, id AS root FROM posts WHERE id NOT IN (SELECT id FROM parent) UNION ALL SELECT q.id, r.root FROM parent q JOIN roots r ON q.p = r.id)"""
+CLUSTERS = f"{P}, {SHINGLES}, {ROOTS}"
 
 
 @query("dedup_clusters", f"{CLUSTERS} SELECT id, root AS cluster FROM roots")
 def dedup_clusters(spark, d):
-    return D.clusters(S.posts(spark, d), near(spark, d)).select("id", "cluster")
+    return groups(S.posts(spark, d)).select("id", "cluster")
 
 
 @query("dedup_canonical", f"{CLUSTERS} SELECT id, id = root AS canonical FROM roots")
 def dedup_canonical(spark, d):
-    return D.clusters(S.posts(spark, d), near(spark, d)).select("id", "canonical")
+    return groups(S.posts(spark, d)).select("id", "canonical")
 
 
 MINHASH = "mh AS (SELECT id, CAST(('0x' || substr(md5(s), 1, 8)) AS BIGINT) % 2147483647 AS x, CAST(('0x' || substr(md5(s), 9, 8)) AS BIGINT) % 2147483647 AS y FROM sh)"
 
 
-@query("minhash_signature", f"{P}, {SHINGLES}, {MINHASH} SELECT id, i, min((x + i * y) % 2147483647) AS value FROM mh, range(0, 8) r(i) GROUP BY 1, 2")
+@query("minhash_signature", f"{P}, {SHINGLES}, {MINHASH} SELECT id, i, min((x + i * y) % 2147483647) AS value FROM mh, range(0, 128) r(i) GROUP BY 1, 2")
 def minhash_signature(spark, d):
-    s = D.signatures(D.shingle_rows(S.posts(spark, d), 4), 8)
+    s = D.signatures(S.posts(spark, d))
     return s.select("id", F.posexplode("signature").alias("i", "value")).select("id", F.col("i").cast("long").alias("i"), "value")
 
 
-@query("dedup_minhash")
+#: Canonical address of the first URL in a text.
+FIRST_URL = CANON.replace("url", "regexp_extract(text, '(https?://[^ \\t\\n\\x0b\\x0c\\r]+)', 1)")
+ESTIMATE = f"""sig AS (SELECT id, i, min((x + i * y) % 2147483647) AS v FROM mh, range(0, 128) r(i) GROUP BY 1, 2),
+bands AS (SELECT id, i // 8 AS band, string_agg(v, ',' ORDER BY i) AS h FROM sig GROUP BY 1, 2),
+links AS (SELECT id, {FIRST_URL} AS link FROM posts),
+cand AS (SELECT DISTINCT x.id AS a, y.id AS b, 0.7 AS least FROM bands x JOIN bands y ON x.band = y.band AND x.h = y.h AND x.id < y.id
+ UNION SELECT x.id, y.id, 0.2 FROM links x JOIN links y ON x.link = y.link AND x.id < y.id),
+near AS (SELECT c.a, c.b, CASE WHEN count(*) FILTER (WHERE x.v = y.v) / 128.0 >= c.least THEN 1.0 ELSE 0.0 END AS j FROM cand c JOIN sig x ON x.id = c.a JOIN sig y ON y.id = c.b AND y.i = x.i GROUP BY c.a, c.b, c.least)"""
+
+
+@query("dedup_minhash", f"{P}, {SHINGLES.partition(',\nsz AS')[0]}, {MINHASH}, {ESTIMATE}, {ROOTS} SELECT id, root AS cluster, id = root AS canonical FROM roots")
 def dedup_minhash(spark, d):
-    return D.dedup_posts(S.posts(spark, d))
+    p = S.posts(spark, d)
+    return D.dedup_posts(p, p.select("id", U.canonical(U.first_url(F.col("text"))).alias("url")))
 
 
-COS = f"""{P}, {TF}, {IDF}, wr AS (SELECT id, tf.term, tf * idf AS weight FROM tf JOIN idf USING (term) WHERE id % 10 = 0), nr AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM wr GROUP BY id),
-u AS (SELECT wr.id, term, weight / norm AS w FROM wr JOIN nr ON nr.id = wr.id)"""
+@query("signature_codec", f"{P}, {SHINGLES.partition(',\nsz AS')[0]}, {MINHASH}, sig AS (SELECT id, i, min((x + i * y) % 2147483647) AS v FROM mh, range(0, 128) r(i) GROUP BY 1, 2) SELECT id, '00000080' || string_agg(printf('%08X', v), '' ORDER BY i) AS raw, max(v) FILTER (WHERE i = 127) AS last FROM sig GROUP BY id")
+def signature_codec(spark, d):
+    raw = D.signatures(S.posts(spark, d)).select("id", D.serialised(F.col("signature")).alias("raw"))
+    back = raw.withColumn("signature", D.deserialised(F.col("raw")))
+    return back.select("id", F.hex("raw").alias("raw"), F.get("signature", F.lit(DEFAULT.permutations - 1)).alias("last"))
 
 
-@query("sim_tfidf", f"{COS} SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2")
-def sim_tfidf(spark, d):
-    return R.similarity(weights(spark, d, False).filter("id % 10 = 0")).select("a", "b", F.round("cosine", 6).alias("cosine"))
+SELF = f"""{rolling_sql('b', 'author_id, skeleton', 86400)},
+t AS (SELECT event_id, row_number() OVER (PARTITION BY author_id, skeleton, session ORDER BY s, event_id) AS n FROM se),
+{anchored_sql('b', 'author_id', 3600)},
+v AS (SELECT event_id, row_number() OVER (PARTITION BY author_id, start ORDER BY s, event_id) AS n FROM g),
+bc AS (SELECT b.*, root AS cluster FROM b JOIN roots ON roots.id = b.event_id), {anchored_sql('bc', 'cluster', 86400, 'oc', 'gc')},
+again AS (SELECT event_id, row_number() OVER (PARTITION BY cluster, start, author_id ORDER BY s, event_id) > 1 AS seen FROM gc),
+bot AS (SELECT p.id, 0.30 * least(1.0, v.n / 15.0) + 0.25 * CAST(seen AS INTEGER) + 0.20 * ({LEXICAL}) + 0.25 * least(1.0, t.n / 5.0) AS score
+ FROM posts p JOIN t ON t.event_id = p.id JOIN v ON v.event_id = p.id JOIN again ON again.event_id = p.id)"""
 
 
-@query("sim_tfidf_all")
-def sim_tfidf_all(spark, d):
-    """Every pair of posts; `sim_tfidf` and its twin see a tenth of them."""
-    return R.similarity(weights(spark, d, False)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+@query("bot_score", f"{CLUSTERS}, {BOT_POSTS}, {SELF} SELECT id, round(score, 6) AS score, score >= 0.5 AS is_bot FROM bot")
+def bot_score(spark, d):
+    p = S.posts(spark, d)
+    x = C.bot_scores(p, groups(p))
+    return x.select("id", F.round("bot_score", 6).alias("score"), "is_bot")
+
+
+#: The pool of the production ranking: similarities are only ever taken within it.
+POOL = f"pool AS (SELECT id, text FROM posts ORDER BY created_s DESC, id LIMIT {DEFAULT.pool})"
+COS = f"""{POOL}, {TF.replace('FROM posts', 'FROM pool')}, {IDF.replace('FROM posts', 'FROM pool')}, wr AS (SELECT id, tf.term, tf * idf AS weight FROM tf JOIN idf USING (term)), nr AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM wr GROUP BY id),
+u AS (SELECT wr.id, term, weight / norm AS w FROM wr JOIN nr ON nr.id = wr.id),
+cosines AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)"""
+ENTITY_LIST = r"list_distinct(list_transform(regexp_extract_all(text, '(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)', 1), lambda e: left(lower(e), 100)))"
+JACCARDS = f"""en AS (SELECT id, unnest({ENTITY_LIST}) AS entity FROM pool), ne AS (SELECT id, count(*) AS n FROM en GROUP BY id),
+jaccards AS (SELECT a, b, c / CAST(x.n + y.n - c AS DOUBLE) AS jaccard FROM (SELECT p.id AS a, q.id AS b, count(*) AS c FROM en p JOIN en q ON p.entity = q.entity AND p.id < q.id GROUP BY 1, 2) JOIN ne x ON x.id = a JOIN ne y ON y.id = b)"""
+
+
+def pool(spark, d) -> DataFrame:
+    """The newest posts, as many as one ranking takes."""
+    return S.newest_first(S.posts(spark, d), "created_s", DEFAULT.pool, "id").select("id", "text")
 
 
-BASKET = "en AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS entity FROM lineitem WHERE l_orderkey < 3000), ne AS (SELECT id, count(*) AS n FROM en GROUP BY id)"
+def pool_cosines(p: DataFrame) -> DataFrame:
+    t = R.term_rows(p)
+    return R.similarity(R.weighted(t, R.idf(t, p.agg(F.count("*").alias("n"))), False))
+
+
+def pool_jaccards(p: DataFrame) -> DataFrame:
+    return R.entity_jaccard(p.select("id", F.explode(L.entities(F.col("text"))).alias("entity")))
+
+
+@query("sim_tfidf", f"{P}, {COS} SELECT a, b, round(cosine, 6) AS cosine FROM cosines")
+def sim_tfidf(spark, d):
+    return pool_cosines(pool(spark, d)).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query("sim_entity_jaccard", f"WITH {BASKET} SELECT a, b, round(c / CAST(x.n + y.n - c AS DOUBLE), 9) AS jaccard FROM (SELECT p.id AS a, q.id AS b, count(*) AS c FROM en p JOIN en q ON p.entity = q.entity AND p.id < q.id GROUP BY 1, 2) JOIN ne x ON x.id = a JOIN ne y ON y.id = b")
+@query("sim_entity_jaccard", f"{P}, {POOL}, {JACCARDS} SELECT a, b, round(jaccard, 9) AS jaccard FROM jaccards")
 def sim_entity_jaccard(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey < 3000").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("entity")).distinct()
-    return R.entity_jaccard(e).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return pool_jaccards(pool(spark, d)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query("join_allpairs_sim", "WITH p AS (SELECT DISTINCT o_custkey AS id, o_orderpriority || '/' || strftime(o_orderdate, '%Y-%m') AS k FROM orders WHERE o_custkey < 300) SELECT a.id AS a, b.id AS b, count(*) AS common FROM p a JOIN p b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2")
+@query("join_allpairs_sim", f"{P}, {COS}, {JACCARDS} SELECT a, b, round(0.5 * coalesce(cosine, 0.0) + 0.5 * coalesce(jaccard, 0.0), 6) AS similarity FROM cosines FULL JOIN jaccards USING (a, b)")
 def join_allpairs_sim(spark, d):
-    k = F.concat("o_orderpriority", F.lit("/"), F.date_format("o_orderdate", "yyyy-MM"))
-    p = table(spark, d, "orders").filter("o_custkey < 300").select(F.col("o_custkey").alias("id"), k.alias("k")).distinct()
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("common"))
+    p = pool(spark, d)
+    both = pool_cosines(p).join(pool_jaccards(p), ["a", "b"], "full")
+    mix = DEFAULT.similarity_mix
+    return both.select("a", "b", F.round(mix * F.coalesce("cosine", F.lit(0.0)) + (1 - mix) * F.coalesce("jaccard", F.lit(0.0)), 6).alias("similarity"))
 
 
-@query("sim_entity_jaccard_all")
-def sim_entity_jaccard_all(spark, d):
-    """Every order; `sim_entity_jaccard` and its twin see those with a key under 3000."""
-    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("entity")).distinct()
-    return R.entity_jaccard(e).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+def scored_cycle(spark, d) -> DataFrame:
+    """The cycle over all posts, clustered by exact similarity."""
+    now = F.unix_timestamp(F.lit(S.NOW))
+    return C.scored(tagged(spark, d), blocked(spark), ["promo", "idiot"], DOMAINS, label(), F.lit(0.9), now, groups)
 
 
-@query("join_allpairs_sim_all")
-def join_allpairs_sim_all(spark, d):
-    """Every customer; `join_allpairs_sim` and its twin see those with a key under 300."""
-    k = F.concat("o_orderpriority", F.lit("/"), F.date_format("o_orderdate", "yyyy-MM"))
-    p = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), k.alias("k")).distinct()
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("common"))
+BURST = f"""said AS (SELECT id AS event_id, created_s AS s, unnest({ENTITY_LIST}) AS entity FROM posts), {rolling_sql('said', 'entity', 10800, 'fe', 'me')},
+mention AS (SELECT event_id, row_number() OVER (PARTITION BY entity, session ORDER BY s, event_id) AS n FROM me),
+burst AS (SELECT event_id AS id, max(n) AS mentions FROM mention GROUP BY 1)"""
+TOPIC = "topicality * (1 + least(1.0, coalesce(mentions, 0) / 5.0))"
+CYCLE = f"""WITH RECURSIVE {POSTS_SQL.replace('posts AS', 'raw AS', 1)}, {BLOCKED}, marked AS (SELECT p.*, b.author_id IS NOT NULL AS bl FROM raw p LEFT JOIN blocked b ON b.source = p.source AND b.author_id = p.author_id),
+posts AS (SELECT * FROM marked WHERE NOT bl AND {CONTENT} IS NULL AND NOT coalesce({LANGUAGE}, false) AND {CONTEXT} <> 'exclude'),
+{SHINGLES}, {ROOTS}, {BOT_POSTS}, {SELF}, {BASE}, {BURST}"""
+
+
+@query("cycle_scores", f"""{CYCLE} SELECT base.id, root AS cluster, base.id = root AS canonical, round(sentiment, 6) AS sentiment, round({TOPIC}, 6) AS topicality, round(score, 6) AS bot_score, score >= 0.5 AS is_bot,
+ CAST(penalty AS DOUBLE) AS penalty, round(base_score * (1 + least(1.0, coalesce(mentions, 0) / 5.0)), 6) AS base_score FROM base JOIN roots USING (id) JOIN bot USING (id) LEFT JOIN burst USING (id)""")
+def cycle_scores(spark, d):
+    return scored_cycle(spark, d).select("id", "cluster", "canonical", *(F.round(c, 6).alias(c) for c in ("sentiment", "topicality", "bot_score", "base_score")), "is_bot", "penalty")
+
+
+@query("cycle_rank")
+def cycle_rank(spark, d):
+    """Exclusion, clusters, scores, eligibility, window, pool and marginal relevance in one; tests hold it against brute force."""
+    return C.ranked(scored_cycle(spark, d), S.posts(spark, d), F.unix_timestamp(F.lit(S.NOW)))
+
+
+@query("cycle_counts", f"{CYCLE} SELECT (SELECT count(*) FROM raw) AS read, (SELECT count(*) FROM posts) AS processed, (SELECT count(*) FROM raw) - (SELECT count(*) FROM posts) AS filtered")
+def cycle_counts(spark, d):
+    p = tagged(spark, d)
+    kept = M.excluded(p, blocked(spark), ["promo", "idiot"], DOMAINS, label(), F.lit(0.9)).filter("reason IS NULL")
+    return C.counts(p, kept)
 
 
 @query("mmr_rank")
 def mmr_rank(spark, d):
-    base = base_scores(S.posts(spark, d)).select("id", F.col("base_score").alias("base")).filter("base > 0")
-    entities = S.posts(spark, d).select("id", F.explode(L.entities(F.col("text"))).alias("entity"))
-    return R.mmr_terms(base, weights(spark, d, False), entities)
+    """The best posts by base score within the window, in order of marginal relevance; weights are those of the pool."""
+    now = F.unix_timestamp(F.lit(S.NOW))
+    rows = base_scores(in_context(spark, d)).withColumns({"is_bot": F.lit(False), "canonical": F.lit(True)})
+    return C.ranked(rows, S.posts(spark, d), now)
 
 
 def category_sql(terms: str, text: str) -> str:
@@ -267,28 +333,25 @@ def category_sql(terms: str, text: str) -> str:
     return f"list_max([{rows}])"
 
 
-MIXED = "CASE id % 6 WHEN 0 THEN ' linux music ' WHEN 1 THEN ' good morning my day ' WHEN 2 THEN ' chef farmers market film ' WHEN 3 THEN ' museum concert python ' ELSE '' END || left(text, 200)"
+CATEGORY = f"k AS (SELECT id, {category_sql(f'list_distinct({TERM_LIST})', NORM)} AS best FROM posts)"
 
 
-@query("categorize_keyword", f"{P}, m AS (SELECT id, {MIXED} AS text FROM posts), k AS (SELECT id, {category_sql(f'list_distinct({TERM_LIST})', NORM)} AS best FROM m) SELECT id, CASE WHEN best.hits > 0 THEN best.category END AS category FROM k")
+@query("categorize_keyword", f"{P}, {CATEGORY} SELECT id, CASE WHEN best.hits > 0 THEN best.category END AS category FROM k")
 def categorize_keyword(spark, d):
-    said = F.element_at(F.array(*map(F.lit, (" linux music ", " good morning my day ", " chef farmers market film ", " museum concert python ", "", ""))), (F.col("id") % 6 + 1).cast("int"))
-    p = S.posts(spark, d).select("id", X.normalise(F.concat(said, F.substring("text", 1, 200))).alias("t"))
-    terms = F.filter(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda t: ~t.isin(X.STOP_WORDS))
-    return p.select("id", R.keyword_category(F.array_distinct(terms), F.col("t")).alias("category"))
+    t = S.posts(spark, d).select("id", X.normalise(F.col("text")).alias("t"))
+    return t.select("id", R.keyword_category(R.terms_of(F.col("t")), F.col("t")).alias("category"))
 
 
-@query("category", f"{P}, m AS (SELECT id, {MIXED} AS text FROM posts), k AS (SELECT id, {category_sql(f'list_distinct({TERM_LIST})', NORM)} AS best FROM m) SELECT id, CASE WHEN best.hits > 0 THEN best.category END AS category, 'keyword_v1' AS method FROM k")
+@query("category", f"{P}, {CATEGORY} SELECT id, CASE WHEN best.hits > 0 THEN best.category END AS category, 'keyword_v1' AS method FROM k")
 def category(spark, d):
     return categorize_keyword(spark, d).withColumn("method", F.lit("keyword_v1"))
 
 
-@query("category_all")
-def category_all(spark, d):
-    """Whole texts as they are; `category` and its twin see 200 characters behind words put in front."""
-    p = S.posts(spark, d).select("id", X.normalise(F.col("text")).alias("t"))
-    terms = F.filter(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda t: ~t.isin(X.STOP_WORDS))
-    return p.select("id", R.keyword_category(F.array_distinct(terms), F.col("t")).alias("category"), F.lit("keyword_v1").alias("method"))
+@query("category_argmax", "SELECT event_id, CASE WHEN greatest(value / 50, 1 - value / 50) >= 0.65 THEN CASE WHEN value / 50 >= 1 - value / 50 THEN 'high' ELSE 'low' END END AS category FROM events")
+def category_argmax(spark, d):
+    """The larger of two probabilities, or none where neither is sure."""
+    p = F.col("value") / 50
+    return table(spark, d, "events").select("event_id", R.argmax_category(F.array(F.lit("high"), F.lit("low")), F.array(p, 1 - p)).alias("category"))
 
 
 FLAT_WORDS = f"(CASE WHEN {NORM} = '' THEN [] ELSE string_split({NORM}, ' ') END)"
@@ -366,18 +429,12 @@ def eval_threshold_sweep(spark, d):
     return sweep(table(spark, d, "events").select((F.col("event_type") == "click").alias("truth"), (F.col("value") / 100).alias("score")), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
 
 
-@query("cycle_counts", "SELECT count(*) AS processed, count(*) FILTER (WHERE lang <> 'en') AS filtered, count(*) FILTER (WHERE doc_id % 11 = 0) AS purged FROM documents")
-def cycle_counts(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("processed"), F.count_if(F.col("lang") != "en").alias("filtered"), F.count_if(F.col("doc_id") % 11 == 0).alias("purged"))
-
-
 @query("sampled_estimate")
 def sampled_estimate(spark, d):
     t = table(spark, d, "documents")
     return t.agg(F.count("*").alias("n"), F.avg(F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, F.length("text"))).alias("mean")).select((F.col("n") * F.col("mean")).alias("estimate"))
 
 
-@query("topicality", f"{P}, {BASE} SELECT id, round(topicality * (1 + least(1.0, (id % 7) / 5.0)), 6) AS topicality FROM base")
+@query("topicality", f"{P}, {BASE}, {BURST} SELECT id, round({TOPIC}, 6) AS topicality FROM base LEFT JOIN burst USING (id)")
 def topicality(spark, d):
-    b = base_scores(S.posts(spark, d))
-    return b.select("id", F.round(R.topicality(F.col("topicality"), F.col("id") % 7), 6).alias("topicality"))
+    return C.topicalities(S.posts(spark, d)).select("id", F.round("topicality", 6).alias("topicality"))

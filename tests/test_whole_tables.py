@@ -1,41 +1,16 @@
-"""Queries over whole tables, beside those whose twins in SQL read a part."""
+"""Queries that read whole texts and whole pools."""
 
-import math
-from collections import Counter, defaultdict
-from itertools import combinations
-
-import pytest
 from feedloom.plans import QUERIES
 
 
-def test_sim_tfidf_all_equals_brute_force(spark, tmp_path):
-    texts = {1: "red apple pie", 2: "red apple tart", 3: "blue whale", 13: "blue whale song", 20: "quantum"}
+def test_category_reads_the_whole_text(spark, tmp_path):
+    texts = {0: "nothing here", 4: "zzz " * 60 + "linux python"}
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r["a"], r["b"]): r["cosine"] for r in QUERIES["sim_tfidf_all"](spark, str(tmp_path)).collect()}
-    tf = {i: Counter(t.split()) for i, t in texts.items()}
-    df = Counter(w for c in tf.values() for w in c)
-    w = {i: {t: n * (math.log((1 + len(tf)) / (1 + df[t])) + 1) for t, n in c.items()} for i, c in tf.items()}
-    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in w.items()}
-    want = {(a, b): sum(x * w[b][t] for t, x in w[a].items() if t in w[b]) / norm[a] / norm[b] for a, b in combinations(sorted(w), 2) if w[a].keys() & w[b].keys()}
-    assert want.keys() == {(1, 2), (3, 13)} and got == pytest.approx(want, abs=1e-6)
-
+    got = {r["id"]: r["category"] for r in QUERIES["category"](spark, str(tmp_path)).collect()}
+    assert got == {0: None, 4: "science_technology"}
 
-def test_pair_queries_see_rows_of_any_key(spark, tmp_path):
-    lines = [(1, 5), (1, 6), (3000, 5), (3000, 6), (3000, 7), (9999, 7), (9999, 7)]
-    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    sets = defaultdict(set)
-    for k, s in lines:
-        sets[k].add(s)
-    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b]}
-    assert {(r["a"], r["b"]): r["jaccard"] for r in QUERIES["sim_entity_jaccard_all"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-9)
-    orders = [(7, "1-URGENT", "1995-01-03"), (300, "1-URGENT", "1995-01-09"), (300, "2-HIGH", "1996-05-01"), (301, "2-HIGH", "1996-05-30"), (301, "1-URGENT", "1995-02-01")]
-    spark.createDataFrame(orders, "o_custkey long, o_orderpriority string, o_orderdate string").selectExpr("o_custkey", "o_orderpriority", "CAST(o_orderdate AS date) AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
-    assert {tuple(r) for r in QUERIES["join_allpairs_sim_all"](spark, str(tmp_path)).select("a", "b", "common").collect()} == {(7, 300, 1), (300, 301, 1)}
 
-
-def test_category_reads_behind_200_characters_and_puts_nothing_in(spark, tmp_path):
-    texts = {0: "nothing here", 4: "zzz " * 60 + "linux python"}
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["id"]: r["category"] for r in QUERIES["category_all"](spark, str(tmp_path)).collect()}
-    cut = {r["id"]: r["category"] for r in QUERIES["category"](spark, str(tmp_path)).collect()}
-    assert got[0] is None and got[4] is not None and cut[4] is None
+def test_templates_are_those_of_whole_texts(spark, tmp_path):
+    texts = [(2, "now playing on air: one more song tune in"), (1, "now playing on air: another song tune in"), (0, "now playing on air: another song went out")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["event_id"]: r["n"] for r in QUERIES["bot_template"](spark, str(tmp_path)).collect()} == {2: 1, 1: 2, 0: 1}
