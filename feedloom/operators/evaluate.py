@@ -14,6 +14,11 @@ def sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     return one.withColumn("f1", F.round(F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)), 9))
 
 
+def confusion(rows: DataFrame) -> DataFrame:
+    """(truth, predicted, n)."""
+    return rows.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
+
+
 def macro_f1(rows: DataFrame) -> DataFrame:
     """label, f1 by label, from truth and predicted; predictions may be null where the model abstains."""
     t = rows.groupBy(F.col("truth").alias("label")).agg(F.count("*").alias("truths"), F.count_if(F.col("truth") == F.col("predicted")).alias("hits"))

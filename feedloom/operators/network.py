@@ -19,11 +19,15 @@ def accounts(raw: DataFrame) -> DataFrame:
 
 
 def clusters(rows: DataFrame, least_accounts: int = DEFAULT.least_accounts, most_days: int = DEFAULT.most_days, least_posts: int = DEFAULT.least_posts) -> DataFrame:
-    g = rows.groupBy("home_domain").agg(
-        F.sort_array(F.collect_set("author_id")).alias("author_ids"),
-        F.count_distinct("identity").alias("account_count"),
-        F.count_distinct("post").alias("post_count"),
-        F.min("s").alias("earliest"),
-        F.max("s").alias("latest"),
-    )
-    return g.filter((F.col("account_count") >= least_accounts) & (F.col("latest") - F.col("earliest") <= most_days * 86400) & (F.col("post_count") >= least_posts))
+    """Domains with many accounts of like age and many posts; authors are gathered for those alone."""
+    g = rows.groupBy("home_domain").agg(F.count_distinct("identity").alias("account_count"), F.count_distinct("post").alias("post_count"), F.min("s").alias("earliest"), F.max("s").alias("latest"))
+    g = g.filter((F.col("account_count") >= least_accounts) & (F.col("latest") - F.col("earliest") <= most_days * 86400) & (F.col("post_count") >= least_posts))
+    authors = rows.join(g.select("home_domain"), "home_domain", "left_semi").select("home_domain", "author_id").distinct().groupBy("home_domain").agg(F.sort_array(F.collect_list("author_id")).alias("author_ids"))
+    return g.join(authors, "home_domain").select("home_domain", "author_ids", "account_count", "post_count", "earliest", "latest")
+
+
+def recorded(candidates: DataFrame, found: DataFrame, version: str = "latest") -> tuple[DataFrame, int]:
+    """The table of candidates with what a run found, newest first by `version`, and how many it found, even if none."""
+    from .sinks import upsert
+
+    return upsert(candidates, found, ["home_domain"], version), found.count()

@@ -19,6 +19,9 @@ CATEGORY_TERMS = {
 }
 CATEGORY_PHRASES = {"food_dining": ["farmers market", "food truck"], "diaries_daily_life": ["good morning", "happy friday", "my day"]}
 
+#: What a reader sees for a category.
+CATEGORY_LABELS = {"arts_culture": "Arts & Culture", "diaries_daily_life": "Diaries & Daily Life", "food_dining": "Food & Dining", "science_technology": "Science & Technology"}
+
 #: A small lexicon of sentiment, for the fallback without a model.
 POSITIVE = "good great love happy best nice excellent amazing wonderful fun beautiful thanks glad enjoy win".split()
 NEGATIVE = "bad worst hate sad awful terrible horrible angry stupid idiot worthless pathetic disgusting moron trash".split()
@@ -106,6 +109,11 @@ def bot_score(velocity: Column, self_dup: Column, lexical: Column, template: Col
     return a * velocity + b * self_dup + c * lexical + d * template
 
 
+def category_label(category: Column) -> Column:
+    """What a reader sees for a category; null for one that is not known."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in CATEGORY_LABELS.items() for x in kv)), category)
+
+
 def argmax_category(labels: Column, probabilities: Column, least: float = DEFAULT.category_threshold) -> Column:
     """The label of the largest probability, the first one at ties; null where it stays below `least`."""
     top = F.array_max(probabilities)

@@ -347,6 +347,17 @@ def category(spark, d):
     return categorize_keyword(spark, d).withColumn("method", F.lit("keyword_v1"))
 
 
+LABELS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in R.CATEGORY_LABELS.items()) + "}"
+
+
+@query("category_labels", f"{P}, {CATEGORY}, c AS (SELECT CASE WHEN best.hits > 0 THEN best.category END AS category, count(*) AS n FROM k GROUP BY 1) SELECT row_number() OVER (ORDER BY label) AS place, label, n FROM (SELECT {LABELS}[category] AS label, n FROM c WHERE category IS NOT NULL)")
+def category_labels(spark, d):
+    """Categories by the label that readers see, in its order; at most as many rows as there are categories."""
+    c = categorize_keyword(spark, d).groupBy("category").agg(F.count("*").alias("n")).filter("category IS NOT NULL")
+    c = c.select(R.category_label(F.col("category")).alias("label"), "n")
+    return c.withColumn("place", F.row_number().over(Window.orderBy("label")).cast("long")).select("place", "label", "n").orderBy("label")
+
+
 @query("category_argmax", "SELECT event_id, CASE WHEN greatest(value / 50, 1 - value / 50) >= 0.65 THEN CASE WHEN value / 50 >= 1 - value / 50 THEN 'high' ELSE 'low' END END AS category FROM events")
 def category_argmax(spark, d):
     """The larger of two probabilities, or none where neither is sure."""
@@ -417,7 +428,19 @@ def train_harmonize(spark, d):
 
 @query("eval_confusion", "SELECT event_type AS truth, CASE WHEN value > 20 THEN 'click' ELSE 'view' END AS predicted, count(*) AS n FROM events GROUP BY 1, 2")
 def eval_confusion(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("truth"), F.when(F.col("value") > 20, "click").otherwise("view").alias("predicted")).agg(F.count("*").alias("n"))
+    from ..operators.evaluate import confusion
+
+    return confusion(table(spark, d, "events").select(F.col("event_type").alias("truth"), F.when(F.col("value") > 20, "click").otherwise("view").alias("predicted")))
+
+
+@query("eval_macro_f1", """WITH e AS (SELECT event_type AS truth, CASE WHEN value > 20 THEN 'click' ELSE 'view' END AS predicted FROM events),
+t AS (SELECT truth AS label, count(*) AS n, count(*) FILTER (WHERE truth = predicted) AS hits FROM e GROUP BY 1), p AS (SELECT predicted AS label, count(*) AS n FROM e GROUP BY 1)
+SELECT round(avg(2.0 * hits / (t.n + coalesce(p.n, 0))), 9) AS macro_f1 FROM t LEFT JOIN p USING (label)""")
+def eval_macro_f1(spark, d):
+    from ..operators.evaluate import macro_f1
+
+    rows = table(spark, d, "events").select(F.col("event_type").alias("truth"), F.when(F.col("value") > 20, "click").otherwise("view").alias("predicted"))
+    return macro_f1(rows).agg(F.round(F.avg("f1"), 9).alias("macro_f1"))
 
 
 @query("eval_threshold_sweep", """WITH t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6]) AS threshold),

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Partitions of an ingested table, by a hash of the key.
+KEY_BUCKETS = 64
+
 COUNTED = T.StructType([T.StructField("key", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
 ANCHOR = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("n", T.LongType())])
 
@@ -55,15 +58,26 @@ def counts_by_window(events: DataFrame, size: str = "1 hour", slide: str | None
 
 
 def ingest(posts: DataFrame, path: str, checkpoint: str, available_now: bool = True):
-    """Append posts to a Parquet table, each (source, source_id) once, whatever is replayed."""
+    """Append posts to a Parquet table, each (source, source_id) once, whatever is replayed.
+
+    The table is partitioned by a hash of the key, so a micro-batch reads the keys of its own partitions alone.
+    """
     spark = posts.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["source", "source_id"])
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            fresh = fresh.join(spark.read.parquet(path).select("source", "source_id"), ["source", "source_id"], "left_anti")
-        fresh.write.mode("append").parquet(path)
+        fresh = batch.dropDuplicates(["source", "source_id"]).withColumn("bucket", F.pmod(F.xxhash64("source", "source_id"), F.lit(KEY_BUCKETS)).cast("int"))
+        fresh = fresh.persist()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+                buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most KEY_BUCKETS
+                old = spark.read.parquet(path).filter(F.col("bucket").isin(buckets)).select("source", "source_id")
+                new = fresh.join(old, ["source", "source_id"], "left_anti")
+            else:
+                new = fresh
+            new.write.mode("append").partitionBy("bucket").parquet(path)
+        finally:
+            fresh.unpersist()
 
     writer = posts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
