@@ -166,4 +166,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         seen = mark
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._feedloom_path = e._feedloom_path
+    return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, freeing, stored, text_blocks, word_spans
+from .common import SPACE, components, dropped, freeing, stored, text_blocks, word_spans
 
 #: A-Z to a-z, all other bytes unchanged.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -404,7 +404,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> D
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, shingle)
     a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return stored(both.filter(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * least - 1e-9).select("a", "b").distinct(), "similar")
+    out = stored(both.filter(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * least - 1e-9).select("a", "b").distinct(), "similar")
+    dropped(sets)
+    return out
 
 
 def shared_items(values: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -453,17 +455,16 @@ def _stretches(sizes: np.ndarray):
         at = to
 
 
-def _linked_sets(rows: DataFrame, bits: int, least: float) -> DataFrame:
+def _linked_sets(rows: DataFrame, sets: DataFrame, bits: int, least: float) -> DataFrame:
     """Links (a, b) between components among the documents of each band, by their whole sets.
 
-    rows: node, v, key, c (its component), items. A band of more than BAND_ROWS documents is dealt out by pairs of
+    rows: node, v, key, c (its component), blocks (into which the band is split); sets: id, items. A band of more than BAND_ROWS documents is dealt out by pairs of
     blocks, so none is one task's. A task returns a spanning forest, not pairs.
     """
-    rows = stored(rows, "bands")
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BAND_ROWS).cast("int").alias("blocks"))
-    own = rows.join(size, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("node", "v", F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("key"), (F.col("own") > F.col("o")).cast("int").alias("side"), F.lit(0).alias("spent"), F.lit(0).alias("depth"), "c", "items")
+    dealt = met.select("node", "v", F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("key"), (F.col("own") > F.col("o")).cast("int").alias("side"), F.lit(0).alias("spent"), F.lit(0).alias("depth"), "c")
+    dealt = dealt.join(sets, dealt["node"] == sets["id"]).drop("id")
 
     def found(rows: pa.Table, near):
         node, c = rows["node"].to_numpy(), rows["c"].to_numpy()
@@ -509,12 +510,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc
     alike = (F.col("n") >= F.col("f.n") * least - 1e-9) & (F.col("f.n") >= F.col("n") * least - 1e-9) & (F.bit_count(F.col("v").bitwiseXOR(F.col("f.v"))) <= bits)
     pairs = stored(met.filter((F.col("node") > F.col("f.node")) & alike).select(F.col("f.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = _similar(pairs, given, shingle, least)
-    placed = met.select("key", "node", "v").join(components(links), "node", "left").select("node", "v", "key", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    rest = stored(placed.join(open_, "key", "left_semi"), "rest")
+    # the first one of a band has met all others; the second round is among these
+    placed = met.filter(F.col("node") != F.col("f.node")).select("key", "node", "v").join(components(links), "node", "left").select("node", "v", "key", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).filter("low < high").select("key", F.ceil(F.col("rows") / BAND_ROWS).cast("int").alias("blocks"))
+    rest = stored(placed.join(open_, "key"), "rest")
     sets = _sets(rest.select(F.col("node").alias("doc_id")), given, shingle)
-    more = _linked_sets(rest.join(sets, rest["node"] == sets["id"]).drop("id"), bits, least)
-    whole = classes.join(components(links.unionByName(more)), "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
+    more = _linked_sets(rest, sets, bits, least)
+    found = components(links.unionByName(more))
+    whole = stored(classes.join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id")), "whole")
+    for df in (met, pairs, links, rest, sets, more, classes, found):
+        dropped(df)
     return signed.select("doc_id", "cls").join(whole, "cls", "left").select("doc_id", "component_id")
 
 
