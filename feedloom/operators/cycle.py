@@ -12,6 +12,10 @@ from ..sources.shared import written
 from . import dedup, moderation, scoring, windows
 
 
+#: Parts into which a pool of at most `cfg.pool` posts is dealt, so that its texts are read side by side.
+POOL_PARTS = 16
+
+
 def entity_bursts(posts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(id, mentions): the largest running count of a post's entities, each kept alive by mentions in time."""
     said = posts.select("id", "created_s", F.explode(L.entities(F.col("text"), cfg.entity_chars)).alias("entity"))
@@ -72,7 +76,7 @@ def ranked(rows: DataFrame, texts: DataFrame, now_s: Column, cfg: Config = DEFAU
     """
     pool = eligible(rows, now_s, cfg).select("id", F.col("base_score").alias("base")).orderBy(F.desc("base"), "id").limit(cfg.pool)
     pool = written(pool, "pool")
-    own = written(texts.select("id", "text").join(F.broadcast(pool.select("id")), "id", "left_semi"), "texts")
+    own = written(texts.select("id", "text").join(F.broadcast(pool.select("id")), "id", "left_semi").repartition(POOL_PARTS, "id"), "texts")
     terms = scoring.term_rows(own)
     weights = scoring.weighted(terms, scoring.idf(terms, pool.agg(F.count("*").alias("n"))), sublinear=False)
     return scoring.mmr_terms(pool, weights, own.select("id", F.explode(L.entities(F.col("text"), cfg.entity_chars)).alias("entity")), cfg)

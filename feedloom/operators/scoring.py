@@ -120,12 +120,46 @@ def argmax_category(labels: Column, probabilities: Column, least: float = DEFAUL
     return F.when(top >= least, F.element_at(labels, F.array_position(probabilities, top).cast("int")))
 
 
-def similarity(weights: DataFrame) -> DataFrame:
-    """(a, b, cosine), a < b, of L2-normalised weights, by an inverted index."""
+#: Posts of a block of `similarity`, and terms that a task multiplies at once.
+SIMILARITY_BLOCK, TERMS_AT_ONCE = 256, 4096
+
+
+def similarity(weights: DataFrame, block: int = SIMILARITY_BLOCK) -> DataFrame:
+    """(a, b, cosine), a < b, of posts that share a term, by weights of unit length.
+
+    Posts are dealt over blocks by hash, and blocks meet in pairs; a task multiplies two blocks, a stretch of terms at a
+    time, so a frequent term costs no more than others.
+    """
     norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    unit = weights.join(norm, "id").select("id", "term", (F.col("weight") / F.col("norm")).alias("w"))
-    a, b = unit.alias("a"), unit.alias("b")
-    return a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("cosine"))
+    blocks = max(1, -(-norm.count() // block))
+    unit = weights.join(norm, "id").select("id", F.xxhash64("term").alias("t"), (F.col("weight") / F.col("norm")).alias("w"))
+    met = unit.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select(F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "own", "id", "t", "w")
+
+    def run(key, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        own, t, w = rows["own"].to_numpy(), rows["t"].to_numpy(), rows["w"].to_numpy()
+        ids, doc = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        left = np.zeros(len(ids), bool)
+        left[doc[own == key[0].as_py()]] = True
+        right = ~left if key[0].as_py() != key[1].as_py() else left
+        _, term = np.unique(t, return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        doc, term, w = doc[order], term[order], w[order]
+        sums = np.zeros((int(left.sum()), int(right.sum())))
+        for lo in range(0, int(term[-1]) + 1, TERMS_AT_ONCE):
+            a, b = np.searchsorted(term, [lo, lo + TERMS_AT_ONCE])
+            m = np.zeros((len(ids), TERMS_AT_ONCE))
+            m[doc[a:b], term[a:b] - lo] = w[a:b]
+            sums += m[left] @ m[right].T
+        i, j = np.nonzero(sums)
+        a, b = ids[left][i], ids[right][j]
+        keep = a < b if right is left else np.ones(len(a), bool)
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": sums[i, j][keep]})
+
+    return met.groupBy("x", "y").applyInArrow(run, "a long, b long, cosine double")
 
 
 def entity_jaccard(entities: DataFrame) -> DataFrame:

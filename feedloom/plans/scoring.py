@@ -16,6 +16,7 @@ from ..operators import moderation as M
 from ..operators import scoring as R
 from ..operators import windows as V
 from ..sources import tables as S
+from ..sources.shared import written
 from ..sources.tables import POSTS_SQL, table
 from .filters import CONTENT, CONTEXT, LANGUAGE, label, raw_json, tagged
 from .functions import CANON, LEXICAL, NORM, SKELETON, TOKEN_LIST
@@ -251,7 +252,7 @@ jaccards AS (SELECT a, b, c / CAST(x.n + y.n - c AS DOUBLE) AS jaccard FROM (SEL
 
 def pool(spark, d) -> DataFrame:
     """The newest posts, as many as one ranking takes."""
-    return S.newest_first(S.posts(spark, d), "created_s", DEFAULT.pool, "id").select("id", "text")
+    return written(S.newest_first(S.posts(spark, d), "created_s", DEFAULT.pool, "id").select("id", "text").repartition(C.POOL_PARTS, "id"), "pool")
 
 
 def pool_cosines(p: DataFrame) -> DataFrame:
