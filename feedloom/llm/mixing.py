@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Sources up to which their rates are broadcast; beyond, they are joined by source with AQE's skew handling.
 BROADCAST_SOURCES = 100_000
+#: Expected rows of a partition of the result, where the session's number of partitions would give more.
+PARTITION_ROWS = 250_000
 #: Largest mean that one inversion handles: beyond, exp(-mean) would lose its precision. Larger means are summed up.
 LARGEST_MEAN = 64.0
 
@@ -77,7 +79,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     drawn = given.join(mean, given[source].eqNullSafe(mean["__source"])).withColumn("__copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x))
     copies = drawn.filter("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     copies = copies.withColumn("shuffle_key", uniform(F.lit(f"{seed}-place"), key, F.col("copy").cast("string"))).select(*given.columns, "copy", "shuffle_key")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    expected = given.count() if total is None else math.ceil(total)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // PARTITION_ROWS))
     return copies.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int")).sortWithinPartitions("shuffle_key", doc_id, "copy")
 
 
@@ -99,7 +102,7 @@ drawn AS (
 copies AS (
   SELECT d.*, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.below <= d.u) AS copies FROM drawn d
 )
-SELECT doc_id, text, lang, source, n_chars, CAST(c.copy AS INTEGER) AS copy,
-       CAST(('0x' || substr(md5('42-place:' || CAST(doc_id AS VARCHAR) || ':' || CAST(c.copy AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 AS shuffle_key
-FROM copies, range(1, 1000) AS c(copy) WHERE c.copy <= copies
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
+       CAST(('0x' || substr(md5('42-place:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 AS shuffle_key
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM copies)
 """
