@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, substring
+from . import divergence, embeddings, licenses, mixing, substring, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, ranks=10)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"), least_length=5, least_n=3, every=97)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_language_id": op2_language_id,
@@ -83,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -90,4 +105,6 @@ ORACLES: dict[str, str] = {
     "op7_poisson_mixing": mixing.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
     "op10_exact_top_k": embeddings.TOP_K_ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op13_license_scan": licenses.ORACLE,
 }

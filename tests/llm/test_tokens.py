@@ -44,7 +44,7 @@ def test_operator_equals_the_library(spark, library):
 
 
 def test_tables_start_anew_when_full(spark, library, counter):
-    table = tokens.ChunkTable(counter.chunk, most=50)
+    table = tokens.ChunkTable(counter.chunk, most_bytes=50)
     import numpy as np
     import pyarrow as pa
     from feedloom.llm.common import text_blocks
