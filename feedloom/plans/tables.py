@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import moderation as M
-from ..operators import sinks as K
 from ..operators import windows as V
 from ..sources import tables as S
+from ..sources.shared import new_folder
+from ..sources.store import Store
 from ..sources.tables import POSTS_SQL, table
 from .functions import CANON, NETLOC
 from .registry import query
@@ -21,6 +22,11 @@ NOW_S = "CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') AS BIGINT)"
 DONE = "done AS (SELECT DISTINCT doc_id AS raw_post_id, quality FROM labels)"
 
 
+def kept(rows, key, unique=True):
+    """A stored table with these rows, in the shared folder as long as the session."""
+    return Store.of(rows, new_folder(rows.sparkSession, "table"), key, unique=unique)
+
+
 def done(spark, d):
     return table(spark, d, "labels").select(F.col("doc_id").alias("raw_post_id"), "quality").distinct()
 
@@ -122,36 +128,48 @@ SELECT k, v FROM old UNION ALL SELECT k, v FROM new WHERE k NOT IN (SELECT k FRO
 def sink_insert_ignore(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
     old = o.filter("v % 3 = 0").groupBy("k").agg(F.min("v").alias("v"))
-    return K.insert_ignore(old, o.filter("v % 3 = 1"), ["k"], ["v"])
+    t = kept(old, ["k"])
+    t.insert_ignore(o.filter("v % 3 = 1"), ["v"])
+    return t.rows()
 
 
 @query("sink_upsert", """SELECT k, v, p FROM (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderkey % 3 <> 2) WHERE n = 1""")
 def sink_upsert(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("p"))
-    return K.upsert(o.filter("v % 3 = 0"), o.filter("v % 3 = 1"), ["k"], "v")
+    t = Store.create(spark, new_folder(spark, "table"), o.schema, ["k"])
+    for turn in (0, 1):
+        t.upsert(o.filter(f"v % 3 = {turn}"), "v")
+    return t.rows()
 
 
 @query("sink_update_scores", "SELECT c_custkey, CASE WHEN s.a IS NULL THEN c_acctbal ELSE s.a END AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS a FROM orders GROUP BY 1) s ON k = c_custkey")
 def sink_update_scores(spark, d):
     v = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("c_acctbal"))
-    return K.update(table(spark, d, "customer").select("c_custkey", "c_acctbal"), v, "c_custkey", ["c_acctbal"])
+    t = kept(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"])
+    t.update(v, ["c_acctbal"])
+    return t.rows()
 
 
 @query("sink_mark_checked", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 END AS checked FROM documents")
 def sink_mark_checked(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.lit(None).cast("int").alias("checked"))
-    return K.marked(t, table(spark, d, "labels"), "doc_id", "checked", F.lit(1))
+    t = kept(table(spark, d, "documents").select("doc_id", F.lit(None).cast("int").alias("checked")), ["doc_id"])
+    t.mark(table(spark, d, "labels"), "checked", F.lit(1))
+    return t.rows()
 
 
 @query("retention", f"{P} SELECT id FROM posts WHERE created_s >= {NOW_S} - 43200")
 def retention(spark, d):
-    return K.retained(S.posts(spark, d), "created_s", F.unix_timestamp(F.lit(S.NOW)) - 43200).select("id")
+    t = kept(S.posts(spark, d).select("id", "created_s"), ["id"])
+    t.retain("created_s", F.unix_timestamp(F.lit(S.NOW)) - 43200)
+    return t.rows().select("id")
 
 
 @query("delete_by_key", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def delete_by_key(spark, d):
     gone = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return K.deleted(table(spark, d, "orders").select("o_orderkey"), gone, ["o_orderkey"])
+    t = kept(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    t.delete(gone)
+    return t.rows()
 
 
 BLOCKED = "blocked AS (SELECT 'bluesky' AS source, 'src4' AS author_id UNION ALL SELECT 'mastodon', 'src7')"
@@ -163,20 +181,25 @@ def blocked(spark):
 
 @query("purge_blocked", f"{P}, {BLOCKED} SELECT id FROM posts p WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.source = p.source AND b.author_id = p.author_id)")
 def purge_blocked(spark, d):
-    return K.deleted(S.posts(spark, d), blocked(spark), ["source", "author_id"]).select("id")
+    t = kept(S.posts(spark, d).select("id", "source", "author_id"), ["id"])
+    t.delete(blocked(spark), ["source", "author_id"])
+    return t.rows().select("id")
 
 
 @query("cascade_delete", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000)")
 def cascade_delete(spark, d):
-    kept = table(spark, d, "orders").filter("o_totalprice > 200000")
-    return K.cascaded(table(spark, d, "lineitem"), kept, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+    t = kept(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], unique=False)
+    t.cascade(table(spark, d, "orders").filter("o_totalprice > 200000"), "l_orderkey", "o_orderkey")
+    return t.rows()
 
 
 @query("sink_partial_upsert", """WITH t AS (SELECT s_suppkey AS k, s_acctbal AS v, s_name AS keep FROM supplier WHERE s_suppkey % 2 = 0), n AS (SELECT s_suppkey AS k, s_acctbal + 1 AS v, 'new' AS keep FROM supplier WHERE s_suppkey % 3 = 0)
 SELECT coalesce(t.k, n.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.v ELSE t.v END AS v, CASE WHEN t.k IS NULL THEN n.keep ELSE t.keep END AS keep FROM t FULL JOIN n ON t.k = n.k""")
 def sink_partial_upsert(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"), F.col("s_name").alias("keep"))
-    return K.partial_upsert(s.filter("k % 2 = 0"), s.filter("k % 3 = 0").select("k", (F.col("v") + 1).alias("v"), F.lit("new").alias("keep")), "k", ["v"])
+    t = kept(s.filter("k % 2 = 0"), ["k"])
+    t.partial_upsert(s.filter("k % 3 = 0").select("k", (F.col("v") + 1).alias("v"), F.lit("new").alias("keep")), ["v"])
+    return t.rows()
 
 
 @query("set_union_candidates", "SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem UNION SELECT l_suppkey, l_partkey FROM lineitem) WHERE a <> b")

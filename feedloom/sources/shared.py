@@ -21,11 +21,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` as Parquet under the shared folder and read it again; the files go with the session."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared one; it goes when the session's file system closes."""
     path = f"{shared_dir(spark)}/feedloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write `df` as Parquet under the shared folder and read it again. `dropped` deletes it, or the session's end."""
+    path = f"{new_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._feedloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what `written` wrote, once nothing reads it any more."""
+    for df in tables:
+        path = getattr(df, "_feedloom_path", None)
+        if path:
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
