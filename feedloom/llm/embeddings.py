@@ -132,6 +132,24 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
 SHARD, SCAN, QUERY_BLOCK = 16384, 4096, 1024
 #: Terms added between two prunings.
 TERMS = 8
+#: Sums of products that stay below this are exact in 64 bits; beyond, Python's integers count.
+EXACT = 1 << 62
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def scaled(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of finite doubles: 64-bit integers, or Python's where some do not fit."""
+    if not x.size or np.abs(x).max() < EXACT / scale:
+        return np.floor(x * scale).astype(np.int64)
+    whole = lambda v: int(v) * scale if abs(v) >= 1 << 53 else int(np.floor(v * scale))
+    return np.array([whole(v) for v in x.ravel().tolist()], dtype=object).reshape(x.shape)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, ties to the smaller id."""
+    if scores.dtype != object:
+        return np.lexsort((ids, -scores))[:k]
+    return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
 
 
 def max_score(postings: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int):
@@ -147,13 +165,14 @@ def max_score(postings: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int
     order = np.argsort(-bound, kind="stable")
     left = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # what the terms from here on can add
     base = int(low.sum())
-    best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = products.dtype
+    best_s, best_i = np.zeros(0, kind), np.zeros(0, np.int64)
     for at in range(0, postings.shape[1], SCAN):
         block = slice(at, at + SCAN)
         live = np.flatnonzero(ids[block] != own)
-        need = best_s[-1] - base if len(best_s) == k else None
+        need = best_s[-1] - base if len(best_s) == k and best_s[-1] > _LEAST else None
         essential = len(order) if need is None else int(np.searchsorted(-left, -need, side="right"))
-        score = np.zeros(len(live), np.int64)
+        score = np.zeros(len(live), kind)
         for t in range(0, len(order), TERMS):
             for d in order[t : t + TERMS]:
                 score += query[d] * postings[d, block][live] - low[d]
@@ -163,8 +182,9 @@ def max_score(postings: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int
                 live, score = live[hope], score[hope]
                 if not len(live):
                     break
-        s, i = np.concatenate([best_s, score + base]), np.concatenate([best_i, ids[block][live]])
-        top = np.lexsort((i, -s))[:k]
+        full = score + base
+        s, i = np.concatenate([best_s, np.clip(full, _LEAST, _MOST) if kind == object else full]), np.concatenate([best_i, ids[block][live]])
+        top = _best(s, i, k)
         best_s, best_i = s[top], i[top]
     return best_s, best_i
 
@@ -177,14 +197,11 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do null vec_ids; vectors of
     different lengths do not meet. Repeated rows are candidates, and queries, of their own (a repeated query returns its
-    ranks once). An empty table gives none; other columns are ignored. Vectors with a component of 2**26 or more in
-    size after scaling are refused, as their sums might not fit 64 bits. Queries in blocks meet candidates in shards; each pair returns k rows
-    a query, merged by rank.
+    ranks once). An empty table gives none; other columns are ignored. All sums are exact: where 64 bits might not hold
+    them, Python's integers do; a score that no long can hold is the nearest long. Queries in blocks meet candidates in
+    shards; each pair returns k rows a query, merged by rank.
     """
-    ints = F.transform(F.col(embedding).cast("array<double>"), lambda x: F.floor(x * scale).cast("long"))
-    large = F.exists(F.col(embedding).cast("array<double>"), lambda x: F.abs(x * scale) >= float(1 << 26))
-    ints = F.when(large, F.raise_error(F.lit("a component is too large for exact sums"))).otherwise(ints)
-    rows = vectors.filter(F.col(vec_id).isNotNull() & usable(embedding)).select(F.col(vec_id).cast("long").alias("vec_id"), ints.alias("v")).withColumn("dims", F.size("v"))
+    rows = vectors.filter(F.col(vec_id).isNotNull() & usable(embedding)).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).withColumn("dims", F.size("v"))
     queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     shards = max(1, -(-rows.count() // shard))
     blocks = max(1, -(-queries.count() // block))
@@ -199,12 +216,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             dims = key[2].as_py()
             order = np.argsort(left["vec_id"].to_numpy(), kind="stable")
             ids = left["vec_id"].to_numpy()[order]
-            postings = np.ascontiguousarray(_matrix(left["v"], dims, np.int64)[order].T)
-            for q, own in zip(_matrix(right["v"], dims, np.int64), right["vec_id"].to_numpy(), strict=True):
+            postings, asked_v = (scaled(_matrix(t["v"], dims, np.float64), scale) for t in (left, right))
+            if dims * int(np.abs(postings).max(initial=0)) * int(np.abs(asked_v).max(initial=0)) >= EXACT:
+                postings, asked_v = postings.astype(object), asked_v.astype(object)
+            postings = np.ascontiguousarray(postings[order].T)
+            for q, own in zip(asked_v, right["vec_id"].to_numpy(), strict=True):
                 s, i = max_score(postings, ids, q, int(own), k)
                 out[0].append(np.full(len(s), own))
                 out[1].append(i)
-                out[2].append(s)
+                out[2].append(s.astype(np.int64))
         return pa.table({n: np.concatenate(o) if o else np.zeros(0, np.int64) for n, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     found = candidates.cogroup(asked).applyInArrow(run, "query_id long, vec_id long, score long")

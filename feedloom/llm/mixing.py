@@ -68,20 +68,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     Rows are dealt out over partitions by ranges of shuffle_key and sorted by it, so partitions in order are one global
     shuffle. The draw depends on seed and doc_id alone: a rerun of a lost task draws the same. Rows that share a doc_id
     draw alike; a null doc_id draws as the text `null` does. Sources with a mean of 0 vanish, null sources are one source.
-    An empty table gives none. Columns named `copy` or `shuffle_key` are replaced. A hot source is only counted, by
+    An empty table gives none. Columns named `copy` or `shuffle_key` are replaced, all others stay. A hot source is only counted, by
     partial sums, never gathered; the rates of up to BROADCAST_SOURCES sources, which are counted first, are broadcast.
     """
     given = docs.drop("copy", "shuffle_key")
-    mean = rates(given, weights, power, total, source).withColumnsRenamed({"source": "__source", "mean": "__mean"})
+    of_source, mean, copies = (next(n for n in (f"{name}{i}" for i in range(len(given.columns) + 1)) if n not in given.columns) for name in ("source_", "mean_", "copies_"))
+    means = rates(given, weights, power, total, source).withColumnsRenamed({"source": of_source, "mean": mean})
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    parts = F.ceil(F.col("__mean") / LARGEST_MEAN).cast("int")  # a sum of Poisson numbers is one of the summed mean
-    draws = F.transform(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), lambda j: poisson(uniform(F.lit(str(seed)), key, j.cast("string")), F.col("__mean") / F.greatest(parts, F.lit(1))))
-    drawn = given.join(mean, given[source].eqNullSafe(mean["__source"])).withColumn("__copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x))
-    copies = drawn.filter("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    copies = copies.withColumn("shuffle_key", uniform(F.lit(f"{seed}-place"), key, F.col("copy").cast("string"))).select(*given.columns, "copy", "shuffle_key")
+    parts = F.ceil(F.col(mean) / LARGEST_MEAN).cast("int")  # a sum of Poisson numbers is one of the summed mean
+    draws = F.transform(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), lambda j: poisson(uniform(F.lit(str(seed)), key, j.cast("string")), F.col(mean) / F.greatest(parts, F.lit(1))))
+    drawn = given.join(means, given[source].eqNullSafe(means[of_source])).withColumn(copies, F.aggregate(draws, F.lit(0), lambda a, x: a + x))
+    out = drawn.filter(F.col(copies) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies))))
+    out = out.withColumn("shuffle_key", uniform(F.lit(f"{seed}-place"), key, F.col("copy").cast("string"))).select(*given.columns, "copy", "shuffle_key")
     expected = given.count() if total is None else math.ceil(total)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // PARTITION_ROWS))
-    return copies.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int")).sortWithinPartitions("shuffle_key", doc_id, "copy")
+    return out.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int")).sortWithinPartitions("shuffle_key", doc_id, "copy")
 
 
 #: The same draw in DuckDB: u < P(X <= k), the terms summed in the same order.

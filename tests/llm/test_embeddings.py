@@ -97,7 +97,19 @@ def test_a_vec_id_with_several_vectors(spark):
     assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
 
 
-def test_components_too_large_for_exact_sums_are_refused(spark):
-    df = spark.createDataFrame([(100, [1e6, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="too large"):
-        em.top_k(df).collect()
+def test_large_components_are_summed_exactly(spark):
+    """Also beyond 64 bits, and in more than 2048 dimensions; a score that no long holds is the nearest one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-(1 << 20), 1 << 20, 3)]) for i in range(40)]
+    rows += [(100, [1e6, 65536.5, -3.0]), (200, [2.0**40 + 0.25, 1.0, -(2.0**33)]), (300, [1e300, -1e-300, 0.1]), (301, [-1e300, 1.0, 1.0]), (400, [1e308, 0.0, 1.0])]
+    rows += [(500 + i, [70000.0 + i] * 3000) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda x: int(x) * 1024 if abs(x) >= 2**53 else math.floor(1024 * x)
+    ints = [(i, [whole(x) for x in v]) for i, v in rows]
+    want = []
+    for i, q in ints:
+        if i % 100 == 0:
+            scores = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v, strict=True)))), j) for j, v in ints if j != i and len(v) == len(q)]
+            want += [(i, r + 1, j, s) for r, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:10])]
+    for shard, block in ((16384, 1024), (7, 2)):
+        assert sorted(map(tuple, em.top_k(df, shard=shard, block=block).collect())) == sorted(want)

@@ -47,3 +47,14 @@ def test_weights_and_large_means(spark):
     assert mixing.mix(df, {}).count() == 0
     with pytest.raises(ValueError, match="weights"):
         mixing.mix(df, {"rare": -1.0})
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, "t", "a" if i % 5 else "b", 7.0, "m", 3, "s", 4, 5, 6, 8) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __copies double, __mean string, __source int, mean string, mean_0 int, copies_0 int, source_0 int, weight int")
+    got = mixing.mix(df, seed=3)
+    assert got.columns == [*df.columns, "copy", "shuffle_key"]
+    found = got.collect()
+    assert found and all(tuple(r)[3:11] == rows[0][3:] for r in found)
+    plain = mixing.mix(df.select("doc_id", "text", "source"), seed=3)
+    assert sorted((r["doc_id"], r["copy"]) for r in found) == sorted((r["doc_id"], r["copy"]) for r in plain.collect())
