@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm import langid, mixing, packing, pii, simhash
-from feedloom.llm.common import stored
+from feedloom.llm.common import dropped, stored
 from feedloom.llm.queries import table, tokenizer_path
 
 #: Jaccard similarity of sets of five-word shingles from which documents are near duplicates.
@@ -50,10 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to `documents`; what each returns is written to the shared folder and read by the next."""
+    """Apply all stages to `documents`; what each returns is written to the shared folder, read by the next, then deleted."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage{k}")
+        out = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        dropped(docs)
+        docs = out
     return docs
