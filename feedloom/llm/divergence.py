@@ -18,6 +18,8 @@ from .common import dropped, freeing, stored, text_blocks
 BLOCK, CHUNK, SPAN = 64, 2048, 4
 #: Parts of a probability: shares are whole numbers of billionths.
 SCALE = 1_000_000_000
+#: Languages, or groups, up to which their tables are broadcast; they are counted first.
+BROADCAST_ROWS = 100_000
 
 _TERM = np.zeros(256, dtype=bool)
 _TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -171,6 +173,11 @@ def pair_sums(groups: DataFrame, spans: DataFrame, vectors: DataFrame) -> DataFr
     return both.groupBy("lang", "two.source", "two.item").agg(F.sum("value").alias("value"))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """The stored table, broadcast where it is small: else what is joined would be dealt out by language or group."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def audit(docs: DataFrame, least_docs: int = 10, ranks: int = 10, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """How each group (lang, source) of the documents differs from the others, and by which terms.
 
@@ -185,11 +192,12 @@ def audit(docs: DataFrame, least_docs: int = 10, ranks: int = 10, lang: str = "l
     """
     counts = stored(term_counts(docs, lang, source, text), "counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n_lang").alias("total_lang"))
+    kept = stored(kept, "kept-terms")
+    langs = stored(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n_lang").alias("total_lang")), "langs")
     chunks = F.ceil(F.col("kept") / CHUNK).cast("long")
-    kept = kept.join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), chunks).cast("int"))
-    kept = stored(kept.withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1), "kept")
-    of_group = stored(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "of-group")
+    terms = kept.join(_small(langs), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), chunks).cast("int"))
+    terms = stored(terms.withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1), "terms")
+    of_group = stored(counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"]), "of-group")
 
     present = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang, "lang"), (source, "source")))).distinct()
     totals = of_group.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -197,20 +205,21 @@ def audit(docs: DataFrame, least_docs: int = 10, ranks: int = 10, lang: str = "l
     in_lang = Window.partitionBy("lang")
     groups = groups.select("lang", "source", "total", (F.row_number().over(in_lang.orderBy("source")) - 1).alias("g"), F.count("*").over(in_lang).alias("n_groups"), "kept", _share(F.lit(0), "total", "kept").alias("zero"))
     groups = stored(groups, "groups")
-    shares = of_group.join(groups.select("lang", "source", "g", "total"), ["lang", "source"]).withColumn("p", _share("n", "total", "kept"))
+    small = _small(groups)
+    shares = of_group.join(small.select("lang", "source", "g", "total"), ["lang", "source"]).withColumn("p", _share("n", "total", "kept"))
 
     vectors = shares.groupBy("lang", "g", "chunk").agg(F.collect_list(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("p"))).alias("vector"))
-    widths = kept.groupBy("lang", F.floor(F.col("chunk") / SPAN).cast("int").alias("span")).agg(F.count("*").alias("width"))
+    widths = terms.groupBy("lang", F.floor(F.col("chunk") / SPAN).cast("int").alias("span")).agg(F.count("*").alias("width"))
     widths = widths.unionByName(groups.filter("kept = 0").select("lang", F.lit(0).alias("span"), F.lit(0).cast("long").alias("width")).distinct())
-    pairs = pair_sums(groups.select("lang", "source", "g", "n_groups", "zero"), widths, vectors).withColumn("part", F.lit("pair"))
+    pairs = pair_sums(small.select("lang", "source", "g", "n_groups", "zero"), widths, vectors).withColumn("part", F.lit("pair"))
 
     q = _share("n_lang", "total_lang", "kept")
     above = shares.withColumn("q", q).filter("p > q").withColumn("value", F.expr("(p - q) * (p - q) div (p + q)"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item")))
     columns = ["lang", "source", "part", "item", "value", "rank"]
-    terms = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value").withColumn("rank", rank).filter(F.col("rank") <= ranks)
-    out = stored(pairs.withColumn("rank", rank).select(columns).unionByName(terms.select(columns)), "divergence")
-    for table in (counts, kept, of_group, groups):
+    outstanding = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value").withColumn("rank", rank).filter(F.col("rank") <= ranks)
+    out = stored(pairs.withColumn("rank", rank).select(columns).unionByName(outstanding.select(columns)), "divergence")
+    for table in (counts, kept, langs, terms, of_group, groups):
         dropped(table)
     return out
 
