@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -72,6 +72,35 @@ def band_rows(signed: DataFrame, bands: int = DEFAULT.bands, permutations: int =
     return signed.select("id", F.explode(parts).alias("b")).select("id", "b.band", "b.hash")
 
 
+def band_keys(signature: Column, bands: int = DEFAULT.bands) -> Column:
+    """Array of `band:hash`, one of each band of a signature."""
+    rows = F.floor(F.size(signature) / bands).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.sha1(F.array_join(F.slice(signature, i * rows + 1, rows), ","))))
+
+
+def band_links(signed: DataFrame, ttl: float, least: float = DEFAULT.jaccard, bands: int = DEFAULT.bands) -> DataFrame:
+    """(a, b, estimate) of posts (id, t, signature) that share a band within `ttl` seconds of one another.
+
+    Posts of one signature and band, each less than `ttl` behind the one before, are a class and link to its head. Heads
+    link to those of classes that are alive when they come and that they are near to. So copies make one link each.
+    """
+    keyed = signed.select("id", "t", "signature", F.explode(band_keys(F.col("signature"), bands)).alias("key"))
+    w = Window.partitionBy("key", "signature").orderBy("t", "id")
+    last = F.lag("t").over(w)
+    runs = keyed.withColumn("__fresh", F.when(last.isNull() | (F.col("t") - last >= ttl), 1).otherwise(0))
+    runs = runs.withColumn("__run", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("t", "id"))
+    classes = runs.groupBy("key", "signature", "__run").agg(first.alias("f"), F.max("t").alias("last"))
+    members = runs.join(classes, ["key", "signature", "__run"]).filter(F.col("id") != F.col("f.id")).select(F.col("f.id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("estimate"))
+    heads = classes.select("key", "signature", F.col("f.t").alias("t"), F.col("f.id").alias("id"), "last")
+    a, b = heads.alias("a"), heads.alias("b")
+    before = F.struct("a.t", "a.id") < F.struct("b.t", "b.id")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & before & (F.col("b.t") < F.col("a.last") + ttl) & (F.col("a.signature") != F.col("b.signature")))
+    same = F.size(F.filter(F.zip_with("a.signature", "b.signature", lambda x, y: x == y), lambda e: e)) / F.size("a.signature")
+    near = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), same.alias("estimate")).filter(F.col("estimate") >= least)
+    return members.unionByName(near).distinct()
+
+
 def candidates(bands: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs that share a band.
 

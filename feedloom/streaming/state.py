@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import DEFAULT
+from ..operators.dedup import band_keys
+
 POST = T.StructType([T.StructField("key", T.StringType()), T.StructField("post", T.LongType()), T.StructField("t", T.DoubleType())])
 MARK = T.StructType([T.StructField("until", T.DoubleType())])
 SEEN = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("members", T.ArrayType(T.StringType()))])
@@ -84,34 +88,82 @@ def seen_before(events: DataFrame, ttl: float, watermark: str = "1 hour") -> Dat
     return rows.groupBy("key").applyInPandasWithState(step, JUDGED, SEEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_of_bands(bands: DataFrame, ttl: float, watermark: str = "1 day") -> DataFrame:
-    """(a, b): each post of a band with the first one that the band remembers; the index of near-duplicates as state.
+LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("estimate", T.DoubleType())])
 
-    bands: key string (band and hash), event_id long, ts timestamp. A band forgets its first post `ttl` behind it.
-    """
-    rows = bands.withWatermark("ts", watermark).select("key", "event_id", "ts", F.unix_micros("ts").alias("us"))
-    pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    held = T.StructType([T.StructField("first", T.LongType()), T.StructField("start", T.DoubleType())])
+#: The state of `near_links` needs a store with map state.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def step(key, batches: Iterator, state: GroupState):
+
+class BandIndex(StatefulProcessor):
+    """What a band remembers: its classes, posts of one signature in a row, by signature: head, start of time and last time."""
+
+    def __init__(self, ttl: float, least: float):
+        self.ttl, self.least = ttl, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.classes = handle.getMapState("classes", "signature binary", "head long, last double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first, start = state.get if state.exists else (None, float("-inf"))
-        pdf = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for event_id, us in zip(pdf["event_id"], pdf["us"], strict=True):
-            if us / 1e6 - start >= ttl:
-                first, start = int(event_id), us / 1e6
-            elif first != event_id:
-                out.append((first, int(event_id)))
-        state.update((first, start))
-        _until(state, start + ttl)
-        yield pd.DataFrame(out, columns=["a", "b"])
+        held = {bytes(k[0]): (v[0], v[1]) for k, v in self.classes.iterator()}
+        names = list(held)
+        values = [np.frombuffer(n, ">u4") for n in names]
+        pdf = pd.concat(list(rows)).sort_values(["us", "id"])
+        out, changed = [], set()
+        for id_, us, raw in zip(pdf["id"], pdf["us"], pdf["signature"], strict=True):
+            raw, t, id_ = bytes(raw), us / 1e6, int(id_)
+            if raw in held and t - held[raw][1] < self.ttl:
+                head, last = held[raw]
+                if head != id_:
+                    out.append((head, id_, 1.0))
+                held[raw] = (head, max(last, t))
+            else:
+                mine = np.frombuffer(raw, ">u4")
+                if names:
+                    same = (np.stack(values) == mine).mean(axis=1)
+                    for n in np.flatnonzero(same >= self.least):
+                        head, last = held[names[n]]
+                        if t - last < self.ttl and names[n] != raw:
+                            out.append((head, id_, float(same[n])))
+                if raw not in held:
+                    names.append(raw)
+                    values.append(mine)
+                held[raw] = (id_, t)
+            changed.add(raw)
+        for raw in changed:
+            self.classes.updateValue((raw,), held[raw])
+        if changed:
+            self.handle.registerTimer(self._ends(max(held[raw][1] for raw in changed), timerValues))
+        yield pd.DataFrame(out, columns=["a", "b", "estimate"])
+
+    def _ends(self, last: float, timerValues) -> int:
+        return max(int((last + self.ttl) * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        for k, v in list(self.classes.iterator()):
+            if v[1] + self.ttl <= now:
+                self.classes.removeKey(k)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
 
-    return rows.groupBy("key").applyInPandasWithState(step, pair, held, "append", GroupStateTimeout.EventTimeTimeout)
+def near_links(signed: DataFrame, ttl: float, least: float = DEFAULT.jaccard, bands: int = DEFAULT.bands, watermark: str = "1 day") -> DataFrame:
+    """(a, b, estimate) of a stream of posts (id, ts, signature): near-duplicate links, the index being keyed state.
+
+    The twin of `dedup.band_links`. A band holds all its signatures, each once however many copies come, and forgets one
+    `ttl` behind its last post, when the watermark has passed that; a post that is not late misses none. Posts of a
+    micro-batch are taken in order of time. Bands repeat a link, so the sink takes each (a, b) once.
+    """
+    rows = signed.withWatermark("ts", watermark).select("id", "ts", F.unix_micros("ts").alias("us"), "signature", band_keys(F.col("signature"), bands).alias("keys"))
+    raw = F.unhex(F.array_join(F.transform("signature", lambda v: F.lpad(F.hex(v), 8, "0")), ""))
+    keyed = rows.select("id", "ts", "us", raw.alias("raw"), F.explode("keys").alias("key")).withColumnRenamed("raw", "signature")
+    return keyed.groupBy("key").transformWithStateInPandas(BandIndex(ttl, least), LINK, "append", "eventTime")
 
 
 #: Seconds between two runs of a stage.

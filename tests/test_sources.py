@@ -5,7 +5,7 @@ import struct
 from datetime import datetime, timedelta
 
 import pytest
-from feedloom.operators import network, windows
+from feedloom.operators import dedup, network, windows
 from feedloom.sources import labels, lookup
 from feedloom.streaming import state
 from pyspark.sql import functions as F
@@ -153,11 +153,23 @@ def test_self_duplicates_as_a_stream_equal_the_batch_form(spark, tmp_path):
     assert 0 < sum(got.values()) < 40
 
 
-def test_bands_remember_their_first_post(spark, tmp_path):
-    rows = [("x", 1, T0, 0), ("x", 2, T0 + timedelta(seconds=5), 1), ("x", 3, T0 + timedelta(seconds=100), 2), ("x", 4, T0 + timedelta(seconds=101), 3), ("y", 9, T0, 0)]
-    df = spark.createDataFrame(rows, "key string, event_id long, ts timestamp, part int")
-    got = {tuple(r) for r in run(spark, df, tmp_path, "bands", lambda s: state.first_of_bands(s, 60))}
-    assert got == {(1, 2), (3, 4)}
+def test_near_links_of_a_stream_equal_the_batch_form(spark, tmp_path):
+    """In any batching; post 1 is near neither 2 nor 3, which are near each other; copies link once each."""
+    spark.conf.set(*state.ROCKS)
+    base = list(range(1000, 1128))
+    far, near = base[:8] + [9] * 120, base[:120] + [7] * 8  # share the first band with the others
+    posts = [(1, 0, far), (2, 5, base), (3, 9, near), (4, 10, base), (5, 30, base), (6, 100, base), (7, 120, near), (8, 200, far), (9, 1000, base)]
+    posts += [(100 + i, 300 + i, base) for i in range(30)]
+    posts.sort(key=lambda p: p[1])
+    for name, size in (("one", 100), ("few", 7), ("each", 3)):
+        rows = [(i, T0 + timedelta(seconds=t), s, k // size) for k, (i, t, s) in enumerate(posts)]
+        df = spark.createDataFrame(rows, "id long, ts timestamp, signature array<long>, part int")
+        got = run(spark, df, tmp_path, f"near{name}", lambda s: state.near_links(s, 60, 0.7, 16, "10 seconds"))
+        batch = dedup.band_links(df.select("id", (F.unix_micros("ts") / 1e6).alias("t"), "signature"), 60, 0.7, 16)
+        assert {tuple(r) for r in got} == {tuple(r) for r in batch.collect()}
+        links = {(r["a"], r["b"]) for r in got}
+        assert (2, 3) in links and (2, 4) in links and not any(1 in x for x in links)
+        assert len([x for x in links if x[1] >= 100]) == 29
 
 
 def test_detector_records_and_counts(spark):
