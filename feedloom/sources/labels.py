@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import struct
 from binascii import unhexlify
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource
+
+from .rounds import RoundsReader
 
 
 def decoded(raw: bytes, at: int = 0):
@@ -64,48 +67,33 @@ def frame(raw: bytes) -> tuple[str, dict]:
     return {"#labels": "labels", "#info": "info"}.get(header.get("t"), "other"), payload
 
 
-class LabelReader(SimpleDataSourceStreamReader):
-    """Rows (seq, src, uri, val, neg, cts) of frames behind the offset; `connect(cursor)` yields raw frames.
-
-    The offset is the last sequence number, in the checkpoint. Where the server says that it is outdated, reading goes on
-    from the oldest frame the server still has. Error frames and frames that cannot be read are left out.
-    """
-
-    def __init__(self, connect):
-        self.connect = connect
-
-    def initialOffset(self):
-        return {"seq": -1}
-
-    def _frames(self, cursor):
-        outdated = False
-        for raw in self.connect(cursor):
-            kind, payload = frame(raw)
-            if kind == "info" and payload.get("name") == "OutdatedCursor":
-                outdated = True
-            elif kind == "labels" and isinstance(payload.get("seq"), int) and (outdated or cursor is None or payload["seq"] > cursor):
-                yield payload
+def labels_of(payload: dict) -> list[tuple]:
+    """Rows (seq, src, uri, val, neg, cts) of a label frame's payload."""
+    found = [x for x in payload.get("labels") or [] if isinstance(x, dict)]
+    return [(payload["seq"], x.get("src"), x.get("uri"), x.get("val"), bool(x.get("neg", False)), x.get("cts")) for x in found]
 
-    @staticmethod
-    def _rows(payload):
-        for x in payload.get("labels") or []:
-            if isinstance(x, dict):
-                yield payload["seq"], x.get("src"), x.get("uri"), x.get("val"), bool(x.get("neg", False)), x.get("cts")
 
-    def read(self, start):
-        cursor = start["seq"] if start["seq"] >= 0 else None
-        found = list(self._frames(cursor))
-        end = found[-1]["seq"] if found else start["seq"]
-        return iter([r for p in found for r in self._rows(p)]), {"seq": end}
+def behind(frames, cursor: int | None):
+    """Payloads of label frames behind a sequence number.
 
-    def readBetweenOffsets(self, start, end):
-        for p in self._frames(start["seq"] if start["seq"] >= 0 else None):
-            if p["seq"] <= end["seq"]:
-                yield from self._rows(p)
+    Where the server says that the number is outdated, from the oldest frame that it still has. Error frames and frames
+    that cannot be read are left out.
+    """
+    outdated = False
+    for raw in frames:
+        kind, payload = frame(raw)
+        if kind == "info" and payload.get("name") == "OutdatedCursor":
+            outdated = True
+        elif kind == "labels" and isinstance(payload.get("seq"), int) and (outdated or cursor is None or payload["seq"] > cursor):
+            yield payload
 
 
 class LabelSource(DataSource):
-    """`spark.readStream.format("labels")`. Option `frames`: a JSON array of frames in hex, for replays without a network."""
+    """`spark.readStream.format("labels")`: rows (seq, src, uri, val, neg, cts) of label servers, resumed by sequence number.
+
+    Options: `hosts`, `log` (see `rounds`), and the `most` frames that a round takes. A subclass overrides `connect`; this
+    one replays option `frames`, a JSON array of frames in hex.
+    """
 
     @classmethod
     def name(cls):
@@ -114,9 +102,16 @@ class LabelSource(DataSource):
     def schema(self):
         return "seq long, src string, uri string, val string, neg boolean, cts string"
 
-    def simpleStreamReader(self, schema):
-        frames = [unhexlify(x) for x in json.loads(self.options.get("frames", "[]"))]
-        return LabelReader(lambda cursor: frames)
+    def connect(self, host: str, cursor: int | None):
+        """Iterator of raw frames behind a sequence number, or of the newest."""
+        return (unhexlify(x) for x in json.loads(self.options.get("frames", "[]")))
+
+    def _round(self, host: str, cursor: int | None):
+        found = list(islice(behind(self.connect(host, cursor), cursor), int(self.options.get("most", "10000"))))
+        return [labels_of(p) for p in found], found[-1]["seq"] if found else cursor
+
+    def streamReader(self, schema):
+        return RoundsReader(self.options.get("hosts", "labels").split(","), self.options["log"], self._round, lambda host, rows: map(tuple, rows))
 
 
 def exclusions(labels: DataFrame, adult: tuple[str, ...]) -> DataFrame:

@@ -1,7 +1,6 @@
 """Stream sources: newline-delimited JSON from files, and poll or socket sources through the Python Data Source API.
 
-Offsets live in the checkpoint: a label stream's sequence number, a poller's highest id by instance. Readers that need
-a network take the function that fetches, so tests and replays need none.
+Sources that need a network have a method that fetches or connects; a subclass has the client, tests and replays need none.
 """
 
 from __future__ import annotations
@@ -10,7 +9,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource
+
+from .rounds import RoundsReader
 
 COMMIT = (
     "did STRING, time_us BIGINT, kind STRING, commit STRUCT<operation: STRING, collection: STRING, rkey: STRING,"
@@ -18,11 +19,6 @@ COMMIT = (
 )
 
 
-def backoff(attempt: int, first: float = 5.0, most: float = 60.0) -> float:
-    """Seconds before a reconnect: doubled from `first` up to `most`."""
-    return min(most, first * 2 ** max(0, attempt))
-
-
 def json_events(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
     """Commit events from JSON lines; malformed lines are dropped, the raw line is kept."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
@@ -58,40 +54,15 @@ def accepted_statuses(statuses: DataFrame) -> DataFrame:
     return statuses.filter((F.col("visibility") == "public") & on("account.discoverable") & on("account.indexable") & (F.col("language").isNull() | (F.col("language") == "en")))
 
 
-class PagedReader(SimpleDataSourceStreamReader):
-    """Reads what `fetch(since)` returns: [(id, json text)], by instance; offsets are the highest ids seen."""
-
-    def __init__(self, instances: list[str], fetch):
-        self.instances, self.fetch = instances, fetch
-
-    def initialOffset(self):
-        return {i: "" for i in self.instances}
-
-    def read(self, start):
-        end, rows = dict(start), []
-        for instance in self.instances:
-            try:
-                page = self.fetch(instance, start.get(instance) or None)
-            except OSError:
-                continue  # one instance that fails holds up no other
-            for id_, body in page:
-                rows.append((instance, str(id_), body))
-                if (len(str(id_)), str(id_)) > (len(end.get(instance, "")), end.get(instance, "")):
-                    end[instance] = str(id_)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start, end):
-        key = lambda x: (len(x), x)
-        for instance in self.instances:
-            for id_, body in self.fetch(instance, start.get(instance) or None):
-                if key(str(id_)) <= key(end.get(instance, "")):
-                    yield instance, str(id_), body
+def _by_id(id_: str) -> tuple[int, str]:
+    return len(id_), id_
 
 
 class PollSource(DataSource):
-    """`spark.readStream.format("polled")`: option `instances` (comma-joined) and a registered fetch function.
+    """`spark.readStream.format("polled")`: rows (instance, id, body) of instances, each polled behind its highest id.
 
-    Options: `pages`, a JSON object {instance: [[id, body], ...]}, replays without a network.
+    Options: `instances` (comma-joined) and `log`, a URI for what was fetched (see `rounds`). A subclass overrides `fetch`;
+    this one replays option `pages`, a JSON object {instance: [[id, body], ...]}, `page` rows at a time.
     """
 
     @classmethod
@@ -101,27 +72,60 @@ class PollSource(DataSource):
     def schema(self):
         return "instance string, id string, body string"
 
-    def simpleStreamReader(self, schema):
-        pages = json.loads(self.options.get("pages", "{}"))
+    def fetch(self, instance: str, since: str | None) -> list[tuple[str, str]]:
+        """[(id, body)] behind an id; null for the newest there are."""
+        found = [(str(i), b) for i, b in json.loads(self.options.get("pages", "{}")).get(instance, [])]
+        return sorted((x for x in found if since is None or _by_id(x[0]) > _by_id(since)), key=lambda x: _by_id(x[0]))[: int(self.options.get("page", "1000000"))]
 
-        def replay(instance, since):
-            key = lambda x: (len(x), x)
-            return [(i, b) for i, b in pages.get(instance, []) if since is None or key(str(i)) > key(since)]
+    def _round(self, instance: str, since: str | None):
+        page = [(str(i), b) for i, b in self.fetch(instance, since)]
+        return page, max([*(i for i, _ in page), *([since] if since else [])], key=_by_id, default=None)
 
-        return PagedReader(self.options.get("instances", ",".join(pages)).split(","), replay)
+    def streamReader(self, schema):
+        return RoundsReader(self.options["instances"].split(","), self.options["log"], self._round, lambda instance, item: [(instance, *item)])
 
 
-class SequencePartition(InputPartition):
-    """Frames of a label stream between two sequence numbers."""
+class FirehoseSource(DataSource):
+    """`spark.readStream.format("firehose")`: rows (host, value), JSON lines of sockets, each resumed behind its last time_us.
 
-    def __init__(self, start: int, end: int):
-        super().__init__((start, end))
-        self.start, self.end = start, end
+    Options: `hosts`, `log`, and the `most` lines that a round takes. A subclass overrides `connect`; this one replays the
+    files of option `replay`, JSON lines by host. A socket that breaks ends the round with what came; the next one
+    connects behind it, after a wait if nothing came.
+    """
 
+    @classmethod
+    def name(cls):
+        return "firehose"
 
-def label_rows(frames: DataFrame) -> DataFrame:
-    """One row per label of label frames (seq, labels)."""
-    return frames.select("seq", F.explode("labels").alias("l")).select("seq", "l.src", "l.uri", "l.val", F.coalesce("l.neg", F.lit(False)).alias("neg"), "l.cts")
+    def schema(self):
+        return "host string, value string"
+
+    def connect(self, host: str, cursor: int | None):
+        """Iterator of lines from `cursor` on, or of the newest."""
+        with open(json.loads(self.options["replay"])[host]) as f:
+            yield from (line.rstrip("\n") for line in f)
+
+    def _round(self, host: str, cursor: int | None):
+        lines = []
+        try:
+            for line in self.connect(host, cursor):
+                try:
+                    at = json.loads(line).get("time_us")
+                except (ValueError, AttributeError):
+                    at = None  # the parser counts and drops it
+                if at is not None and cursor is not None and at <= cursor:
+                    continue
+                lines.append(line)
+                cursor = cursor if at is None else at
+                if len(lines) >= int(self.options.get("most", "10000")):
+                    break
+        except Exception:
+            if not lines:
+                raise
+        return lines, cursor
+
+    def streamReader(self, schema):
+        return RoundsReader(self.options["hosts"].split(","), self.options["log"], self._round, lambda host, line: [(host, line)])
 
 
 class ModelRegistry:

@@ -3,10 +3,11 @@
 import json
 import struct
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from feedloom.operators import dedup, network, windows
-from feedloom.sources import labels, lookup
+from feedloom.sources import labels, lookup, rounds, streams
 from feedloom.streaming import state
 from pyspark.sql import functions as F
 
@@ -52,30 +53,119 @@ def test_cbor_items_come_back():
             labels.decoded(bad)
 
 
-def test_label_reader_resumes_by_sequence_and_survives_bad_frames():
+def test_labels_resume_by_sequence_and_survive_bad_frames():
     frames = [label_frame(5, (POST + "1", "porn", False)), ERROR, b"\xff", label_frame(7, (POST + "2", "spam", False), (POST + "1", "porn", True))]
-    asked = []
-    reader = labels.LabelReader(lambda cursor: (asked.append(cursor), frames)[1])
-    rows, offset = reader.read(reader.initialOffset())
-    assert [r[0] for r in rows] == [5, 7, 7] and offset == {"seq": 7}
-    rows, again = reader.read({"seq": 5})
-    assert [(r[0], r[4]) for r in rows] == [(7, False), (7, True)] and again == {"seq": 7} and asked == [None, 5]
-    assert [r[0] for r in reader.readBetweenOffsets({"seq": -1}, {"seq": 5})] == [5]
-    late = labels.LabelReader(lambda cursor: [INFO, label_frame(2, (POST + "9", "porn", False))])
-    rows, offset = late.read({"seq": 50})
-    assert [r[0] for r in rows] == [2] and offset == {"seq": 2}
+    rows = lambda found: [r for p in found for r in labels.labels_of(p)]
+    assert [r[0] for r in rows(labels.behind(frames, None))] == [5, 7, 7]
+    assert [(r[0], r[4]) for r in rows(labels.behind(frames, 5))] == [(7, False), (7, True)]
+    assert [r[0] for r in rows(labels.behind([INFO, label_frame(2, (POST + "9", "porn", False))], 50))] == [2]  # an outdated number
+
+
+def read(spark, tmp_path, name, source, **options):
+    """All that one run of a stream takes in."""
+    spark.dataSource.register(source)
+    s = spark.readStream.format(source.name())
+    for k, v in {"log": f"file://{tmp_path}/log", **options}.items():
+        s = s.option(k, v)
+    out = str(tmp_path / name)
+    q = s.load().writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return sorted(map(tuple, spark.read.parquet(out).collect()))
 
 
 def test_label_stream_and_exclusions(spark, tmp_path):
-    spark.dataSource.register(labels.LabelSource)
     frames = [label_frame(1, (POST + "1", "porn", False)), label_frame(2, (POST + "1", "porn", True), (POST + "2", "fine", False), ("did:a", "porn", False))]
-    s = spark.readStream.format("labels").option("frames", json.dumps([f.hex() for f in frames])).load()
-    q = s.writeStream.format("memory").queryName("labelled").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.table("labelled")
-    assert got.count() == 4
-    assert [tuple(r) for r in labels.exclusions(got, ("porn",)).collect()] == [("did:a/1", 1)]  # the retraction changes nothing
+    got = read(spark, tmp_path, "labelled", labels.LabelSource, frames=json.dumps([f.hex() for f in frames]))
+    assert len(got) == 4
+    df = spark.createDataFrame(got, labels.LabelSource({}).schema())
+    assert [tuple(r) for r in labels.exclusions(df, ("porn",)).collect()] == [("did:a/1", 1)]  # the retraction changes nothing
+    assert read(spark, tmp_path, "labelled", labels.LabelSource, frames=json.dumps([f.hex() for f in [*frames, label_frame(9, ("did:b", "spam", False))]]))[-1][0] == 9
+
+
+def instances():
+    """A source of folders, pickled by value."""
+
+    class Instances(streams.PollSource):
+        """Instances as folders: each fetch is counted, a file named `down` makes one fail."""
+
+        def fetch(self, instance, since):
+            at = Path(self.options["root"]) / instance
+            with open(at / "fetched", "a") as f:
+                f.write("x")
+            if (at / "down").exists():
+                raise OSError("down")
+            return [(i, "body") for i in (at / "ids").read_text().split() if since is None or int(i) > int(since)]
+
+    return Instances
+
+
+def test_instances_are_polled_side_by_side_and_replayed_without_a_fetch(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "ids").write_text("9 10")
+    (tmp_path / "b" / "down").touch()
+    source = instances()
+    run_ = lambda name="polled": read(spark, tmp_path, name, source, instances="a,b", root=str(tmp_path))
+    fetched = lambda name: len((tmp_path / name / "fetched").read_text())
+    assert run_() == [("a", "10", "body"), ("a", "9", "body")] and (fetched("a"), fetched("b")) == (1, 1)
+    (tmp_path / "a" / "ids").write_text("9 10 11")
+    (tmp_path / "b" / "down").unlink()
+    assert run_()[-1] == ("a", "9", "body") and ("a", "11", "body") in run_()
+    assert fetched("b") == 1  # it waits
+    # a stream without a checkpoint, but with the log, reads what is written and fetches one round more
+    before = fetched("a")
+    again = run_("anew")
+    assert [r for r in again if r[0] == "a"] == [("a", "10", "body"), ("a", "11", "body"), ("a", "9", "body")] and fetched("a") == before + 1
+
+
+def test_rounds(tmp_path):
+    now, asked = [1000.0], []
+
+    def fetch(endpoint, cursor):
+        asked.append((endpoint, cursor))
+        if endpoint == "bad":
+            raise ValueError("whatever")
+        return [[endpoint, cursor]], (cursor or 0) + 1
+
+    reader = rounds.RoundsReader(["ok", "bad"], f"file://{tmp_path}", fetch, lambda e, item: [tuple(item)], clock=lambda: now[0])
+    take = lambda start, end: sorted(r for p in reader.partitions(start, end) for r in reader.read(p))
+    at = reader.initialOffset()
+    for turn, waits in enumerate((5.0, 10.0, 20.0, 40.0, 60.0, 60.0)):
+        end = reader.latestOffset()
+        assert end == {"ok": at["ok"] + 1, "bad": at["bad"] + 1}
+        first = take(at, end)
+        assert first == [("ok", turn or None)]
+        n = len(asked)
+        assert take(at, end) == first and len(asked) == n  # a replay
+        now[0] += waits - 1
+        assert reader.latestOffset()["bad"] == end["bad"]
+        now[0] += 1
+        at = end
+    assert take(at, at) == []
+    reader.commit({"ok": rounds.KEPT + 3, "bad": 1})
+    assert min(rounds.Log(f"file://{tmp_path}", "ok").rounds()) == 3 and min(rounds.Log(f"file://{tmp_path}", "bad").rounds()) == 1
+
+
+def test_firehose_resumes_behind_what_it_took(spark, tmp_path):
+    lines = [json.dumps({"time_us": t}) for t in range(1, 8)]
+    (tmp_path / "h").write_text("\n".join([*lines[:3], "{broken", *lines[3:]]) + "\n")
+    for n in (3, 6, 8):
+        got = read(spark, tmp_path, "hose", streams.FirehoseSource, hosts="h", most="3", replay=json.dumps({"h": str(tmp_path / "h")}))
+        assert len([r for r in got if r[1] in lines]) == min(7, n - (n > 3))
+
+
+def test_a_socket_that_breaks_keeps_what_came():
+    class Breaks(streams.FirehoseSource):
+        def connect(self, host, cursor):
+            if cursor == 2:
+                raise OSError("gone")
+            yield from ('{"time_us": 1}', '{"time_us": 2}')
+            raise OSError("reset")
+
+    source = Breaks({"hosts": "h", "log": "x"})
+    assert source._round("h", None) == (['{"time_us": 1}', '{"time_us": 2}'], 2)
+    with pytest.raises(OSError):
+        source._round("h", 2)
 
 
 def test_lookups_in_batches_fail_on_their_own(spark):

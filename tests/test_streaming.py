@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from feedloom.operators import windows as V
-from feedloom.sources import streams
+from feedloom.sources import rounds, streams
 from feedloom.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -41,19 +41,8 @@ def test_ingest_drops_malformed_and_repeated_events(spark, tmp_path):
     assert got == [("did:1/1", "post 1"), ("did:4/4", "post 4"), ("did:5/5", "post 5")]
 
 
-def test_paged_reader_moves_by_id_and_outlives_a_failing_instance():
-    pages = {"a": [("9", "x"), ("10", "y")]}
-
-    def fetch(instance, since):
-        if instance == "b":
-            raise OSError("down")
-        return [(i, b) for i, b in pages["a"] if since is None or int(i) > int(since)]
-
-    reader = streams.PagedReader(["a", "b"], fetch)
-    rows, offset = reader.read(reader.initialOffset())
-    assert list(rows) == [("a", "9", "x"), ("a", "10", "y")] and offset == {"a": "10", "b": ""}
-    assert list(reader.read(offset)[0]) == []
-    assert [streams.backoff(k) for k in (0, 1, 5)] == [5.0, 10.0, 60.0]
+def test_back_off_doubles():
+    assert [rounds.backoff(k) for k in (0, 1, 5)] == [5.0, 10.0, 60.0]
 
 
 def test_registry_publishes_only_whole_versions(tmp_path):
