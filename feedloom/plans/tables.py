@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import moderation as M
+from ..operators import terms as T
 from ..operators import windows as V
 from ..sources import tables as S
 from ..sources.shared import new_folder
@@ -79,8 +79,20 @@ DOMAINS = ["example.com", "the.example.org", "shop.example.net"]
 
 @query("join_theta_suffix", f"SELECT page_id, domain FROM pages, (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in DOMAINS)}) t(domain) WHERE {NETLOC} = domain OR {NETLOC} LIKE '%.' || domain")
 def join_theta_suffix(spark, d):
-    hit = F.array(*(F.when(U.under_domain(U.netloc(F.col("url")), F.lit(x)), F.lit(x)) for x in DOMAINS))
-    return table(spark, d, "pages").select("page_id", F.explode(F.array_compact(hit)).alias("domain"))
+    listed = spark.createDataFrame([(x,) for x in DOMAINS], "domain string")
+    return T.under_domains(table(spark, d, "pages"), U.netloc(F.col("url")), listed).select("page_id", "domain")
+
+
+#: The hosts of every page, and what is above them: a table of domains that grows with the pages.
+PARENTS = f"hosts AS (SELECT DISTINCT {NETLOC} AS host FROM pages), listed AS (SELECT host AS domain FROM hosts WHERE host <> '' UNION SELECT regexp_replace(host, '^[^.]*\\.', '') FROM hosts WHERE position('.' IN host) > 0)"
+
+
+@query("join_theta_suffix_all", f"WITH {PARENTS} SELECT domain, count(*) AS pages, min(page_id) AS first FROM pages, listed WHERE {NETLOC} = domain OR {NETLOC} LIKE '%.' || domain GROUP BY domain")
+def join_theta_suffix_all(spark, d):
+    p = table(spark, d, "pages").select("page_id", U.netloc(F.col("url")).alias("host"))
+    hosts = p.select("host").distinct().filter("host <> ''")
+    listed = hosts.select(F.col("host").alias("domain")).unionByName(hosts.filter(F.col("host").contains(".")).select(F.regexp_replace("host", r"^[^.]*\.", "").alias("domain")))
+    return T.under_domains(p, F.col("host"), listed).groupBy("domain").agg(F.count("*").alias("pages"), F.min("page_id").alias("first"))
 
 
 TERMS = ["with", "für", "para", "idiot"]
@@ -88,8 +100,19 @@ TERMS = ["with", "für", "para", "idiot"]
 
 @query("join_theta_regex", "SELECT doc_id, term FROM documents, (VALUES ('with'), ('für'), ('para'), ('idiot')) t(term) WHERE regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])' || term || '($|[^\\p{L}\\p{N}_])')")
 def join_theta_regex(spark, d):
-    hit = F.array(*(F.when(M.has_word(F.col("text"), [t]), F.lit(t)) for t in TERMS))
-    return table(spark, d, "documents").select("doc_id", F.explode(F.array_compact(hit)).alias("term"))
+    listed = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    return T.contained_terms(table(spark, d, "documents"), listed, "doc_id").select(F.col("id").alias("doc_id"), "term")
+
+
+#: Words of all benchmark items, as a table of terms.
+WORDS = "list_distinct(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1))"
+
+
+@query("join_theta_terms_all", f"WITH terms AS (SELECT DISTINCT unnest({WORDS}) AS term FROM benchmark), said AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents) SELECT term, count(*) AS texts, min(doc_id) AS first FROM said JOIN terms USING (term) GROUP BY term")
+def join_theta_terms_all(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    listed = table(spark, d, "benchmark").select(F.explode(words).alias("term"))
+    return T.contained_terms(table(spark, d, "documents"), listed, "doc_id").groupBy("term").agg(F.count("*").alias("texts"), F.min("id").alias("first"))
 
 
 @query("join_url", f"WITH c AS (SELECT page_id, {CANON} AS u FROM pages) SELECT u, min(page_id) AS first, count(*) AS pages FROM c WHERE u IS NOT NULL GROUP BY u")
