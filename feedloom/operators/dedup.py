@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as X
-from ..sources.shared import written
+from ..sources.shared import dropped, written
 
 #: A Mersenne prime below 2**31: products of two residues stay within 64 bits.
 PRIME = 2147483647
@@ -156,7 +156,9 @@ def clusters(ids: DataFrame, matches: DataFrame, most_rounds: int = 64) -> DataF
     for _ in range(most_rounds):
         up = at.select(F.col("id").alias("p"), F.col("p").alias("pp"))
         after = written(at.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "parents")
+        dropped(at)
         at = after.select("id", "p")
+        at._feedloom_path = after._feedloom_path
         if after.filter("moved").isEmpty():
             break
     else:
@@ -165,21 +167,86 @@ def clusters(ids: DataFrame, matches: DataFrame, most_rounds: int = 64) -> DataF
     return out.select("id", F.coalesce("p", "id").alias("cluster"), F.col("p").isNull().alias("canonical"))
 
 
+def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (id, first) of each class of equal `shingle_sets`, and the sets (id, n, items) of the first ones alone."""
+    keyed = sets.withColumn("cls", F.md5(F.array_join(F.array_sort("items"), ",")))
+    first = keyed.groupBy("cls").agg(F.min("id").alias("first"))
+    members = written(keyed.select("id", "cls").join(first, "cls").select("id", "first"), "members")
+    firsts = members.filter("id = first").select("id").distinct()
+    return members, written(sets.join(firsts, "id", "left_semi"), "firsts")
+
+
+def first_matches(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b): the first predecessor of each post that matches it, given members (id, first) of classes of equal posts and
+    the pairs (a, b), a before b, of their firsts that are near: at most one link a post, however large a class is.
+    """
+    before = near.groupBy("b").agg(F.min("a").alias("a"))
+    rest = members.filter("id > first").join(before, F.col("first") == F.col("b"), "left")
+    return before.select("a", "b").unionByName(rest.select(F.least("first", F.coalesce("a", "first")).alias("a"), F.col("id").alias("b")))
+
+
+def exact_links(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): the first predecessor of each post with a Jaccard similarity of `least`; classes meet, not their members."""
+    members, firsts = set_classes(sets)
+    out = written(first_matches(members, exact_pairs(firsts, least)), "matches")
+    dropped(members, firsts)
+    return out
+
+
+def all_pairs(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b, jaccard), a < b, of all members of near classes and within classes: as many rows as there are pairs."""
+    m = members.select(F.col("first").alias("f"), "id")
+    left, right = m.select(F.col("f").alias("a"), F.col("id").alias("x")), m.select(F.col("f").alias("b"), F.col("id").alias("y"))
+    across = near.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    inside = left.join(right, F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))
+    return across.unionByName(inside)
+
+
+#: Different signatures of a URL from which its posts are sought by equal permutations, not in pairs.
+HOT_URL = 200
+
+
+def url_matches(members: DataFrame, firsts: DataFrame, urls: DataFrame, least: float, permutations: int = DEFAULT.permutations) -> DataFrame:
+    """(a, b): the first predecessor of each post that shares its URL and is estimated at `least` or more.
+
+    members: (id, first) by equal signature, firsts: (id, signature), urls: (id, url). Within a URL posts of equal
+    signatures are one. Where many different ones share a URL, those meet that agree in one of the first permutations:
+    two that agree in m of p agree in one of any p - m + 1.
+    """
+    of_url = urls.filter("url IS NOT NULL").join(members, "id")
+    group = of_url.groupBy("url", "first").agg(F.min("id").alias("head"))
+    inside = of_url.join(group, ["url", "first"]).select("id", F.col("head").alias("first"))
+    heads = group.join(firsts.select(F.col("id").alias("first"), "signature"), "first").select("url", F.col("head").alias("id"), "signature")
+    many = group.groupBy("url").agg(F.count("*").alias("n")).filter("n > 1")
+    heads = written(heads.join(many, "url"), "heads")
+    need = max(1, -(-int(round(least * permutations * 1000)) // 1000))
+    near = F.col("a.id") < F.col("b.id")
+    few = heads.filter(F.col("n") <= HOT_URL)
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.url") == F.col("b.url")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    hot = heads.filter(F.col("n") > HOT_URL)
+    spots = hot.select("url", "id", F.posexplode(F.slice("signature", 1, permutations - need + 1)).alias("i", "v"))
+    a, b = spots.alias("a"), spots.alias("b")
+    met = a.join(b, (F.col("a.url") == F.col("b.url")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.v") == F.col("b.v")) & near)
+    pairs = pairs.unionByName(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    like = estimated(pairs, heads.select("id", "signature")).filter(F.col("estimate") >= least)
+    return first_matches(inside, like)
+
+
 def dedup_posts(posts: DataFrame, urls: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Clusters by MinHash bands, or by a shared canonical URL at a lower similarity. urls: (id, url).
 
-    Posts of equal signatures are one member of the bands: the first one finds its predecessors, the others have it as
-    theirs or share its own.
+    Posts of equal signatures are one member of the bands, and of a URL: the first one finds its predecessors, the
+    others have it as theirs or share its own.
     """
     signed = written(signatures(posts, cfg.shingle, cfg.permutations), "signatures")
     group = signed.groupBy("signature").agg(F.min("id").alias("first"))
     members = written(signed.join(group, "signature").select("id", "first"), "members")
     firsts = written(group.select(F.col("first").alias("id"), "signature"), "firsts")
     near = estimated(candidates(band_rows(firsts, cfg.bands, cfg.permutations)), firsts).filter(F.col("estimate") >= cfg.jaccard)
-    # the first match of a post: the first of its own group, or of a group that came before
-    before = near.groupBy("b").agg(F.min("a").alias("a"))
-    found = before.select("a", "b").unionByName(members.filter("id > first").join(before, F.col("first") == F.col("b"), "left").select(F.least("first", F.coalesce("a", "first")).alias("a"), F.col("id").alias("b")))
+    found = first_matches(members, near)
     if urls is not None:
-        u = urls.filter("url IS NOT NULL").select("id", F.lit(0).alias("band"), F.sha1("url").alias("hash"))
-        found = found.unionByName(estimated(candidates(u), signed).filter(F.col("estimate") >= cfg.url_jaccard).select("a", "b"))
+        found = found.unionByName(url_matches(members, firsts, urls, cfg.url_jaccard, cfg.permutations))
+    found = written(found, "matches")
+    dropped(signed, members, firsts)
     return clusters(posts, found)

@@ -162,18 +162,15 @@ pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s
 near AS (SELECT a, b, c / CAST(x.n + y.n - c AS DOUBLE) AS j FROM pairs JOIN sz x ON x.id = a JOIN sz y ON y.id = b)"""
 
 
-def near(posts: DataFrame) -> DataFrame:
-    return D.exact_pairs(D.shingle_sets(posts, 4), 0.7)
-
-
 def groups(posts: DataFrame) -> DataFrame:
     """Clusters by exact similarity."""
-    return D.clusters(posts, near(posts))
+    return D.clusters(posts, D.exact_links(D.shingle_sets(posts, 4), 0.7))
 
 
 @query("join_lsh", f"{P}, {SHINGLES} SELECT a, b, round(j, 9) AS jaccard FROM near WHERE j >= 0.7")
 def join_lsh(spark, d):
-    return near(S.posts(spark, d)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    members, firsts = D.set_classes(D.shingle_sets(S.posts(spark, d), 4))
+    return D.all_pairs(members, D.exact_pairs(firsts, 0.7)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 ROOTS = """parent AS (SELECT b AS id, min(a) AS p FROM near WHERE j >= 0.7 GROUP BY b),

@@ -199,6 +199,35 @@ def test_members_of_a_bucket_link_without_its_first(spark):
     assert sorted(map(tuple, dedup.candidates(bands).collect())) == [(1, 2), (1, 3), (2, 3)]
 
 
+def test_copies_make_one_link_each(spark, monkeypatch):
+    """Thousands of copies, by sets and by URL: as many links as posts at most, and clusters as from all pairs."""
+    words = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(i, words(0)) for i in range(5, 3000)] + [(1, words(0) + " tail"), (3000, words(0) + " other"), (4000, words(1)), (2, words(2)), (5000, words(2) + " end"), (6000, " ")]
+    posts = spark.createDataFrame(rows, "id long, text string")
+    links = dedup.exact_links(dedup.shingle_sets(posts, 4), 0.7)
+    assert links.count() == len({r["b"] for r in links.collect()}) <= len(rows)
+    got = {r["id"]: r["cluster"] for r in dedup.clusters(posts, links).collect()}
+    assert got == {i: 1 if i == 1 or 5 <= i <= 3000 else 2 if i in (2, 5000) else i for i, _ in rows}
+    # one URL: copies, and texts that are half alike
+    half = [(10_000 + k, words(0, 18) + " " + words(100 + k, 12)) for k in range(30)] + [(20_000 + k, words(200 + k)) for k in range(10)]
+    every = spark.createDataFrame(rows[:-1] + half, "id long, text string")
+    urls = every.select("id", F.when(F.col("id") < 20_005, "http://x/y").alias("url"))
+    signed = {r["id"]: r["signature"] for r in dedup.signatures(every).collect()}
+    want = {}
+    for b in sorted(signed):
+        near = [a for a in sorted(signed) if a < b and (e := sum(x == y for x, y in zip(signed[a], signed[b], strict=True)) / 128) >= (0.2 if b < 20_005 else 0.7)][:1] if not 5 < b < 3000 else [want_first]
+        want[b] = near[0] if near else None
+        want_first = next(a for a in sorted(signed) if sum(x == y for x, y in zip(signed[a], signed[5], strict=True)) / 128 >= 0.2)
+    for hot in (200, 3):
+        monkeypatch.setattr(dedup, "HOT_URL", hot)
+        out = dedup.dedup_posts(every, urls)
+        got = {r["id"]: r["cluster"] for r in out.collect()}
+        root = {}
+        for b in sorted(want):
+            root[b] = b if want[b] is None else root[want[b]]
+        assert got == root
+
+
 def test_clusters_that_do_not_settle_are_no_result(spark):
     ids = spark.range(1, 40)
     with pytest.raises(RuntimeError, match="settled"):
