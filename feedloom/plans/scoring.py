@@ -14,6 +14,7 @@ from ..operators import cycle as C
 from ..operators import dedup as D
 from ..operators import moderation as M
 from ..operators import scoring as R
+from ..operators import similar as A
 from ..operators import windows as V
 from ..sources import tables as S
 from ..sources.shared import written
@@ -261,24 +262,61 @@ def pool_jaccards(p: DataFrame) -> DataFrame:
     return R.entity_jaccard(p.select("id", F.explode(L.entities(F.col("text"))).alias("entity")))
 
 
-@query("sim_tfidf", f"{P}, {COS} SELECT a, b, round(cosine, 6) AS cosine FROM cosines")
-def sim_tfidf(spark, d):
+@query("mmr_tfidf", f"{P}, {COS} SELECT a, b, round(cosine, 6) AS cosine FROM cosines")
+def mmr_tfidf(spark, d):
     return pool_cosines(pool(spark, d)).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query("sim_entity_jaccard", f"{P}, {POOL}, {JACCARDS} SELECT a, b, round(jaccard, 9) AS jaccard FROM jaccards")
-def sim_entity_jaccard(spark, d):
+@query("mmr_entity_jaccard", f"{P}, {POOL}, {JACCARDS} SELECT a, b, round(jaccard, 9) AS jaccard FROM jaccards")
+def mmr_entity_jaccard(spark, d):
     return pool_jaccards(pool(spark, d)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query("join_allpairs_sim", f"{P}, {COS}, {JACCARDS} SELECT a, b, round(0.5 * coalesce(cosine, 0.0) + 0.5 * coalesce(jaccard, 0.0), 6) AS similarity FROM cosines FULL JOIN jaccards USING (a, b)")
-def join_allpairs_sim(spark, d):
+@query("mmr_similarity", f"{P}, {COS}, {JACCARDS} SELECT a, b, round(0.5 * coalesce(cosine, 0.0) + 0.5 * coalesce(jaccard, 0.0), 6) AS similarity FROM cosines FULL JOIN jaccards USING (a, b)")
+def mmr_similarity(spark, d):
     p = pool(spark, d)
     both = pool_cosines(p).join(pool_jaccards(p), ["a", "b"], "full")
     mix = DEFAULT.similarity_mix
     return both.select("a", "b", F.round(mix * F.coalesce("cosine", F.lit(0.0)) + (1 - mix) * F.coalesce("jaccard", F.lit(0.0)), 6).alias("similarity"))
 
 
+#: Similarity from which pairs of all posts are reported.
+SIMILAR = 0.5
+ALL_WEIGHTS = f"""{TF}, {IDF}, wr AS (SELECT id, tf.term, tf * idf AS weight FROM tf JOIN idf USING (term)), nr AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM wr GROUP BY id),
+u AS (SELECT wr.id, term, weight / norm AS w FROM wr JOIN nr ON nr.id = wr.id), vs AS (SELECT id, string_agg(term || ' ' || tf, ' ' ORDER BY term) AS v FROM tf GROUP BY id),
+en AS (SELECT id, unnest({ENTITY_LIST}) AS entity FROM posts), es AS (SELECT id, string_agg(entity, '|' ORDER BY entity) AS e, count(*) AS n FROM en GROUP BY id)"""
+#: Posts with their first of equal ones, and the first ones alone.
+FIRSTS = "m AS (SELECT id, min(id) OVER (PARTITION BY {by}) AS first FROM {of}), f AS (SELECT id FROM m WHERE id = first)"
+COSINES = "cs AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.id < b.id WHERE a.id IN (SELECT id FROM f) AND b.id IN (SELECT id FROM f) GROUP BY 1, 2)"
+JS = """js AS (SELECT a, b, c / CAST(x.n + y.n - c AS DOUBLE) AS jaccard FROM (SELECT p.id AS a, q.id AS b, count(*) AS c FROM en p JOIN en q ON p.entity = q.entity AND p.id < q.id
+ WHERE p.id IN (SELECT id FROM f) AND q.id IN (SELECT id FROM f) GROUP BY 1, 2) JOIN es x ON x.id = a JOIN es y ON y.id = b)"""
+
+
+def all_weights(spark, d) -> DataFrame:
+    return weights(spark, d, sublinear=False)
+
+
+def all_entities(spark, d) -> DataFrame:
+    return S.posts(spark, d).select("id", F.explode(L.entities(F.col("text"))).alias("entity"))
+
+
+@query("sim_tfidf", f"{P}, {ALL_WEIGHTS}, {FIRSTS.format(by='v', of='vs')}, {COSINES} SELECT a, b, round(cosine, 6) AS cosine FROM cs WHERE cosine >= {SIMILAR} UNION ALL SELECT first, id, 1.0 FROM m WHERE id > first")
+def sim_tfidf(spark, d):
+    return A.similar_texts(all_weights(spark, d), SIMILAR).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query("sim_entity_jaccard", f"{P}, {ALL_WEIGHTS}, {FIRSTS.format(by='e', of='es')}, {JS} SELECT a, b, round(jaccard, 9) AS jaccard FROM js WHERE jaccard >= {SIMILAR} UNION ALL SELECT first, id, 1.0 FROM m WHERE id > first")
+def sim_entity_jaccard(spark, d):
+    return A.similar_entities(all_entities(spark, d), SIMILAR).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query("join_allpairs_sim", f"""{P}, {ALL_WEIGHTS}, ve AS (SELECT id, v, e FROM vs FULL JOIN es USING (id)), {FIRSTS.format(by='v, e', of='ve')}, {COSINES}, {JS}
+SELECT a, b, round(0.5 * coalesce(cosine, 0.0) + 0.5 * coalesce(jaccard, 0.0), 6) AS similarity FROM cs FULL JOIN js USING (a, b) WHERE 0.5 * coalesce(cosine, 0.0) + 0.5 * coalesce(jaccard, 0.0) >= {SIMILAR} - 1e-9
+UNION ALL SELECT m.first, m.id, 0.5 * CAST(vs.v IS NOT NULL AS INTEGER) + 0.5 * CAST(es.e IS NOT NULL AS INTEGER) FROM m LEFT JOIN vs ON vs.id = m.first LEFT JOIN es ON es.id = m.first WHERE m.id > m.first""")
+def join_allpairs_sim(spark, d):
+    return A.similar_posts(all_weights(spark, d), all_entities(spark, d), DEFAULT.similarity_mix, SIMILAR).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def scored_cycle(spark, d) -> DataFrame:
     """The cycle over all posts, clustered by exact similarity."""
     now = F.unix_timestamp(F.lit(S.NOW))
