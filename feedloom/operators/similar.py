@@ -39,7 +39,7 @@ def _leading(least: float):
     """Terms of each vector, rarest first, from which what remains can still reach `least`.
 
     What remains is bounded by its length, as the other vector has length one, and by its products with the largest
-    weight that any vector has for each term.
+    weight that any vector has for each term. Each term comes with its weight and the length of what is behind it.
     """
 
     def run(batches):
@@ -51,15 +51,14 @@ def _leading(least: float):
             at, flat = v.offsets.to_numpy(), v.flatten()
             at = at - at[0]
             df, t, w, most = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("df", "t", "w", "most"))
-            ids, terms = [], []
+            lead, behind, row_of = np.zeros(len(t), bool), np.zeros(len(t)), np.repeat(np.arange(len(batch)), np.diff(at))
             for k in range(len(batch)):
                 row = slice(at[k], at[k + 1])
-                rest = np.minimum(np.cumsum((w[row] * most[row])[::-1]), np.sqrt(np.cumsum((w[row] ** 2)[::-1])))[::-1]
-                lead = t[row][(rest >= least - SLACK) & (df[row] > 1)]
-                ids.append(np.full(len(lead), k))
-                terms.append(lead)
-            taken = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken)), pa.array(np.concatenate(terms) if terms else np.zeros(0, np.int64))], names=["id", "t"])
+                length = np.sqrt(np.cumsum((w[row] ** 2)[::-1]))[::-1]
+                rest = np.minimum(np.cumsum((w[row] * most[row])[::-1])[::-1], length)
+                lead[row] = (rest >= least - SLACK) & (df[row] > 1)
+                behind[row] = np.append(length[1:], 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row_of[lead])), *map(pa.array, (t[lead], w[lead], behind[lead]))], names=["id", "t", "w", "behind"])
 
     return run
 
@@ -90,15 +89,18 @@ def cosine_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(a, b, cosine), a < b, of `unit_vectors` (distinct ones) with a cosine of `least` or more, least > 0.
 
     Terms are ordered from the rarest. Two vectors that are similar enough have their rarest common term among the
-    leading terms of both: else all they share lies in what remains of one, which cannot reach `least`. Only these meet.
+    leading terms of both: else all they share lies in what remains of one, which cannot reach `least`. Only these meet,
+    and only those are compared as a whole whose common leading terms, with what may come behind the last of these,
+    reach it.
     """
     flat = vectors.select("id", F.explode(F.arrays_zip("t", "w")).alias("x")).select("id", "x.t", "x.w")
     stats = flat.groupBy("t").agg(F.count("*").alias("df"), F.max("w").alias("most"))
     by = flat.join(stats, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t", "w", "most"))).alias("v"))
-    lead = written(by.mapInArrow(_leading(least), "id long, t long"), "leading")
+    lead = written(by.mapInArrow(_leading(least), "id long, t long, w double, behind double"), "leading")
     a, b = lead.alias("a"), lead.alias("b")
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    out = written(cosines_of(met, vectors).filter(F.col("cosine") >= least - SLACK), "cosines")
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")))
+    hope = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg((F.sum(F.col("a.w") * F.col("b.w")) + F.min(F.col("a.behind") * F.col("b.behind"))).alias("most"))
+    out = written(cosines_of(hope.filter(F.col("most") >= least - SLACK), vectors).filter(F.col("cosine") >= least - SLACK), "cosines")
     dropped(lead)
     return out
 

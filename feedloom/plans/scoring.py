@@ -281,7 +281,7 @@ def mmr_similarity(spark, d):
 
 
 #: Similarity from which pairs of all posts are reported.
-SIMILAR = 0.5
+SIMILAR = 0.8
 ALL_WEIGHTS = f"""{TF}, {IDF}, wr AS (SELECT id, tf.term, tf * idf AS weight FROM tf JOIN idf USING (term)), nr AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM wr GROUP BY id),
 u AS (SELECT wr.id, term, weight / norm AS w FROM wr JOIN nr ON nr.id = wr.id), vs AS (SELECT id, string_agg(term || ' ' || tf, ' ' ORDER BY term) AS v FROM tf GROUP BY id),
 en AS (SELECT id, unnest({ENTITY_LIST}) AS entity FROM posts), es AS (SELECT id, string_agg(entity, '|' ORDER BY entity) AS e, count(*) AS n FROM en GROUP BY id)"""
@@ -312,7 +312,7 @@ def sim_entity_jaccard(spark, d):
 
 @query("join_allpairs_sim", f"""{P}, {ALL_WEIGHTS}, ve AS (SELECT id, v, e FROM vs FULL JOIN es USING (id)), {FIRSTS.format(by='v, e', of='ve')}, {COSINES}, {JS}
 SELECT a, b, round(0.5 * coalesce(cosine, 0.0) + 0.5 * coalesce(jaccard, 0.0), 6) AS similarity FROM cs FULL JOIN js USING (a, b) WHERE 0.5 * coalesce(cosine, 0.0) + 0.5 * coalesce(jaccard, 0.0) >= {SIMILAR} - 1e-9
-UNION ALL SELECT m.first, m.id, 0.5 * CAST(vs.v IS NOT NULL AS INTEGER) + 0.5 * CAST(es.e IS NOT NULL AS INTEGER) FROM m LEFT JOIN vs ON vs.id = m.first LEFT JOIN es ON es.id = m.first WHERE m.id > m.first""")
+UNION ALL SELECT m.first, m.id, 0.5 * CAST(vs.v IS NOT NULL AS INTEGER) + 0.5 * CAST(es.e IS NOT NULL AS INTEGER) FROM m LEFT JOIN vs ON vs.id = m.first LEFT JOIN es ON es.id = m.first WHERE m.id > m.first AND 0.5 * CAST(vs.v IS NOT NULL AS INTEGER) + 0.5 * CAST(es.e IS NOT NULL AS INTEGER) >= {SIMILAR}""")
 def join_allpairs_sim(spark, d):
     return A.similar_posts(all_weights(spark, d), all_entities(spark, d), DEFAULT.similarity_mix, SIMILAR).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
