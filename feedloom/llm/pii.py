@@ -1,9 +1,10 @@
 """Personal data: patterns, and information-theoretic sanitisation around what they find. DataFrame functions only.
 
-Every value that a pattern finds is a protected entity c. A term t that stands near c in several texts tells of it by
-its pointwise mutual information, PMI(c; t) = log2(N n(c,t) / (n(c) n(t))), over texts of the corpus; what c itself
-holds is IC(c) = log2(N / n(c)). A term whose PMI exceeds a share of IC would give the entity away where the value is
-masked, so it is generalised, and from a higher share removed (the C-sanitized model of Sánchez and Batet, 2016).
+Every value that a pattern finds is a protected entity c. A term t that is in several texts with c tells of it by its
+pointwise mutual information, PMI(c; t) = log2(N n(c,t) / (n(c) n(t))), over texts of the corpus; what c itself holds is
+IC(c) = log2(N / n(c)). A term whose PMI exceeds a share of IC would give the entity away where the value is masked, so
+it is generalised, and from a higher share removed, wherever it stands in the text (the C-sanitized model of Sánchez
+and Batet, 2016).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 #: The kinds in order. Possessive loops walk long runs without recursion; a run of characters that may begin a match
 #: is entered at its front or where the last match ended, which finds the same matches in linear time.
@@ -22,9 +23,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-#: Words around an entity that are looked at on either side, and the characters in which they are sought.
-CONTEXT_WORDS, CONTEXT_CHARS = 5, 120
-#: Texts in which a term must stand near the same entity.
+#: Texts in which a term must stand with the same entity.
 LEAST_TEXTS = 3
 #: Shares of the entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
@@ -93,68 +92,77 @@ def _spans_of(text: Column, kind: str) -> Column:
     return F.when(may, spans).otherwise(empty)
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """Array of (entity, term, start, end): words beside each entity that are no part of any span."""
+def _terms(text: Column) -> Column:
+    """Array of the distinct terms of a text: words of three letters or more, in lower case, as _WORD finds them."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
-    def words(s, left: bool):
-        a = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) if left else s["end"]
-        b = s["start"] if left else F.least(s["end"] + CONTEXT_CHARS, F.length(text))
-        found = _located(F.substring(text, a + 1, b - a), _WORD)
-        # a word that the stretch may have cut is none; nor is what belongs to an entity
-        whole = F.filter(found, lambda w: ((w["start"] > 0) | (a == 0)) if left else ((w["end"] < b - a) | (b == F.length(text))))
-        placed = F.transform(whole, lambda w: F.struct(s["entity"].alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + a).alias("start"), (w["end"] + a).alias("end")))
-        free = F.filter(placed, lambda w: ~F.exists(spans, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
-        return F.when(F.size(free) > CONTEXT_WORDS, F.slice(free, -CONTEXT_WORDS if left else 1, CONTEXT_WORDS)).otherwise(free)
 
-    return F.flatten(F.transform(spans, lambda s: F.concat(words(s, True), words(s, False))))
-
-
-def _telling(near: DataFrame, given: DataFrame, least_texts: int, generalise: float) -> DataFrame:
+def _telling(base: DataFrame, given: DataFrame, least_texts: int, generalise: float) -> DataFrame:
     """(entity, term, share): terms that tell an entity, with PMI over IC; counts are of distinct texts, over all."""
-    pairs = near.select("entity", "term", "hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least_texts)
-    texts = given.filter("text <> ''").select("text", F.md5("text").alias("hash"))
     total = float(given.select(F.md5("text")).distinct().count())
-    with_entity = near.select("entity", "hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near_term = near.select("term", "hash").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    # a share of `generalise` allows so many texts with the term; more than that near entities alone rule it out
+    of_text = base.filter("hash IS NOT NULL").select("hash", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).distinct()
+    # an entity of fewer texts has no term in `least_texts` of them
+    known = of_text.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= least_texts)
+    known = stored(of_text.join(known, "entity"), "known")
+    texts = base.filter("hash IS NOT NULL").select("hash", "text").join(known.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+    with_terms = stored(texts.select("hash", _terms(F.col("text")).alias("terms")), "terms")
+    spread = with_terms.select("hash", F.explode("terms").alias("term"))
+    near_term = spread.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= least_texts)
+    both = with_terms.join(known, "hash").select("entity", "n_entity", F.explode("terms").alias("term"))
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= least_texts)
+    # a share of `generalise` allows so many texts with the term; more than that with entities alone rule it out
     most = F.col("n_both") / F.col("n_entity") * total * F.pow(F.col("n_entity") / total, F.lit(generalise)) * (1 + 1e-9)
-    pairs = stored(pairs.join(with_entity, "entity").join(near_term, "term").filter(F.col("n_near") <= most).select("entity", "term", "n_both", "n_entity"), "pairs")
+    pairs = stored(pairs.join(near_term, "term").filter(F.col("n_near") <= most).select("entity", "term", "n_both", "n_entity"), "pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
-    if not n_terms:
-        return pairs.select("entity", "term", F.lit(1.0).alias("share"))
-    words = texts.select("hash", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+", -1))).alias("term"))
-    if n_terms <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    with_term = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    share = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(total) / F.col("n_entity"))
-    return stored(pairs.join(with_term, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share"), "telling")
+    if n_terms:
+        words = given.filter("text <> ''").select(F.md5("text").alias("hash"), F.explode(_terms(F.col("text"))).alias("term"))
+        if n_terms <= BROADCAST_TERMS:
+            words = words.join(F.broadcast(terms), "term", "left_semi")
+        with_term = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+        share = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(total) / F.col("n_entity"))
+        found = pairs.join(with_term, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share")
+    else:
+        found = pairs.select("entity", "term", F.lit(1.0).alias("share"))
+    # by text: what tells any of its entities
+    told = known.select("hash", "entity").join(found, "entity").groupBy("hash", "term").agg(F.max("share").alias("share"))
+    told = told.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
+    out = stored(told, "telling")
+    for table in (known, with_terms, pairs):
+        dropped(table)
+    return out
+
+
+def _added(text: Column, base: Column, told: Column, remove: float) -> Column:
+    """Array of (kind, start, end) of the telling terms of a text that are no part of a base span, by start."""
+    found = F.filter(_located(text, _WORD), lambda w: F.map_contains_key(told, F.lower(w["value"])))
+    free = F.filter(found, lambda w: ~F.exists(base, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
+    kind = lambda w: F.when(F.element_at(told, F.lower(w["value"])) >= remove, F.lit("removed")).otherwise(F.lit("general"))
+    return F.transform(free, lambda w: F.struct(kind(w).alias("kind"), w["start"].alias("start"), w["end"].alias("end")))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Spans of personal data in every whole text: doc_id, hash (of the text) and spans, an array of (kind, start, end).
 
     Base kinds are email, ip, card and phone, leftmost and not overlapping within a kind; places are code points, the
-    end exclusive. `general` and `removed` spans are terms near a protected entity that give it away (see the module).
-    Only texts with an entity can have them, so text without personal data is left alone. Spans of different kinds
-    may overlap.
+    end exclusive. `general` and `removed` spans are all places of terms that give a protected entity of the text away
+    (see the module), base spans apart. Only texts with an entity can have them, so text without personal data is left
+    alone. Spans of different kinds may overlap.
 
     A null text counts as an empty one and has no spans. Null doc_ids stay; repeated rows give repeated rows, and count
-    as one text in the statistics of entities; an empty table gives none; other columns are ignored.
+    as one text in the statistics of entities; an empty table gives none; other columns are ignored, whatever their
+    names.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = given.withColumn("base", base_spans(F.col("text")))
-    base = base.select("doc_id", F.when(F.size("base") > 0, F.md5("text")).alias("hash"), "base", F.when(F.size("base") > 0, _near(F.col("text"), F.col("base"))).alias("near"))
-    base = stored(base, "entities")
-    near = base.filter("near IS NOT NULL").select("hash", F.explode("near").alias("x")).select("hash", "x.*")
-    telling = _telling(near, given, least_texts, generalise)
-    kind = F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("general"))
-    added = near.join(telling, ["entity", "term"]).groupBy("hash", "start", "end").agg(F.max("share").alias("share")).withColumn("kind", kind)
-    added = added.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    some = F.size("base") > 0
+    base = stored(base.select("doc_id", F.when(some, F.md5("text")).alias("hash"), "base", F.when(some, F.col("text")).alias("text")), "entities")
+    told = _telling(base, given, least_texts, generalise)
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    with_any = base.filter("hash IS NOT NULL").join(added, "hash", "left")
     none = F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int>>)")
-    return base.filter("hash IS NULL").select("doc_id", "hash", plain.alias("spans")).unionByName(with_any.select("doc_id", "hash", F.concat(plain, F.coalesce("added", none)).alias("spans")))
+    met = base.filter("hash IS NOT NULL").join(told, "hash", "left")
+    more = F.when(F.col("told").isNotNull(), _added(F.col("text"), F.col("base"), F.col("told"), remove)).otherwise(none)
+    return base.filter("hash IS NULL").select("doc_id", "hash", plain.alias("spans")).unionByName(met.select("doc_id", "hash", F.concat(plain, more).alias("spans")))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -84,6 +84,21 @@ def test_copies_count_once_in_the_statistics(spark):
     assert not any(spans[i] for i in range(303, len(rows)))
 
 
+def test_terms_far_from_their_entity_are_found(spark):
+    """Ten words away, and at the other end of a long text; copies of a text and clashing columns change nothing."""
+    far = "one two three four five six seven eight nine ten eleven twelve " * 60
+    rows = [(i, f"Quillfeather {far if i % 2 else 'a b c d e f g h i j k l '} ann@x.org {'say' + 'abcdefghijklmnopqrst'[i]}") for i in range(20)]
+    rows += [(100 + i, f"{far} plain {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}") for i in range(500)] + [rows[0]] * 5
+    df = spark.createDataFrame([(*r, 1, "x", "y", 2) for r in rows], "doc_id long, text string, hash int, base string, told string, term int")
+    got = pii.find(df).collect()
+    told = [r for r in got if r["doc_id"] < 20]
+    assert len(told) == 25 and all(("removed", 0, 12) in {tuple(s) for s in r["spans"]} for r in told)
+    assert all(len([s for s in r["spans"] if s["kind"] == "removed"]) == 1 for r in told)
+    assert not any(r["spans"] for r in got if r["doc_id"] >= 100)
+    clean = pii.sanitise(df)
+    assert clean.columns == df.columns and not clean.filter("text LIKE '%Quillfeather%'").count()
+
+
 def test_added_spans_equal_brute_force_mutual_information(spark):
     rng = random.Random(9)
     common = ["river", "stone", "cloud", "light", "table", "green"]
