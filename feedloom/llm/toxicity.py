@@ -25,8 +25,9 @@ SAMPLE_CHARS = 6000
 #: Bytes after which the next word opens a window.
 WINDOW = 32
 #: A byte string of GRAM bytes is telling if at least LEAST_SHARE of the toxic documents have it, LEAST_RATIO times the
-#: share of the ordinary ones, and these shares lie LEAST_Z standard deviations apart.
-GRAM, LEAST_SHARE, LEAST_RATIO, LEAST_Z = 5, 0.04, 2.0, 4.5
+#: share of the ordinary ones, and these shares lie LEAST_Z standard deviations apart. Chosen by cross-validation within
+#: the rows that are learned from.
+GRAM, LEAST_SHARE, LEAST_RATIO, LEAST_Z = 5, 0.03, 2.0, 4.5
 #: Words of toxic text that hold telling strings, so many to a training sample.
 PASSAGE_WORDS = 3
 #: Bytes of the dictionaries of ordinary and of toxic text, and of the segments and strings the trainer looks at.
@@ -117,13 +118,26 @@ class Model:
 
     @staticmethod
     def _train(samples: list[bytes], size: int) -> bytes:
-        """The content of a dictionary that zstandard trains, the most useful at its end."""
+        """The content of a dictionary that zstandard trains, the most useful at its end, without its header and tables.
+
+        A trainer that finds the samples too few gets them several times over. Without any sample nothing is learned.
+        """
         import zstandard
 
-        try:
-            return zstandard.train_dictionary(size + 1024, samples, k=SEGMENT, d=STRING).as_bytes()[-size:]
-        except (zstandard.ZstdError, ValueError):  # too few samples for the trainer: they are the dictionary
-            return b" ".join(samples)[-size:]
+        if not any(samples):
+            return b""
+        for times in (1, 4, 16, 64, 256):
+            try:
+                raw = zstandard.train_dictionary(size + 1024, samples * times, k=SEGMENT, d=STRING).as_bytes()
+                break
+            except (zstandard.ZstdError, ValueError):
+                continue
+        else:
+            raise ValueError(f"{len(samples)} samples of {sum(map(len, samples))} bytes train no dictionary")
+        every, start = b"".join(samples), 8
+        while start < len(raw) and raw[start : start + SEGMENT // 2] not in every:
+            start += 1
+        return raw[start:][-size:]
 
     def compressors(self):
         import zstandard

@@ -141,3 +141,11 @@ def test_both_dictionaries_are_trained():
     raw = [toxicity._norm(text(i % 2 == 0)) for i in range(40)]
     got = m.scores(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]), m.compressors())
     assert ((got >= 0.3) == [i % 2 == 0 for i in range(40)]).mean() > 0.9
+
+
+def test_dictionaries_have_no_header_and_few_samples_train_too():
+    few = [b" worthless idiot", b" idiot moron"]
+    for samples, size in ((few, 1024), ([b"some ordinary text %d here" % i for i in range(300)], 512)):
+        got = toxicity.Model._train(samples, size)
+        assert 0 < len(got) <= size and b"\x37\xa4\x30\xec" not in got
+    assert toxicity.Model._train([], 100) == b"" == toxicity.Model._train([b""], 100)
