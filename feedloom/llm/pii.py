@@ -29,6 +29,8 @@ LEAST_TEXTS = 3
 GENERALISE, REMOVE = 0.75, 0.9
 #: Candidate terms up to which they are broadcast to the count of texts with them; beyond, counts are joined.
 BROADCAST_TERMS = 100_000
+#: One in so many texts, by hash, is counted first, which rules most frequent terms out.
+PART = 16
 #: Matches folded into one list at a time.
 FOLD = 500
 _WORD = r"\p{L}[\p{L}\p{M}]{2,}+"
@@ -93,8 +95,8 @@ def _spans_of(text: Column, kind: str) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Array of the distinct terms of a text: words of three letters or more, in lower case, as _WORD finds them."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+    """Array of the distinct words of a text between what is no letter or mark, in lower case."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{M}]+", -1))
 
 
 def _telling(base: DataFrame, given: DataFrame, least_texts: int, generalise: float) -> DataFrame:
@@ -106,33 +108,43 @@ def _telling(base: DataFrame, given: DataFrame, least_texts: int, generalise: fl
     known = stored(of_text.join(known, "entity"), "known")
     texts = base.filter("hash IS NOT NULL").select("hash", "text").join(known.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
     with_terms = stored(texts.select("hash", _terms(F.col("text")).alias("terms")), "terms")
-    spread = with_terms.select("hash", F.explode("terms").alias("term"))
+    spread = with_terms.select("hash", F.explode("terms").alias("term")).filter(F.length("term") >= 3)
     near_term = spread.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= least_texts)
     both = with_terms.join(known, "hash").select("entity", "n_entity", F.explode("terms").alias("term"))
-    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= least_texts)
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).filter((F.col("n_both") >= least_texts) & (F.length("term") >= 3))
     # a share of `generalise` allows so many texts with the term; more than that with entities alone rule it out
     most = F.col("n_both") / F.col("n_entity") * total * F.pow(F.col("n_entity") / total, F.lit(generalise)) * (1 + 1e-9)
-    pairs = stored(pairs.join(near_term, "term").filter(F.col("n_near") <= most).select("entity", "term", "n_both", "n_entity"), "pairs")
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if n_terms:
-        words = given.filter("text <> ''").select(F.md5("text").alias("hash"), F.explode(_terms(F.col("text"))).alias("term"))
-        if n_terms <= BROADCAST_TERMS:
-            words = words.join(F.broadcast(terms), "term", "left_semi")
-        with_term = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-        share = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(total) / F.col("n_entity"))
-        found = pairs.join(with_term, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share")
-    else:
-        found = pairs.select("entity", "term", F.lit(1.0).alias("share"))
+    pairs = stored(pairs.join(near_term, "term").filter(F.col("n_near") <= most).select("entity", "term", "n_both", "n_entity", most.alias("most")), "pairs")
+    # distinct texts of a part of all hashes: with more than `most` there, a term has more than that in all
+    allowed = _numbered(pairs.groupBy("term").agg(F.max("most").alias("most")))
+    part = _texts_with(given.filter(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), allowed)
+    rare = _numbered(allowed.join(part, "number", "left").filter(F.coalesce("n_term", F.lit(0)) <= F.col("most")).select("term", "most"))
+    with_term = rare.join(_texts_with(given, rare), "number").select("term", "n_term")
+    share = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(total) / F.col("n_entity"))
+    found = pairs.join(with_term, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share")
     # by text: what tells any of its entities
     told = known.select("hash", "entity").join(found, "entity").groupBy("hash", "term").agg(F.max("share").alias("share"))
     told = told.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
     out = stored(told, "telling")
-    for table in (known, with_terms, pairs):
+    for table in (known, with_terms, pairs, allowed, rare):
         dropped(table)
     return out
 
 
+def _numbered(terms: DataFrame) -> DataFrame:
+    """The terms with a number each, which is all that is shuffled of them."""
+    return stored(terms.withColumn("number", F.monotonically_increasing_id()), "numbered")
+
+
+def _texts_with(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(number, n_term): distinct texts (by 64-bit hash) with each of the numbered terms, over whole texts."""
+    listed = terms.select("term", "number")
+    if terms.count() <= BROADCAST_TERMS:
+        listed = F.broadcast(listed)
+    words = texts.filter("text <> ''").select(F.xxhash64("text").alias("h"), F.explode(_terms(F.col("text"))).alias("term"))
+    return words.join(listed, "term").select("h", "number").distinct().groupBy("number").agg(F.count("*").alias("n_term"))
+
+
 def _added(text: Column, base: Column, told: Column, remove: float) -> Column:
     """Array of (kind, start, end) of the telling terms of a text that are no part of a base span, by start."""
     found = F.filter(_located(text, _WORD), lambda w: F.map_contains_key(told, F.lower(w["value"])))
