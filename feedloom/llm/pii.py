@@ -29,8 +29,8 @@ LEAST_TEXTS = 3
 GENERALISE, REMOVE = 0.75, 0.9
 #: Candidate terms up to which they are broadcast to the count of texts with them; beyond, counts are joined.
 BROADCAST_TERMS = 100_000
-#: One in so many texts, by hash, is counted first, which rules most frequent terms out.
-PART = 16
+#: One in so many texts, by hash, is counted before all are, which rules frequent terms out where they are few.
+PARTS = (64, 16, 4)
 #: Matches folded into one list at a time.
 FOLD = 500
 _WORD = r"\p{L}[\p{L}\p{M}]{2,}+"
@@ -115,10 +115,12 @@ def _telling(base: DataFrame, given: DataFrame, least_texts: int, generalise: fl
     # a share of `generalise` allows so many texts with the term; more than that with entities alone rule it out
     most = F.col("n_both") / F.col("n_entity") * total * F.pow(F.col("n_entity") / total, F.lit(generalise)) * (1 + 1e-9)
     pairs = stored(pairs.join(near_term, "term").filter(F.col("n_near") <= most).select("entity", "term", "n_both", "n_entity", most.alias("most")), "pairs")
-    # distinct texts of a part of all hashes: with more than `most` there, a term has more than that in all
-    allowed = _numbered(pairs.groupBy("term").agg(F.max("most").alias("most")))
-    part = _texts_with(given.filter(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), allowed)
-    rare = _numbered(allowed.join(part, "number", "left").filter(F.coalesce("n_term", F.lit(0)) <= F.col("most")).select("term", "most"))
+    rare = _numbered(pairs.groupBy("term").agg(F.max("most").alias("most")))
+    for part in PARTS:  # with more than `most` distinct texts in a part of all hashes, a term has more than that in all
+        there = _texts_with(given.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0), rare)
+        fewer = _numbered(rare.join(there, "number", "left").filter(F.coalesce("n_term", F.lit(0)) <= F.col("most")).select("term", "most"))
+        dropped(rare)
+        rare = fewer
     with_term = rare.join(_texts_with(given, rare), "number").select("term", "n_term")
     share = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(total) / F.col("n_entity"))
     found = pairs.join(with_term, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share")
@@ -126,7 +128,7 @@ def _telling(base: DataFrame, given: DataFrame, least_texts: int, generalise: fl
     told = known.select("hash", "entity").join(found, "entity").groupBy("hash", "term").agg(F.max("share").alias("share"))
     told = told.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
     out = stored(told, "telling")
-    for table in (known, with_terms, pairs, allowed, rare):
+    for table in (known, with_terms, pairs, rare):
         dropped(table)
     return out
 
