@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Config
 from ..functions import text as X
+from ..sources.shared import written
 
 #: Terms by category, and phrases; priority breaks ties.
 CATEGORY_TERMS = {
@@ -33,16 +34,30 @@ def terms_of(normalised: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: ~t.isin(X.STOP_WORDS)))
 
 
+def _counted(batches):
+    """(id, term, tf) of batches (id, words): words counted within the row, so that no word is shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        words = batch.column(1)
+        coded = words.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(batch)), np.diff(words.offsets.to_numpy()))
+        n = max(1, len(coded.dictionary))
+        pair, tf = np.unique(row * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair // n)), coded.dictionary.take(pa.array(pair % n)), pa.array(tf.astype(np.int64))], names=["id", "term", "tf"])
+
+
 def term_rows(posts: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, tf) of terms of two characters or more that are no stop words, over normalised text."""
+    """(id, term, tf) of terms of two characters or more that are no stop words, over normalised text, written once."""
     found = F.regexp_extract_all(X.normalise(F.col(text)), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    rows = posts.select(F.col(id_).alias("id"), F.explode(found).alias("term"))
-    return rows.filter(~F.col("term").isin(X.STOP_WORDS)).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    rows = posts.select(F.col(id_).cast("long").alias("id"), F.filter(found, lambda t: ~t.isin(X.STOP_WORDS)).alias("words")).filter(F.size("words") > 0)
+    return written(rows.mapInArrow(_counted, "id long, term string, tf long"), "terms")
 
 
 def idf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1. n_docs: one row with n."""
-    df = terms.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that the exchange of `terms` is shared
+    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1. terms: one row for each term of a text; n_docs: one row with n."""
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
     n = n_docs.first()["n"]
     return df.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
 
@@ -237,24 +252,6 @@ def mmr_terms(pool: DataFrame, weights: DataFrame, entities: DataFrame | None =
     return rows.groupBy("g").applyInPandas(order, schema)
 
 
-def category_pipeline(min_df: int = 2):
-    """Trained categories: TF-IDF of words and pairs of words, one-vs-rest logistic regression."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
-
-    return Pipeline(stages=[
-        StringIndexer(inputCol="category", outputCol="label", handleInvalid="keep"),
-        RegexTokenizer(inputCol="text", outputCol="w0", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-        StopWordsRemover(inputCol="w0", outputCol="w1"),
-        NGram(n=2, inputCol="w1", outputCol="w2"),
-        SQLTransformer(statement="SELECT *, concat(w1, w2) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="tf", minDF=min_df),
-        IDF(inputCol="tf", outputCol="features"),
-        OneVsRest(classifier=LogisticRegression(regParam=0.01)),
-    ])
-
-
 def onnx_sentiment(posts: DataFrame, model: bytes, vocabulary: dict[str, int], length: int = 50) -> DataFrame:
     """(id, sentiment): P(positive) - P(negative) of a network over token ids, one session per Python worker."""
     shared = posts.sparkSession.sparkContext.broadcast((model, vocabulary))

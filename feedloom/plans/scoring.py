@@ -10,12 +10,14 @@ from ..config import DEFAULT
 from ..functions import language as L
 from ..functions import text as X
 from ..functions import urls as U
+from ..operators import classify as B
 from ..operators import cycle as C
 from ..operators import dedup as D
 from ..operators import moderation as M
 from ..operators import scoring as R
 from ..operators import similar as A
 from ..operators import windows as V
+from ..operators.evaluate import macro_f1
 from ..sources import tables as S
 from ..sources.shared import written
 from ..sources.tables import POSTS_SQL, table
@@ -386,6 +388,20 @@ def category(spark, d):
 LABELS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in R.CATEGORY_LABELS.items()) + "}"
 
 
+@query("category_trained")
+def category_trained(spark, d):
+    """A model of categories judged on every post it has not seen; languages stand in for categories of posts.
+
+    Returns for each label its posts, those in which the model abstains, and its F1; tests hold the model's parts.
+    """
+    p = S.posts(spark, d).select("id", "text", F.col("lang").alias("label"))
+    unseen = F.crc32(F.col("id").cast("string")) % 4 == 0
+    model, _ = B.fit(p.filter(~unseen), steps=20)
+    said = p.filter(unseen).select("id", F.col("label").alias("truth")).join(B.classify(p.filter(unseen), model), "id").withColumn("predicted", F.col("category"))
+    counts = said.groupBy(F.col("truth").alias("label")).agg(F.count("*").alias("posts"), F.count_if(F.col("predicted").isNull()).alias("abstained"))
+    return counts.join(macro_f1(said.select("truth", "predicted")), "label").select("label", "posts", "abstained", F.round("f1", 4).alias("f1"))
+
+
 @query("category_labels", f"{P}, {CATEGORY}, c AS (SELECT CASE WHEN best.hits > 0 THEN best.category END AS category, count(*) AS n FROM k GROUP BY 1) SELECT row_number() OVER (ORDER BY label) AS place, label, n FROM (SELECT {LABELS}[category] AS label, n FROM c WHERE category IS NOT NULL)")
 def category_labels(spark, d):
     """Categories by the label that readers see, in its order; at most as many rows as there are categories."""
@@ -473,8 +489,6 @@ def eval_confusion(spark, d):
 t AS (SELECT truth AS label, count(*) AS n, count(*) FILTER (WHERE truth = predicted) AS hits FROM e GROUP BY 1), p AS (SELECT predicted AS label, count(*) AS n FROM e GROUP BY 1)
 SELECT round(avg(2.0 * hits / (t.n + coalesce(p.n, 0))), 9) AS macro_f1 FROM t LEFT JOIN p USING (label)""")
 def eval_macro_f1(spark, d):
-    from ..operators.evaluate import macro_f1
-
     rows = table(spark, d, "events").select(F.col("event_type").alias("truth"), F.when(F.col("value") > 20, "click").otherwise("view").alias("predicted"))
     return macro_f1(rows).agg(F.round(F.avg("f1"), 9).alias("macro_f1"))
 

@@ -19,9 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where a scan has fewer parts than there are cores, as of one file with one row group.
+
+    Tables of many files are read as they are: nothing is shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source, author_id, text, lang, created_s (seconds since 1970): documents as posts, newest first by id."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         F.col("doc_id").alias("id"),
         F.when(F.col("doc_id") % 2 == 0, "bluesky").otherwise("mastodon").alias("source"),
