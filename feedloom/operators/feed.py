@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.urls import permalink
+from . import posts_json as J
 
 
 def checked(limit: int | None, category: str | None, cfg: Config = DEFAULT) -> tuple[int, str | None]:
@@ -55,3 +57,36 @@ def decode_cursor(raw: str) -> tuple:
     if isinstance(score, bool) or not isinstance(score, (int, float)) or not isinstance(id_, (str, int)):
         raise ValueError("not a cursor")
     return score, id_
+
+
+def cursor_of(rank_score: Column, id_: Column) -> Column:
+    """`encode_cursor` as a column."""
+    raw = F.base64(F.to_json(F.struct(rank_score.alias("rank_score"), id_.alias("id"))).cast("binary"))
+    return F.rtrim(F.translate(raw, "+/\n\r", "-_"), F.lit("="))
+
+
+#: Fields of a post that a response names otherwise than its row does.
+SCORES = {"sentiment": "sentiment", "topicality": "topicality", "base": "base_score", "rank": "rank_score"}
+
+
+def response(feed: DataFrame, limit: int | None = None, cursor: str | None = None, category: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """One row, `body`: a page as JSON, with `posts` best first and `next_cursor`, null on the last page.
+
+    feed: id, source, source_id, author_id, text, created_at, raw_json, thumbnail, entities, display_name, avatar_url,
+    sentiment, topicality, base_score, rank_score, pipeline_version, category. Nulls are written; an empty page has no
+    posts. Values that are not allowed, and cursors that are none, raise ValueError.
+    """
+    n, category = checked(limit, category, cfg)
+    rows = page_with_next(feed, n, decode_cursor(cursor) if cursor else None, **({"category": category} if category else {}))
+    source, raw = F.col("source"), F.col("raw_json")
+    post = F.struct(
+        "id", "source", "author_id", "text", "created_at", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"),
+        permalink(source, F.col("source_id"), J.path(raw, "$.url")).alias("permalink"), F.struct("display_name", "avatar_url").alias("author"),
+        F.struct(*(F.col(c).alias(k) for k, c in SCORES.items())).alias("scores"), "pipeline_version",
+        J.attachments(source, F.col("author_id"), raw, F.col("thumbnail")).alias("attachments"), J.sensitive(raw).alias("sensitive"), "category",
+    )
+    ranked = F.struct((-F.col("rank_score")).alias("first"), (-F.col("id")).alias("then"), post.alias("post"), "has_next", cursor_of(F.col("rank_score"), F.col("id")).alias("cursor"))
+    one = rows.agg(F.array_sort(F.collect_list(ranked)).alias("page"))  # a page at most
+    last = F.element_at("page", -1)
+    after = F.when(F.size("page") > 0, F.when(last["has_next"], last["cursor"]))
+    return one.select(F.to_json(F.struct(F.transform("page", lambda x: x["post"]).alias("posts"), after.alias("next_cursor")), {"ignoreNullFields": "false"}).alias("body"))

@@ -396,7 +396,7 @@ def category_trained(spark, d):
     """
     p = S.posts(spark, d).select("id", "text", F.col("lang").alias("label"))
     unseen = F.crc32(F.col("id").cast("string")) % 4 == 0
-    model, _ = B.fit(p.filter(~unseen), steps=20)
+    model, _ = B.fit(p.filter(~unseen), steps=10)
     said = p.filter(unseen).select("id", F.col("label").alias("truth")).join(B.classify(p.filter(unseen), model), "id").withColumn("predicted", F.col("category"))
     counts = said.groupBy(F.col("truth").alias("label")).agg(F.count("*").alias("posts"), F.count_if(F.col("predicted").isNull()).alias("abstained"))
     return counts.join(macro_f1(said.select("truth", "predicted")), "label").select("label", "posts", "abstained", F.round("f1", 4).alias("f1"))

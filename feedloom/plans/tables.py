@@ -278,6 +278,17 @@ def feed_json(spark, d):
     return feed(spark, d).select("id", F.to_json(F.struct("id", "source", F.col("rank_score").alias("score"))).alias("body"))
 
 
+@query("feed_response")
+def feed_response(spark, d):
+    """The first page of all posts as the feed's JSON; tests hold its fields and cursors."""
+    from ..operators.feed import response
+
+    null = {c: F.lit(None).cast(t) for c, t in (("thumbnail", "string"), ("entities", "array<string>"), ("display_name", "string"), ("avatar_url", "string"), ("category", "string"))}
+    p = S.posts(spark, d).withColumns({"source_id": F.concat("author_id", F.lit("/"), F.col("id").cast("string")), "created_at": F.timestamp_seconds("created_s"), "raw_json": F.lit("{}"), "pipeline_version": F.lit("v1"), **null})
+    scores = {"rank_score": (F.length("text") % 97).cast("double"), "sentiment": F.lit(0.5), "topicality": F.lit(1.0), "base_score": F.lit(0.5)}
+    return response(p.withColumns(scores))
+
+
 @query("lookup_quotes")
 def lookup_quotes(spark, d):
     from ..operators import posts_json as J

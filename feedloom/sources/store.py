@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..operators import sinks
 
-BUCKETS = 64
 #: Attempts of a mutation that others overtake.
 ATTEMPTS = 20
 
@@ -81,8 +80,12 @@ class Store:
     # --- reading
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: T.StructType | str, key: list[str], buckets: int = BUCKETS) -> Store:
-        """An empty table. Of two that create one, the second finds the first's; its schema must be the same."""
+    def create(cls, spark: SparkSession, path: str, schema: T.StructType | str, key: list[str], buckets: int | None = None) -> Store:
+        """An empty table, of as many buckets as the session has shuffle partitions if no number is given.
+
+        Of two that create one, the second finds the first's; its schema must be the same.
+        """
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         store = cls(spark, path)
         schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         first = {"version": 0, "schema": T.StructType([T.StructField(f.name, f.dataType) for f in schema]).json(), "key": key, "n": buckets, "buckets": {}, "done": {}}
@@ -93,7 +96,7 @@ class Store:
         return store
 
     @classmethod
-    def of(cls, rows: DataFrame, path: str, key: list[str], buckets: int = BUCKETS, unique: bool = True) -> Store:
+    def of(cls, rows: DataFrame, path: str, key: list[str], buckets: int | None = None, unique: bool = True) -> Store:
         """A table with these rows; of rows with one key any one stays, or all where keys need not be `unique`."""
         store = cls.create(rows.sparkSession, path, rows.schema, key, buckets)
         store.insert_ignore(rows, key) if unique else store.append(rows, ("load", 0))

@@ -276,6 +276,30 @@ def test_networks(spark):
     assert [(r["home_domain"], r["account_count"], r["post_count"], len(r["author_ids"])) for r in got] == [("bad.host", 5, 50, 10)]
 
 
+def test_feed_response_pages_through_all_posts(spark):
+    link = json.dumps({"commit": {"record": {"embed": {"$type": "app.bsky.embed.external", "external": {"uri": "https://e.org/a", "title": "t"}}, "labels": {"values": [{"val": "x"}]}}}})
+    rows = [(i, "bluesky", f"did:a/{i}", "did:a", f"post {i}", "2026", link if i == 3 else "{}", None, ["Berlin"] if i == 3 else None, None, "http://x/y", 0.5, 1.0, 0.25, None if i == 9 else float(i % 4), "v1", "food_dining" if i % 2 else None) for i in range(10)]
+    feed_ = spark.createDataFrame(rows, "id long, source string, source_id string, author_id string, text string, created_at string, raw_json string, thumbnail string, entities array<string>, display_name string, avatar_url string, sentiment double, topicality double, base_score double, rank_score double, pipeline_version string, category string")
+    at = lambda **k: json.loads(feed.response(feed_, **k).first()["body"])
+    seen, cursor = [], None
+    while True:
+        got = at(limit=4, cursor=cursor)
+        seen += [p["id"] for p in got["posts"]]
+        cursor = got["next_cursor"]
+        if cursor is None:
+            break
+        assert feed.decode_cursor(cursor) == (float(seen[-1] % 4), seen[-1])
+    assert seen == [7, 3, 6, 2, 5, 1, 8, 4, 0]
+    post = at(limit=2)["posts"][1]
+    assert post["attachments"][0]["url"] == "https://e.org/a" and post["sensitive"] and post["entities"] == ["Berlin"] and post["permalink"] == "https://bsky.app/profile/did:a/post/3"
+    assert post["author"] == {"display_name": None, "avatar_url": "http://x/y"} and post["scores"] == {"sentiment": 0.5, "topicality": 1.0, "base": 0.25, "rank": 3.0}
+    assert [p["id"] for p in at(category="food_dining")["posts"]] == [7, 3, 5, 1]
+    assert at(category="arts_culture") == {"posts": [], "next_cursor": None}
+    for bad in ({"limit": 0}, {"category": "none"}, {"cursor": "!"}):
+        with pytest.raises(ValueError):
+            feed.response(feed_, **bad)
+
+
 def test_cursors_and_settings():
     assert feed.decode_cursor(feed.encode_cursor(1.5, "x")) == (1.5, "x")
     for bad in ("", "!!", feed.encode_cursor("a", 1), "e30"):
