@@ -1,8 +1,9 @@
 """Workers take batches in pieces: what they hold does not grow with the rows of a batch."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
-from feedloom.operators import batches, dedup
+from feedloom.operators import batches, dedup, scoring
 
 
 def of(words):
@@ -17,6 +18,16 @@ def test_pieces_are_bounded_and_whole(rows):
     assert list(batches.in_pieces([of(rows).slice(0, 0)], 1, 3)) == []
 
 
+def test_terms_are_counted_a_piece_at_a_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [[f"w{x}" for x in rng.integers(0, 30, 50)] for _ in range(40)]
+    monkeypatch.setattr(scoring, "WORDS_AT_ONCE", 200, raising=False)
+    out = list(scoring._counted([of(rows)]))
+    assert len(out) == 10
+    got = {(i, t): n for b in out for i, t, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)}
+    assert got == {(i, t): r.count(t) for i, r in enumerate(rows) for t in r}
+
+
 def test_a_batch_of_shingles_is_cut(monkeypatch):
     monkeypatch.setattr(dedup, "TEXT_BYTES", 12, raising=False)
     out = [r for b in dedup._shingled(2)([of(["a b c d e", "", "a b c d e", "b a", "a b a b a b", None, "a b"])]) for r in b.to_pylist()]
