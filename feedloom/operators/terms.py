@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, written
+from .batches import in_pieces
 
 #: Bytes of terms, with what an automaton takes beside them, that one pass over the texts looks for.
 SHARD_BYTES = 64 << 20
 #: What a term costs beside its own bytes, for each of these; automata have a node a character.
 NODE_BYTES = 32
+#: Bytes of texts that a worker reads at once.
+TEXT_BYTES = 1 << 20
 
 
 def suffixes(host: Column) -> Column:
@@ -70,7 +73,7 @@ def contained_terms(rows: DataFrame, terms: DataFrame, id_: str = "id", text: st
             import pyarrow as pa
 
             automaton = None
-            for batch in batches:
+            for batch in in_pieces(batches, 1, TEXT_BYTES):
                 automaton = automaton or (_automaton(shared.value) if shared.value else None)
                 if automaton is None:
                     return

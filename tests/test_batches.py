@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from feedloom.operators import batches, dedup, scoring
+from feedloom.operators import batches, dedup, scoring, terms
 
 
 def of(words):
@@ -35,3 +35,7 @@ def test_a_batch_of_shingles_is_cut(monkeypatch):
     sets = {r["id"]: set(r["items"]) for r in out}
     assert all(len(r["items"]) == len(set(r["items"])) for r in out) and len({r["own"] for r in out}) == 4
     assert sets[0] == sets[2] and sets[6] < sets[4] and sets[3] < sets[4] and sets[6] < sets[0] and not sets[3] & sets[0]
+
+
+def test_bounds_are_small():
+    assert max(scoring.WORDS_AT_ONCE, dedup.WORDS_AT_ONCE, 1) <= 1 << 18 and max(terms.TEXT_BYTES, dedup.TEXT_BYTES) <= 1 << 20
