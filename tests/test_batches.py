@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from feedloom.operators import batches, dedup, scoring, terms
+from feedloom.operators import batches, classify, dedup, scoring, terms
 
 
 def of(words):
@@ -38,4 +38,4 @@ def test_a_batch_of_shingles_is_cut(monkeypatch):
 
 
 def test_bounds_are_small():
-    assert max(scoring.WORDS_AT_ONCE, dedup.WORDS_AT_ONCE, 1) <= 1 << 18 and max(terms.TEXT_BYTES, dedup.TEXT_BYTES) <= 1 << 20
+    assert max(scoring.WORDS_AT_ONCE, dedup.WORDS_AT_ONCE, classify.GRAMS_AT_ONCE) <= 1 << 18 and max(terms.TEXT_BYTES, dedup.TEXT_BYTES) <= 1 << 20
