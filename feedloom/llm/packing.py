@@ -8,8 +8,11 @@ whatever the number of documents. Pieces get their places by rank among the piec
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -17,35 +20,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunk_dictionary, chunk_starts, freeing, shared_dir, stored, text_blocks
-from .tokens import BLOCK, ChunkTable
+from .common import SPACE, chunk_dictionary, freeing, shared_dir, stored, text_blocks
+from .tokens import BLOCK, BYTE_CHARS, ChunkTable
 
 #: Pieces of one length that are ranked together; a length of more comes in parts, so that none is one task's.
 RANKED_AT_ONCE = 250_000
 #: Rows of the table of slots up to which it is broadcast; beyond, it is joined.
 BROADCAST_SLOTS = 500_000
 
+#: Normalizer and pre-tokenizer whose ids are those of `word_chunks`, one after another.
+WORD_RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+]
+#: Bytes that are ASCII letters, ASCII punctuation, bytes with A-Z lowered and white space as a space, the
+#: byte-level alphabet, and words of a-z and lower-case letters of U+00DF to U+00FF.
+LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+PUNCT = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+LOWER = np.where(SPACE, 32, np.arange(256) + 32 * (LETTER & (np.arange(256) < 97))).astype(np.uint8)
+BYTE_LEVEL = bytes(range(256)).decode("latin-1").translate(BYTE_CHARS)
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
 
 class WordIds:
-    """Ids of a chunk by a tokenizers file; plain words skip the normalizer's machinery but not its model."""
+    """Ids of texts and chunks by a tokenizers file.
+
+    Where the file's rules are the usual ones of lower-cased words (`chunked`), a text's ids are those of its chunks one
+    after another, and a chunk of plain letters needs the model alone. Texts of any other file go to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        probe = "aA bé, x"
-        self.direct = self._slow(probe) == [i for w in probe.split() for i in (self._slow(w))] and self._word(b"aAb") == self._slow("aAb")
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.model = t.model
+        rules = [json.loads(x.__getstate__()) if x else None for x in (t.normalizer, t.pre_tokenizer)]
+        self.chunked = rules == WORD_RULES and all(
+            a.content.startswith("<|") and a.special and not (a.lstrip or a.rstrip or a.single_word or a.normalized) for a in t.get_added_tokens_decoder().values()
+        )
 
-    def _slow(self, text: str) -> list[int]:
+    def text(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, raw: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize(raw.lower().decode("latin-1"))]
-
     def chunk(self, chunk: bytes) -> list[int]:
-        body = chunk.lstrip(b" \t\n\x0b\x0c\r")
-        return self._word(body) if body.isalpha() and self.direct else self._slow(body.decode())
+        body = chunk.lstrip(b" ")
+        if body.isalpha() and body.islower():
+            return [t.id for t in self.model.tokenize(body.decode())]
+        if _LATIN.fullmatch(body):
+            return [t.id for t in self.model.tokenize(charmap_decode(body, "strict", BYTE_LEVEL)[0])]
+        return self.text(body.decode())
+
+
+def word_chunks(data: np.ndarray, offsets: np.ndarray):
+    """Starts of chunks that cover `data`, and `data` with letters in lower case and white space as spaces.
+
+    A chunk is a run of white space with the word behind it, but punctuation behind a letter starts one of its own, so
+    that a word is the same chunk at the start and the end of a sentence. Letters are A-Z and those of U+00C0 to U+00FF.
+    A letter before any other character beyond ASCII keeps its case, as a mark may compose with it before it is lowered.
+    """
+    n = len(data)
+    letter, low = LETTER[data], LOWER[data]
+    high = data > 127
+    if high.any():
+        latin = np.zeros(n, dtype=bool)  # second bytes
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter |= latin
+        letter[:-1] |= latin[1:]
+        marked = np.zeros(n, dtype=bool)
+        marked[:-1] = high[1:] & ~letter[1:]
+        marked[offsets[1:][offsets[1:] > 0] - 1] = False
+        low[latin & (data < 0x9F)] += 32
+        low[marked] = data[marked]
+    space = SPACE[data]
+    start = np.zeros(n, dtype=bool)
+    start[1:] = space[1:] & ~space[:-1] | PUNCT[data[1:]] & letter[:-1]
+    first = offsets[:-1]
+    start[first[first < n]] = True
+    return np.flatnonzero(start), low
+
+
+def ids_of_block(ids_of: WordIds, table: ChunkTable, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The ids of each document of a block."""
+    n = len(offsets) - 1
+    whole = np.full(n, not ids_of.chunked)
+    flat, bounds = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+    if len(data) and ids_of.chunked:
+        # special strings may stand inside a chunk
+        whole[np.searchsorted(offsets, np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)), side="right") - 1] = True
+        starts, low = word_chunks(data, offsets)
+        index, distinct = chunk_dictionary(low, starts)
+        flat, first = table.of(distinct.to_pylist(), index)
+        bounds = first[np.searchsorted(starts, offsets)]
+    return [
+        np.array(ids_of.text(data[offsets[k] : offsets[k + 1]].tobytes().decode()), np.int32) if whole[k] else flat[bounds[k] : bounds[k + 1]]
+        for k in range(n)
+    ]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str, text: str) -> DataFrame:
@@ -55,20 +127,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, do
         ids_of = WordIds(tokenizer)
         table = ChunkTable(ids_of.chunk)
         for ids, data, offsets in text_blocks(batches, BLOCK):
-            n = len(offsets) - 1
-            flat_ids, bounds = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-            odd = np.zeros(n, bool)
-            if len(data):
-                odd[np.searchsorted(offsets, np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)), side="right") - 1] = True
-                starts = chunk_starts(data, offsets, punctuation=True)
-                index, distinct = chunk_dictionary(data, starts)
-                flat_ids, first = table.of(distinct.to_pylist(), index)
-                bounds = first[np.searchsorted(starts, offsets)]
             out: dict[str, list] = {"k": [], "piece": [], "start": [], "length": [], "crc": []}
-            for k in range(n):
-                own = flat_ids[bounds[k] : bounds[k + 1]]
-                if odd[k]:  # special strings may stand inside a chunk
-                    own = np.array(ids_of._slow(data[offsets[k] : offsets[k + 1]].tobytes().decode()), np.int32)
+            for k, own in enumerate(ids_of_block(ids_of, table, data, offsets)):
                 raw = np.append(own, np.int32(end_id)).astype("<u4").tobytes()
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]

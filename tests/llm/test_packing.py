@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from feedloom.llm import packing
+from feedloom.llm.common import text_blocks
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -108,3 +110,37 @@ def test_layout_equals_the_library_and_is_gapless(spark, monkeypatch, at_once):
     total = sum(r["length"] for r in got)
     assert len(bins) <= -(-total // 64) * 1.1 + 1
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def ids_of_texts(path, texts, most_bytes=10**6):
+    """Ids of texts by chunks, and the chunks that the tokenizer was asked for."""
+    ids_of, asked = packing.WordIds(path), []
+    table = packing.ChunkTable(lambda c: asked.append(c) or ids_of.chunk(c), most_bytes)
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    return [x.tolist() for _, data, offsets in text_blocks([batch], 300) for x in packing.ids_of_block(ids_of, table, data, offsets)], asked
+
+
+def test_a_word_is_one_chunk_whatever_its_case_and_what_stands_around_it():
+    texts = [" the The\nTHE the. the, The! the's", " été ÉTÉ\tÉté. été, été's"]
+    got, asked = ids_of_texts(PATH, texts)
+    t = Tokenizer.from_file(PATH)
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sorted(asked) == sorted(x.encode() for x in [" the", " été", ".", ",", "!", "'s"])
+
+
+@pytest.mark.parametrize("most_bytes", [10**6, 2000])
+def test_ids_by_chunks_equal_the_library_on_odd_characters(most_bytes):
+    rng = random.Random(5)
+    # marks that compose with a small letter only or with a sign, letters that grow when lowered, other white space
+    odd = ["\u0331", "\u0308", "\u030a", "\u0307", "\u0338", "\u0301", "\u212b", "\u0130", "\u1e9e", "\u03a3", "\u00df", "\u00d7", "\u00f7", "\u00c0", "\u00fe", "\u00a0", "\u2003", "\x1c", "\x00", "\uac00", "\u1100", "中", "\U0001f600"]
+    plain = [*"aHtTwYJI'.=<|>(5 \n", "'s", "'S", "'ll", "  ", "É", "ñ", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(rng.choice([odd, plain, plain])) for _ in range(rng.choice([0, 1, 2, 4, 9, 40]))) for _ in range(3000)]
+    t = Tokenizer.from_file(PATH)
+    assert ids_of_texts(PATH, texts, most_bytes)[0] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_a_tokenizer_of_other_rules_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The cat  sat.\n On THE mat", "", "don't 12 été"]
+    t = Tokenizer.from_file(path)
+    assert ids_of_texts(path, texts) == ([t.encode(x, add_special_tokens=False).ids for x in texts], [])
