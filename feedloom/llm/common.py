@@ -97,10 +97,20 @@ def text_blocks(batches, max_bytes: int = BLOCK_BYTES):
             at = to
 
 
+def latin_letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to a letter of A-Z, a-z or U+00C0 to U+00FF."""
+    out = _LETTER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # signs of multiplication and division
+    out[lead] = out[lead + 1] = True
+    return out
+
+
 def chunk_starts(data: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> np.ndarray:
     """Starts of chunks that cover `data`: a run of white space and the word behind it.
 
-    With `punctuation`, ASCII punctuation behind an ASCII letter starts a chunk of its own.
+    With `punctuation`, ASCII punctuation behind a letter of `latin_letters` starts a chunk of its own, and so does such a
+    letter behind a single white space other than U+0020.
     """
     if not len(data):
         return np.zeros(0, np.int64)
@@ -108,7 +118,10 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray, punctuation: bool = Fals
     start = np.zeros(len(data), dtype=bool)
     start[1:] = space[1:] & ~space[:-1]
     if punctuation:
-        start[1:] |= _PUNCT[data[1:]] & _LETTER[data[:-1]]
+        letter = latin_letters(data)
+        lone = space & (data != 0x20)
+        lone[1:] &= ~space[:-1]
+        start[1:] |= _PUNCT[data[1:]] & letter[:-1] | lone[:-1] & letter[1:]
     first = offsets[:-1]
     start[first[first < len(data)]] = True
     return np.flatnonzero(start)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_dictionary, chunk_starts, freeing, text_blocks
+from .common import chunk_dictionary, chunk_starts, freeing, latin_letters, text_blocks
 
 #: Fixed values of the byte-level alphabet: printable bytes stand for themselves, others follow from U+0100.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,6 +41,49 @@ TABLE_BYTES, ENTRY_BYTES = 48 << 20, 200
 MOST_PREFIXES = 150_000
 #: Bytes of text counted at once.
 BLOCK = 2 << 20
+#: Pre-tokens of at most LONGEST bytes are counted side by side, some PIECE_BYTES at once.
+LONGEST, PIECE_BYTES = 64, 1 << 18
+
+
+class KeyTable:
+    """Integers by integer keys from 0 on, looked up many at a time; it must not be filled to the last slot."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.held = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys, -1 for those that are not held."""
+        at = self._slots(keys)
+        there = self.keys[at]
+        same = there == keys
+        out = np.where(same, self.values[at], np.int32(-1))
+        left = np.flatnonzero(~same & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            there = self.keys[at[left]]
+            same = there == keys[left]
+            out[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not held yet."""
+        at, left = self._slots(keys), np.arange(len(keys))
+        self.held += len(keys)
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            placed = self.keys[at[left]] == keys[left]
+            self.values[at[left[placed]]] = values[left[placed]]
+            left = left[~placed]
+            at[left] = (at[left] + 1) & self.mask
 
 
 class PrefixCounter:
@@ -70,6 +113,84 @@ class PrefixCounter:
         self.pairs: dict[tuple, bool] = {}
         self.alone: dict[str, bool] = {}
         self.prefixes: dict[str, tuple[int, int]] = {}
+        self._trie()
+
+    def _trie(self) -> None:
+        """Nodes of the prefixes of all tokens: 0 is empty, 1 to 256 are the bytes; `steps` leads from node and byte to node."""
+        byte = {chr(b).translate(BYTE_CHARS): b for b in range(256)}
+        self.names = ["", *byte]
+        node = {name: k for k, name in enumerate(self.names)}
+        keys = []
+        for t in self.vocab:
+            if len(t) > 1 and byte.keys() >= set(t):
+                at = len(t)
+                while t[:at] not in node:
+                    at -= 1
+                for i in range(at + 1, len(t) + 1):
+                    keys.append(node[t[: i - 1]] << 8 | byte[t[i - 1]])
+                    node[t[:i]] = len(self.names)
+                    self.names.append(t[:i])
+        self.steps = KeyTable((4 * len(keys) + 4).bit_length())
+        self.steps.put(np.array(keys, np.int64), np.arange(257, len(self.names), dtype=np.int32))
+        self.token = np.fromiter((len(name) > 1 and name in self.vocab for name in self.names), bool)
+        self.fits = KeyTable((2 * MOST_PREFIXES).bit_length())
+
+    def _fits(self, before: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Whether token `node` may follow token `before`, or may come first where that is 0."""
+        key = before.astype(np.int64) * len(self.names) + node
+        fits = self.fits.get(key)
+        new = np.flatnonzero(fits < 0)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            made = np.zeros(len(keys), np.int32)
+            for k, (a, b) in enumerate(zip((keys // len(self.names)).tolist(), (keys % len(self.names)).tolist(), strict=True)):
+                a, b = self.names[a], self.names[b]
+                made[k] = [t.value for t in self.model.tokenize(a + b)] == ([a, b] if a else [b])
+            fits[new] = made[back]
+            if self.fits.held + len(keys) > MOST_PREFIXES:
+                self.fits.clear()
+            self.fits.put(keys[:MOST_PREFIXES], made)
+        return fits > 0
+
+    def pieces_at_once(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Token counts of the prefixes of 1, 2, ... bytes of each pre-token; these begin at `first` (one more at the end)."""
+        size = np.diff(first)
+        begin = np.repeat(first[:-1], size)
+        end = begin + np.repeat(size, size)
+        place = (np.arange(len(data)) - begin).astype(np.uint8)
+        # all tokens of two and more bytes that stand anywhere: their first and last bytes, and nodes
+        at, node, last = np.arange(len(data)), data.astype(np.int64) + 1, data.astype(np.int32) + 1
+        found = []
+        for n in range(1, int(size.max())):
+            more = at + n < end[at]
+            at, node = at[more], node[more].astype(np.int64)
+            node = self.steps.get(node << 8 | data[at + n])
+            more = node >= 0
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+            token = self.token[node]
+            found.append((at[token], at[token] + n, node[token]))
+        counts = place.astype(np.int32) + 1
+        if not found:
+            return counts
+        starts, ends, nodes = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(place[ends], kind="stable")
+        starts, ends, nodes = starts[order], ends[order], nodes[order]
+        token_cuts = np.searchsorted(place[ends], np.arange(int(size.max()) + 1))
+        points = np.argsort(place, kind="stable")
+        point_cuts = np.searchsorted(place[points], np.arange(int(size.max()) + 1))
+        for k in range(1, int(size.max())):
+            p = points[point_cuts[k] : point_cuts[k + 1]]
+            counts[p] = counts[p - 1] + 1
+            here = slice(token_cuts[k], token_cuts[k + 1])
+            s, e, t = starts[here], ends[here], nodes[here]
+            inner = place[s] > 0
+            ok = self._fits(np.where(inner, last[s - 1], 0), t)
+            s, e, t, inner = s[ok], e[ok], t[ok], inner[ok]
+            last[e] = t
+            counts[e] = np.where(inner, counts[s - 1], 0) + 1
+        return counts
 
     def _pair(self, a: str, b: str) -> bool:
         k = (a, b)
@@ -143,6 +264,33 @@ class PrefixCounter:
             return self._points(raw)
         return self.plain(raw)
 
+    def chunks(self, chunks: list[bytes]):
+        """What `chunk` gives for each chunk, one after another, and how many counts each has."""
+        data, size = np.frombuffer(b"".join(chunks), np.uint8), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        first = np.cumsum(size) - size
+        letter = latin_letters(data)
+        letter[first] |= data[first] == 0x20
+        one = np.logical_and.reduceat(letter, first) & (size <= LONGEST)
+        rest = array("i")
+        for k in np.flatnonzero(~one).tolist():
+            raw = chunks[k].decode() if size[k] <= LONGEST else ""
+            if raw.isalpha() or raw[:1] == " " and raw[1:].isalpha():
+                one[k] = True
+            else:
+                rest.extend(self.chunk(chunks[k]))
+        point = np.append(data[1:], np.uint8(0)) & 0xC0 != 0x80  # the last byte of a code point
+        n = np.add.reduceat(point, first, dtype=np.int64)
+        out, mine = np.empty(n.sum(), np.int32), np.repeat(one, n)
+        if one.any():
+            keep = np.repeat(one, size)
+            data, point, first = data[keep], point[keep], np.append(0, np.cumsum(size[one]))
+            cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(data), PIECE_BYTES)), len(first) - 1))
+            counts = [self.pieces_at_once(data[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            out[mine] = np.concatenate(counts)[point]
+        if rest:
+            out[~mine] = np.frombuffer(rest, np.int32)
+        return out, n
+
     def plain(self, text: str) -> list[int]:
         """Counts of all code point prefixes of a text in which special strings are ordinary."""
         out: list[int] = []
@@ -238,19 +386,36 @@ class ChunkTable:
         self.held += ENTRY_BYTES + len(chunk) + 4 * len(values)
         return row
 
-    def of(self, chunks: list[bytes], index: np.ndarray):
-        """The lists of the chunks at `index`, one after another, and where each begins (one more at the end)."""
+    def _add_all(self, chunks: list[bytes], values: np.ndarray, sizes: np.ndarray) -> range:
+        """Add chunks whose lists stand one after another in `values`."""
+        rows = range(len(self.starts), len(self.starts) + len(chunks))
+        self.rows.update(zip(chunks, rows, strict=True))
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
+        self.flat.frombytes(values.tobytes())
+        self.sizes.frombytes(sizes.astype(np.int32).tobytes())
+        self.seen.extend(bytes(len(chunks)))
+        self.held += ENTRY_BYTES * len(chunks) + sum(map(len, chunks)) + 4 * len(values)
+        return rows
+
+    def of(self, chunks: list[bytes], index: np.ndarray, make_all=None):
+        """The lists of the chunks at `index`, one after another, and where each begins (one more at the end).
+
+        `make_all` makes the lists of many chunks: all of them one after another, and the sizes.
+        """
         if self.held > self.most:  # what came up again stays, if that is not too much
             again = {k: r for k, r in self.rows.items() if self.seen[r] and len(k) < 256}
             self._new(again if len(again) < len(self.rows) // 2 else {})
-        rows, get, seen = np.empty(len(chunks), np.int64), self.rows.get, self.seen
-        for i, c in enumerate(chunks):
-            row = get(c)
-            if row is None:
-                row = self._add(c, self.make(c))
-            else:
-                seen[row] = 1
-            rows[i] = row
+        get = self.rows.get
+        rows = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(rows < 0)
+        if len(new) < len(rows):
+            np.frombuffer(self.seen, np.uint8)[rows[rows >= 0]] = 1
+        if make_all and len(new):
+            fresh = [chunks[i] for i in new.tolist()]
+            rows[new] = self._add_all(fresh, *make_all(fresh))
+        else:
+            for i in new.tolist():
+                rows[i] = self._add(chunks[i], self.make(chunks[i]))
         row = rows[index]
         size = np.frombuffer(self.sizes, np.int32)[row]
         first = np.zeros(len(row) + 1, np.int64)
@@ -268,7 +433,7 @@ def _counts_of_block(counter: PrefixCounter, table: ChunkTable, data: np.ndarray
     if len(data):
         starts = chunk_starts(data, offsets, punctuation=True)
         index, distinct = chunk_dictionary(data, starts)
-        values, first = table.of(distinct.to_pylist(), index)
+        values, first = table.of(distinct.to_pylist(), index, counter.chunks)
         chunk_of_doc = np.searchsorted(starts, offsets)
         bounds = first[chunk_of_doc]
         total = values[first[1:] - 1].astype(np.int64)
