@@ -94,12 +94,13 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-def test_lists_and_candidates_are_not_shuffled(spark):
+@pytest.mark.parametrize("run", [lambda p: A.similar_by_terms_and_entities(p, 0.5, 0.3), lambda p: A.similar_by_terms(p, 0.3)], ids=["terms and entities", "terms"])
+def test_lists_and_candidates_are_not_shuffled(spark, run):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(2000)]
     rows = [(i, " ".join(rng.choices(words, k=300))) for i in range(400)]
     posts = spark.createDataFrame(rows, "id long, text string").repartition(2).cache()
     posts.count()
     before = shuffled(spark)
-    A.similar_by_terms_and_entities(posts, 0.5, 0.3).count()
+    run(posts).count()
     assert shuffled(spark) - before < 300_000
